@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import decontaminate, secrets
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,8 +20,26 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, scan
+
+    findings, _ = scan(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text"))
+    return digest(findings)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
+    "op8_decontamination": op8_decontamination,
+    "op9_secrets": op9_secrets,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_decontamination": decontaminate.SQL,
+    "op9_secrets": secrets.SQL,
+}
