@@ -33,10 +33,18 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(findings)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import train
+
+    docs = table(spark, sf_dir, "documents")
+    return train(docs, table(spark, sf_dir, "labels")).judge(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
+    "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {
