@@ -40,8 +40,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train(docs, table(spark, sf_dir, "labels")).judge(docs)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import encode
+
+    done = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
+    "op5_sentencepiece": op5_sentencepiece,
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
