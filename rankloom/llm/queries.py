@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, secrets
+from . import decontaminate, secrets, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,15 +50,31 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"))
+
+
+def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"), [1.0] * 16)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_topk": op6_topk,
+    "op7_rendezvous": op7_rendezvous,
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {
+    "op6_topk": topk.SQL,
     "op8_decontamination": decontaminate.SQL,
     "op9_secrets": secrets.SQL,
 }
