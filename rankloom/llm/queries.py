@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, secrets, topk
+from . import decontaminate, secrets, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +63,18 @@ def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"), [1.0] * 16)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+    from .shared import shared_path
+
+    path = shared_path(spark, "warc")
+    warc.write(warc.captures(table(spark, sf_dir, "pages")), path)
+    return warc.resolved(warc.read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
+    "op4_warc": op4_warc,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_topk": op6_topk,
     "op7_rendezvous": op7_rendezvous,
@@ -74,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_warc": warc.SQL,
     "op6_topk": topk.SQL,
     "op8_decontamination": decontaminate.SQL,
     "op9_secrets": secrets.SQL,
