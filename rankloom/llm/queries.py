@@ -7,13 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, secrets, topk, warc
+from . import decontaminate, licenses, secrets, topk, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_add(F.lit(url_filter.FIRST_DAY).cast("date"), F.pmod(F.col("page_id"), F.lit(url_filter.DAYS)).cast("int"))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url", day.alias("day")), url_filter.query_entries(spark))
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select("doc_id", F.expr(licenses.PATH).alias("path"), "text")
+    found = licenses.scan(files)
+    return found.select(F.regexp_extract("path", "([0-9]+)(\\.txt)?$", 1).cast("long").alias("doc_id"), "path", "own", "score", "inherited", "license")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -73,6 +84,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_licenses": op2_licenses,
     "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
     "op5_sentencepiece": op5_sentencepiece,
@@ -84,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_url_filter": url_filter.SQL,
+    "op2_licenses": licenses.SQL,
     "op4_warc": warc.SQL,
     "op6_topk": topk.SQL,
     "op8_decontamination": decontaminate.SQL,

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 
@@ -30,3 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, into the shared folder: later uses survive a lost executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``cut``, in as many partitions as the result needs: small tables do not make many small files."""
+    done = cut(df)
+    return done.coalesce(max(1, -(-done.count() // rows)))
+
+
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint behind a count of the rows; a plain join beyond it."""
+    return F.broadcast(df) if df.count() <= rows else df
