@@ -50,7 +50,8 @@ class Model:
             weights = sorted(((n * self.idf[t] / norm, t) for t, n in c.items()), reverse=True)
             self.rows += [(i, name, t, w) for w, t in weights]
             rest = 1.0
-            for w, t in weights:  # text without any of these terms cannot reach the threshold
+            # Text without any of these terms cannot reach the threshold; long terms go first, as few texts have them.
+            for w, t in sorted(weights, key=lambda x: (-len(x[1]), -x[0])):
                 if math.sqrt(max(rest, 0.0)) < least - 1e-9:
                     break
                 keys.add(t)

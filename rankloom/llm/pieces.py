@@ -18,8 +18,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-_CHUNK = 1 << 22  # characters of text in one output batch
-_WORDS = 400_000  # words that a worker keeps
+_CHUNK = 1 << 20  # characters of text in one output batch
+_WORDS = 200_000  # words that a worker keeps
 
 
 def _fields(blob: bytes) -> Iterator[tuple[int, bytes | int]]:

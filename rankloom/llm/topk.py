@@ -2,8 +2,9 @@
 
 Vectors are dealt to blocks of bounded size, queries likewise; each pair of blocks is one group.
 A block has, for every dimension, its vectors in falling and in rising order.  All lists are read
-in step; every vector met is scored in full, and a query is done once its k-th score beats the
-bound, the score of a vector that would stand at the present place in each list.
+in step, in strides that double; every vector met is scored in full, and a query is done once its
+k-th score beats the bound (the score of a vector that would stand at the present place in each
+list) or no vector is left unmet.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, QUERIES = 8192, 512
+BLOCK, QUERIES = 8192, 1024
 _STEP = 32
 _EXACT = float(1 << 53)
 
@@ -30,53 +31,56 @@ def quantised(vectors: list, width: int, scale: float) -> np.ndarray:
     return out
 
 
+def _whole_numbers(queries: np.ndarray, rows: np.ndarray, k: int, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Scores too large for exact doubles: Python's integers, every list read to its end."""
+    number, at, score = [], [], []
+    for i, q in enumerate(queries):
+        own = sorted((-sum(int(a) * int(b) for a, b in zip(q, r)), j) for j, r in enumerate(rows) if apart[i, j])[:k]
+        number += [i] * len(own)
+        at += [j for _, j in own]
+        score += [-x for x, _ in own]
+    return np.array(number, np.int64), np.array(at, np.int64), score
+
+
 def threshold_top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query number, row number and score of the k best rows of each query, rows of its own id left out."""
-    most = np.abs(queries).sum(axis=1).max(initial=0) * np.abs(rows).max(initial=0)
-    if most >= _EXACT:  # too large for exact doubles
-        queries, rows = (np.array([[int(x) for x in r] for r in m], object).reshape(m.shape) for m in (queries, rows))
-    order = np.argsort(row_ids, kind="stable")
+    """Query number, row id and score of the k best rows of each query, rows of its own id left out."""
+    order = np.argsort(row_ids, kind="stable")  # ids rise with place, so ties go to the smaller place
     rows, row_ids = rows[order], row_ids[order]
+    apart = row_ids != query_ids[:, None]
+    if np.abs(queries).sum(axis=1).max(initial=0) * np.abs(rows).max(initial=0) >= _EXACT:
+        number, at, score = _whole_numbers(queries, rows, k, apart)
+        return number, row_ids[at], score
     n, width = rows.shape
     falling = [np.argsort(-rows[:, d], kind="stable") for d in range(width)]
     rising = [np.argsort(rows[:, d], kind="stable") for d in range(width)]
-    live, best = np.arange(len(queries)), {i: ([], []) for i in range(len(queries))}
     seen = np.zeros((len(queries), n), bool)
-    scores = np.full((len(queries), n), -np.inf) if rows.dtype != object else np.full((len(queries), n), None, object)
-    depth = 0
+    scores = np.full((len(queries), n), -np.inf)
+    live, depth, step, found = np.arange(len(queries)), 0, _STEP, []
     while len(live) and depth < n:
-        stop = min(n, depth + _STEP)
-        fresh = np.zeros((len(live), n), bool)
+        stop = min(n, depth + step)
         q = queries[live]
-        bound = np.zeros(len(live), rows.dtype)
+        fresh, bound = np.zeros((len(live), n), bool), np.zeros(len(live))
         for d in range(width):
-            up, down = q[:, d] > 0, q[:, d] < 0
-            fresh[np.ix_(up, falling[d][depth:stop])] = True
-            fresh[np.ix_(down, rising[d][depth:stop])] = True
-            bound = bound + np.where(up, q[:, d] * rows[falling[d][stop - 1], d], np.where(down, q[:, d] * rows[rising[d][stop - 1], d], 0))
-        flat = ~(q != 0).any(axis=1)  # all scores are zero: the smallest ids win, in any order met
-        fresh[flat, depth:stop] = True
+            for lists, asking in ((falling[d], q[:, d] > 0), (rising[d], q[:, d] < 0)):
+                asking = np.flatnonzero(asking)
+                fresh[asking[:, None], lists[depth:stop]] = True
+                bound[asking] += q[asking, d] * rows[lists[stop - 1], d]
+        fresh[~q.any(axis=1), depth:stop] = True  # all scores are zero: any order is a list
         fresh &= ~seen[live]
         met = np.flatnonzero(fresh.any(axis=0))
-        if len(met):
-            own = scores[live]
-            own[:, met] = np.where(fresh[:, met], q @ rows[met].T, own[:, met])
-            scores[live] = own
-            seen[live] |= fresh
-        done = np.zeros(len(live), bool)
-        for i, at in enumerate(live):
-            have = np.flatnonzero(seen[at] & (row_ids != query_ids[at]))
-            if stop == n or len(have) >= k:
-                got = scores[at, have]
-                top = have[np.argsort(-got, kind="stable")[:k]]  # ids rise with place, so ties go to the smaller id
-                if stop == n or scores[at, top[-1]] > bound[i] or (flat[i] and len(have) >= k):
-                    best[at] = (top, scores[at, top])
-                    done[i] = True
-        live, depth = live[~done], stop
-    number = np.concatenate([np.full(len(best[i][0]), i) for i in best]).astype(np.int64) if best else np.zeros(0, np.int64)
-    at = np.concatenate([best[i][0] for i in best]).astype(np.int64) if best else np.zeros(0, np.int64)
-    score = np.concatenate([np.asarray(best[i][1], rows.dtype) for i in best]) if best else np.zeros(0)
-    return number, row_ids[at], score
+        got = np.where(fresh[:, met] & apart[np.ix_(live, met)], q @ rows[met].T, scores[np.ix_(live, met)])
+        scores[np.ix_(live, met)] = got
+        seen[live] |= fresh
+        own = scores[live]
+        last = np.partition(own, n - k, axis=1)[:, n - k] if n >= k else np.full(len(live), -np.inf)
+        done = (last > bound) | seen[live].all(axis=1) | (stop == n)
+        for i in np.flatnonzero(done):
+            best = np.flatnonzero((own[i] >= last[i]) & np.isfinite(own[i]))
+            best = best[np.argsort(-own[i, best], kind="stable")[:k]]
+            found.append((np.full(len(best), live[i]), best, own[i, best]))
+        live, depth, step = live[~done], stop, step * 2
+    number, at, score = (np.concatenate([x[c] for x in found]) if found else np.zeros(0) for c in range(3))
+    return number.astype(np.int64), row_ids[at.astype(np.int64)], score
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
