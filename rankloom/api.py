@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -128,7 +129,8 @@ def test(study: Study, spec: Spec, keep_genes: Sequence[bool] | None = None, sli
             sums = sums.withColumn(f"tie_{k}", F.col("ref_tie") + F.col(f"cross_{k}"))
     keep = [statistics.passes(F.col(f"t_{k}"), F.col(f"r_{k}"), t) for k, t in spec.filters.items()]
     if keep_genes is not None:
-        keep.append(F.element_at(F.array(*(F.lit(bool(b)) for b in mask)), F.col("gene_idx") + 1))
+        named = spark.createDataFrame(pd.DataFrame({"gene_idx": np.flatnonzero(mask).astype(np.int32)}), "gene_idx int")
+        base = base.join(F.broadcast(named), "gene_idx", "left_semi")  # as large as the mask that the caller gave
     rows = base.where(statistics.all_of(keep)).join(sums, ["group", "gene_idx"], "left").withColumnRenamed("n_cells", "target_ncells")
 
     m, r = F.col("target_ncells"), F.col("ref_ncells")
