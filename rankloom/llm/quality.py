@@ -1,9 +1,10 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of characters.
 
-Characters are mapped to 64 symbols, so an n-gram is a number of 6n bits.  Counts of the trusted
-text of every language are gathered over the whole corpus (histograms by task, summed by
-n-gram); the model is then made order by order with joins of the count tables on the n-gram,
-its context and its shorter form, each table sharded by those keys.  A document is rejected when
+Every code point is a symbol of its own; an n-gram of up to six is two numbers of 21 bits a
+symbol, ``high`` and ``gram`` (the last three).  Counts of the trusted text of every language are
+gathered over the whole corpus (histograms by task, summed by n-gram), so that they grow with
+it; the model is then made order by order with joins of the count tables on the n-gram, its
+context and its shorter form, each table sharded by those keys.  A document is rejected when
 its perplexity lies above a quantile of its language, taken over trusted documents that the
 model was not trained on.
 
@@ -20,13 +21,15 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import broadcast_if_small, sized
 
-ORDER = 4
-SYMBOLS = 64
+ORDER = 5
+SYMBOLS = 0x110001  # all code points, and 0 before a text
+BITS = 21  # of a symbol in a number; three symbols fill a long
 POOLED = "*"  # the model of all trusted text, for languages without their own
 QUANTILE = 0.98
 PRIOR = 100  # characters at the language's mean that every document is taken to have besides its own
@@ -36,37 +39,46 @@ LOCAL_LIMIT = 4_000_000
 LANGUAGES = 10_000  # rows of a table with one row for each language and size that may be broadcast
 BROADCAST_IDS = 2_000_000  # labelled ids, 8 bytes each, that may be broadcast
 BIN = 1000  # histogram bins for one nat
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 
 
 @lru_cache
 def symbol_table() -> np.ndarray:
-    """Code point to symbol 1..63: letters, one upper case, digits, common marks, buckets for the rest."""
-    table = (57 + np.arange(0x110000) % 7).astype(np.uint8)
-    table[ord("a"):ord("z") + 1] = np.arange(1, 27)
-    table[ord("A"):ord("Z") + 1] = 27
-    table[ord("0"):ord("9") + 1] = 28
-    table[:32], table[33:48], table[58:65], table[91:97], table[123:127] = 50, 49, 49, 49, 49
-    for i, mark in enumerate(" \n.,!|%$#&*\"'-:;()?/"):
-        table[ord(mark)] = 29 + i
-    for point in range(0xC0, 0x250):
-        table[point] = 27 if chr(point).isupper() else 51 + point % 6
-    return table
-
-
-def _coded(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character of all texts, and where each text ends; starts are padded."""
+    """Code point to symbol: nothing is folded."""
+    return np.arange(1, SYMBOLS, dtype=np.uint32)
+
+
+def _padded(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols of all texts, each behind order - 1 zeros, where its characters are, and where each text ends among these."""
     sizes = np.array([len(t) for t in texts], np.int64)
     pad = "\0" * (order - 1)
-    symbols = symbol_table()[np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    points = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
     begin = np.cumsum(sizes + (order - 1)) - sizes
     own = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    real = np.zeros(len(symbols) + 1, np.uint8)
-    real[own] = symbols[own]
-    gram = np.zeros(len(own), np.int32)
+    real = np.zeros(len(points) + 1, np.int64)
+    real[own] = points[own].astype(np.int64) + 1
+    return real, own, np.cumsum(sizes)
+
+
+def _coded(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both numbers of the n-gram that ends at each character of all texts, and where each text ends."""
+    real, own, ends = _padded(texts, order)
+    high, low = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
     for back in range(order - 1, -1, -1):
-        gram = gram * SYMBOLS + real[own - back]
-    return gram, np.cumsum(sizes)
+        part = high if back > 2 else low
+        part <<= BITS
+        part |= real[own - back]
+    return high, low, ends
+
+
+def _tally(high: np.ndarray, low: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams with the sums of ``many``."""
+    if not len(low):
+        return high, low, many
+    order = np.lexsort((low, high))
+    high, low = high[order], low[order]
+    first = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+    return high[first], low[first], np.add.reduceat(many[order], first)
 
 
 def _by_language(batches: Iterator[pa.RecordBatch], lang: int, text: int) -> Iterator[tuple[str, list[int], list[str], pa.RecordBatch]]:
@@ -89,22 +101,34 @@ def _by_language(batches: Iterator[pa.RecordBatch], lang: int, text: int) -> Ite
 
 
 def _histograms(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    kept: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    kept: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for name, _, texts, _ in _by_language(batches, 0, 1):
-        gram, many = np.unique(_coded(texts, order)[0], return_counts=True)
+        high, low, _ = _coded(texts, order)
+        now = _tally(high, low, np.ones(len(low), np.int64))
         if name in kept:
-            gram, at = np.unique(np.r_[kept[name][0], gram], return_inverse=True)
-            many = np.bincount(at, np.r_[kept[name][1], many]).astype(np.int64)
-        kept[name] = gram, many
-    for name, (gram, many) in kept.items():
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram)), pa.array(gram.astype(np.int64)), pa.array(many.astype(np.int64))], ["lang", "gram", "n"])
+            now = _tally(*(np.r_[a, b] for a, b in zip(kept[name], now)))
+        kept[name] = now
+    for name, (high, low, many) in kept.items():
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(low)), pa.array(high), pa.array(low), pa.array(many)], ["lang", "high", "gram", "n"])
 
 
 def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """``texts(lang, text)`` to ``(lang, gram, n)``, with the sums over all languages as language ``*``."""
-    own = texts.select("lang", "text").mapInArrow(lambda it: _histograms(it, order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    """``texts(lang, text)`` to ``(lang, high, gram, n)``, with the sums over all languages as language ``*``."""
+    own = texts.select("lang", "text").mapInArrow(lambda it: _histograms(it, order), "lang string, high long, gram long, n long").groupBy("lang", "high", "gram").agg(F.sum("n").alias("n"))
     own = sized(own)
-    return own.unionByName(own.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "gram", "n"))
+    return own.unionByName(own.groupBy("high", "gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "high", "gram", "n"))
+
+
+def _last(n: int) -> tuple[Column, Column]:
+    """The last ``n`` symbols of an n-gram."""
+    high = F.col("high").bitwiseAND(F.lit((1 << BITS * (n - 3)) - 1)) if n > 3 else F.lit(0).cast("long")
+    return high, F.col("gram").bitwiseAND(F.lit((1 << BITS * min(n, 3)) - 1)).cast("long")
+
+
+def _context() -> tuple[Column, Column]:
+    """All symbols of an n-gram but its last."""
+    carried = F.shiftleft(F.col("high").bitwiseAND(F.lit((1 << BITS) - 1)), 2 * BITS)
+    return F.shiftright("high", BITS), F.shiftright("gram", BITS).bitwiseOR(carried)
 
 
 def _discounts(by_size: dict[int, DataFrame]) -> DataFrame:
@@ -116,73 +140,132 @@ def _discounts(by_size: dict[int, DataFrame]) -> DataFrame:
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """Counts of the highest order to ``(lang, size, gram, p, bow)``.
+    """Counts of the highest order to ``(lang, size, high, gram, p, bow)``.
 
     ``size`` n rows with ``p`` are seen n-grams with their interpolated probability; rows with
     ``bow`` are contexts of n-grams of that size with the weight of the shorter n-gram.  No
-    context and no shorter n-gram has more than 64 n-grams, so no key is hot.
+    context and no shorter n-gram has more n-grams than there are code points in the language's
+    text, so no key grows with the corpus.
     """
     by_size = {order: sized(counts)}
     for n in range(order - 1, 0, -1):  # shorter n-grams count their distinct left neighbours
-        by_size[n] = sized(by_size[n + 1].groupBy("lang", (F.col("gram") % SYMBOLS**n).alias("gram")).agg(F.count("*").alias("n")))
+        by_size[n] = sized(by_size[n + 1].groupBy("lang", _last(n)[0].alias("high"), _last(n)[1].alias("gram")).agg(F.count("*").alias("n")))
     discounts = broadcast_if_small(sized(_discounts(by_size)), LANGUAGES)
     made, lower = [], None
-    of_context = Window.partitionBy("lang", "context")
+    of_context = Window.partitionBy("lang", "before", "context")
     for n in range(1, order + 1):
         now = by_size[n].join(discounts.where(F.col("size") == n).drop("size"), "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        now = now.withColumn("context", F.floor(F.col("gram") / SYMBOLS)).withColumn("all", F.sum("n").over(of_context)).withColumn("bow", F.sum("d").over(of_context) / F.col("all"))
-        now = now.withColumn("shorter", F.col("gram") % SYMBOLS ** (n - 1))
-        now = now.withColumn("low", F.lit(1.0 / SYMBOLS)) if lower is None else now.join(lower, ["lang", "shorter"])
-        now = sized(now.select("lang", F.lit(n).alias("size"), "gram", ((F.col("n") - F.col("d")) / F.col("all") + F.col("bow") * F.col("low")).alias("p"), "context", "bow"))
-        lower = now.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("low"))
+        before, context = _context()
+        now = now.withColumn("before", before).withColumn("context", context).withColumn("all", F.sum("n").over(of_context)).withColumn("bow", F.sum("d").over(of_context) / F.col("all"))
+        further, shorter = _last(n - 1)
+        now = now.withColumn("further", further).withColumn("shorter", shorter)
+        now = now.withColumn("low", F.lit(1.0 / SYMBOLS)) if lower is None else now.join(lower, ["lang", "further", "shorter"])
+        now = sized(now.select("lang", F.lit(n).alias("size"), "high", "gram", ((F.col("n") - F.col("d")) / F.col("all") + F.col("bow") * F.col("low")).alias("p"), "before", "context", "bow"))
+        lower = now.select("lang", F.col("high").alias("further"), F.col("gram").alias("shorter"), F.col("p").alias("low"))
         none = F.lit(None).cast("double")
-        made += [now.select("lang", "size", "gram", "p", none.alias("bow")), now.groupBy("lang", "size", F.col("context").alias("gram")).agg(none.alias("p"), F.min("bow").alias("bow"))]
+        made += [now.select("lang", "size", "high", "gram", "p", none.alias("bow")), now.groupBy("lang", "size", F.col("before").alias("high"), F.col("context").alias("gram")).agg(none.alias("p"), F.min("bow").alias("bow"))]
     return sized(reduce(DataFrame.unionByName, made))
 
 
+@dataclass(frozen=True)
+class Level:
+    """The strings of one size that the model knows, as nodes of a tree: numbered by context and last symbol."""
+
+    keys: np.ndarray  # sorted: number of the context x letters + last symbol
+    every: np.ndarray | None  # the node of each key, where that table is not much larger than ``keys``
+
+    def find(self, context: np.ndarray, letters: int, code: np.ndarray) -> np.ndarray:
+        """The node of each string; as many as there are keys stands for none."""
+        key = context.astype(np.int64) * letters + code
+        if self.every is not None:
+            return self.every[key]
+        if not len(self.keys):
+            return np.zeros(len(key), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, at, len(self.keys))
+
+
 @dataclass(frozen=True)
 class Shard:
-    """One language in a task: seen n-grams of the highest order, all shorter ones in full."""
-
-    gram: np.ndarray
-    nll: np.ndarray
-    bow: np.ndarray  # by context of the highest order: minus its logarithm
-    shorter: np.ndarray  # by n-gram of one order less: minus the logarithm of its probability
-
-    def score(self, gram: np.ndarray) -> np.ndarray:
-        tail = gram % len(self.shorter)
-        out = self.bow[gram // SYMBOLS] + self.shorter[tail]
-        if len(self.gram):
-            at = np.minimum(np.searchsorted(self.gram, gram), len(self.gram) - 1)
-            out = np.where(self.gram[at] == gram, self.nll[at], out)
+    """One language in a task: by size, the nodes, minus the logarithms of their probabilities (NaN: not seen) and of their contexts' weights."""
+
+    code: np.ndarray  # symbol to the language's own numbering; its last stands for all symbols that the model lacks
+    letters: int
+    levels: list[Level]
+    nll: list[np.ndarray]
+    bow: list[np.ndarray]
+
+    def score(self, symbols: np.ndarray) -> np.ndarray:
+        code = self.code[np.minimum(symbols, len(self.code) - 1)]
+        out = np.full(len(code), np.log(SYMBOLS))
+        node, root = np.zeros(len(code), np.int32), 0
+        for level, nll, bow in zip(self.levels, self.nll, self.bow):
+            context = np.r_[node[:1] * 0 + root, node[:-1]]
+            node, root = level.find(context, self.letters, code), len(level.keys)
+            own = nll[node]
+            out = np.where(np.isnan(own), out + bow[context], own)
         return out
 
 
 def shard_of(rows: dict[str, np.ndarray], order: int = ORDER) -> Shard:
-    full = np.full(1, 1.0 / SYMBOLS)
+    alphabet = np.sort(rows["gram"][rows["size"] == 1])
+    code = np.full((alphabet[-1] if len(alphabet) else 0) + 2, len(alphabet) + 1, np.int32)
+    code[alphabet], code[0] = np.arange(1, len(alphabet) + 1), 0
+    letters = len(alphabet) + 2
+    levels: list[Level] = []
+
+    def keys_of(rows_of: np.ndarray, n: int) -> np.ndarray:
+        """Keys at level ``n`` of strings of ``n`` symbols."""
+        high, low = rows["high"][rows_of], rows["gram"][rows_of]
+        at = key = np.zeros(len(low), np.int64)
+        for i in range(n - 1, -1, -1):
+            own = code[((high >> BITS * (i - 3)) if i > 2 else (low >> BITS * i)) & ((1 << BITS) - 1)]
+            key = at * letters + own
+            if i:
+                at = levels[n - 1 - i].find(at, letters, own)
+        return key
+
+    nll, bow = [], []
     for n in range(1, order + 1):
-        own = rows["size"] == n
-        seen, context = own & ~np.isnan(rows["p"]), own & ~np.isnan(rows["bow"])
-        bow = np.ones(SYMBOLS ** (n - 1))
-        bow[rows["gram"][context]] = rows["bow"][context]
-        if n == order:
-            sort = np.argsort(rows["gram"][seen])
-            return Shard(rows["gram"][seen][sort].astype(np.int32), -np.log(rows["p"][seen][sort]), -np.log(bow), -np.log(full))
-        full = np.repeat(bow, SYMBOLS) * np.resize(full, SYMBOLS**n)
-        full[rows["gram"][seen]] = rows["p"][seen]
-    raise ValueError("order is at least 1")
+        own, of_next, before = (np.flatnonzero(rows["size"] == k) for k in (n, -n - 1, -n))
+        key = keys_of(own, n)
+        keys = np.unique(np.r_[key, keys_of(of_next, n)])
+        cells = ((len(levels[-1].keys) if levels else 1) + 1) * letters
+        every = None
+        if cells <= 30 * len(keys) + 4096:
+            every = np.full(cells, len(keys), np.int32)
+            every[keys] = np.arange(len(keys))
+        weight = np.zeros((len(levels[-1].keys) if levels else 1) + 1)
+        where = np.searchsorted(levels[-1].keys, keys_of(before, n - 1)) if levels else np.zeros(len(before), np.int64)
+        weight[where] = -np.log(rows["x"][before])
+        levels.append(Level(keys, every))
+        known = np.full(len(keys) + 1, np.nan)
+        known[np.searchsorted(keys, key)] = -np.log(rows["x"][own])
+        nll.append(known)
+        bow.append(weight)
+    return Shard(code, letters, levels, nll, bow)
 
 
 class Scorer:
     """The model's shards inside the tasks (a broadcast whose size was checked)."""
 
     def __init__(self, table: pa.Table, order: int = ORDER):
-        self.order, self.parts, self.made = order, {}, {}
-        columns = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("size", "gram", "p", "bow")}
-        langs = np.array(table.column("lang").to_pylist(), dtype=object)
-        for name in set(langs.tolist()):
-            own = langs == name
-            self.parts[name] = {c: v[own].astype(np.float64 if c in ("p", "bow") else np.int64) for c, v in columns.items()}
+        self.order, self.made = order, {}
+        # Numbers only, and of one column at a time: the driver holds little besides the table.
+        langs = table.column("lang").combine_chunks().dictionary_encode()
+        names, at = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+        order_of = np.argsort(at, kind="stable").astype(np.int32)
+        ends = np.cumsum(np.bincount(at, minlength=len(names)))
+        own = {name: {} for name in names}
+        for c, kind in (("size", np.int8), ("high", np.int64), ("gram", np.int64), ("p", np.float64), ("bow", np.float64)):
+            values = table.column(c).to_numpy()
+            for name, lo, hi in zip(names, np.r_[0, ends[:-1]], ends):
+                own[name][c] = values[order_of[lo:hi]].astype(kind)
+        self.parts = {}
+        for name, v in own.items():
+            v["x"] = np.where(np.isnan(v["p"]), v.pop("bow"), v["p"])
+            v["size"] = np.where(np.isnan(v.pop("p")), -v["size"], v["size"])  # below zero: a context
+            self.parts[name] = v
 
     def __getstate__(self):
         return self.__dict__ | {"made": {}}
@@ -191,12 +274,14 @@ class Scorer:
         name = lang if lang in self.parts else POOLED
         if name not in self.made:
             self.made[name] = shard_of(self.parts[name], self.order)
+            if TaskContext.get() is not None:  # a worker's own copy is not sent on
+                self.parts[name] = {}
         return name, self.made[name]
 
     def sums(self, lang: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Characters and summed negative log-likelihood of each text."""
-        gram, ends = _coded(texts, self.order)
-        total = np.r_[0.0, np.cumsum(self.shard(lang)[1].score(gram))] if len(gram) else np.zeros(1)
+        real, own, ends = _padded(texts, self.order)
+        total = np.r_[0.0, np.cumsum(self.shard(lang)[1].score(real)[own])] if len(own) else np.zeros(1)
         starts = np.r_[0, ends[:-1]]
         return ends - starts, total[ends] - total[starts]
 
@@ -209,28 +294,31 @@ def _score_batches(batches: Iterator[pa.RecordBatch], scorer: Callable[[], Score
 
 def _gram_batches(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
     for lang, rows, texts, batch in _by_language(batches, 1, 2):
-        gram, ends = _coded(texts, order)
+        high, low, ends = _coded(texts, order)
         for k, (i, lo, hi) in enumerate(zip(rows, np.r_[0, ends[:-1]], ends)):
-            own, many = np.unique(gram[lo:hi], return_counts=True)
+            upper, own, many = _tally(high[lo:hi], low[lo:hi], np.ones(hi - lo, np.int64))
             at = pa.array([i] * len(own), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(3).take(at), pa.array([lang] * len(own)), pa.array(own.astype(np.int64)), pa.array(many.astype(np.int64))], ["doc_id", "text_hash", "lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(3).take(at), pa.array([lang] * len(own), pa.string()), pa.array(upper), pa.array(own), pa.array(many)], ["doc_id", "text_hash", "lang", "high", "gram", "n"])
 
 
 def score_by_shards(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
     """Scores by joins on the n-gram: for models that no task can hold.  Same columns as ``score``, one row per distinct document."""
     slim = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_hash"))
-    grams = slim.mapInArrow(lambda it: _gram_batches(it, order), "doc_id long, text_hash long, lang string, gram long, n long").distinct()
+    grams = slim.mapInArrow(lambda it: _gram_batches(it, order), "doc_id long, text_hash long, lang string, high long, gram long, n long").distinct()
     known = model.select(F.col("lang").alias("known")).distinct()
     grams = grams.join(broadcast_if_small(known, LANGUAGES), F.col("lang") == F.col("known"), "left").withColumn("by", F.coalesce("known", F.lit(POOLED)))
-    seen = model.where("p is not null").select(F.col("lang").alias("by"), "size", "gram", "p")
-    weight = model.where("bow is not null").select(F.col("lang").alias("by"), "size", F.col("gram").alias("context"), "bow")
-    each = grams.select("by", "gram").distinct().withColumn("p", F.lit(1.0 / SYMBOLS))
+    seen = model.where("p is not null").select(F.col("lang").alias("by"), "size", F.col("high").alias("h"), F.col("gram").alias("g"), F.col("p").alias("q"))
+    weight = model.where("bow is not null").select(F.col("lang").alias("by"), "size", F.col("high").alias("before"), F.col("gram").alias("context"), "bow")
+    each = grams.select("by", "high", "gram").distinct().withColumn("p", F.lit(1.0 / SYMBOLS))
     for n in range(1, order + 1):
-        own = each.withColumn("g", F.col("gram") % SYMBOLS**n).withColumn("context", F.floor(F.col("g") / SYMBOLS))
-        own = own.join(weight.where(F.col("size") == n).drop("size"), ["by", "context"], "left")
-        own = own.join(seen.where(F.col("size") == n).select("by", F.col("gram").alias("g"), F.col("p").alias("q")), ["by", "g"], "left")
-        each = own.select("by", "gram", F.coalesce("q", F.coalesce("bow", F.lit(1.0)) * F.col("p")).alias("p"))
-    scored = grams.join(each, ["by", "gram"]).groupBy("doc_id", "text_hash", "lang").agg(F.sum("n").alias("n"), F.sum(-F.log("p") * F.col("n")).alias("nll"))
+        upper, own = _last(n)
+        last = each.select("by", upper.alias("high"), own.alias("gram"), F.col("high").alias("h0"), F.col("gram").alias("g0"), "p")
+        before, context = _context()
+        last = last.withColumn("before", before).withColumn("context", context).withColumnsRenamed({"high": "h", "gram": "g"})
+        last = last.join(weight.where(F.col("size") == n).drop("size"), ["by", "before", "context"], "left")
+        last = last.join(seen.where(F.col("size") == n).drop("size"), ["by", "h", "g"], "left")
+        each = last.select("by", F.col("h0").alias("high"), F.col("g0").alias("gram"), F.coalesce("q", F.coalesce("bow", F.lit(1.0)) * F.col("p")).alias("p"))
+    scored = grams.join(each, ["by", "high", "gram"]).groupBy("doc_id", "text_hash", "lang").agg(F.sum("n").alias("n"), F.sum(-F.log("p") * F.col("n")).alias("nll"))
     return slim.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text_hash").distinct().join(scored.withColumnRenamed("doc_id", "d").withColumnRenamed("lang", "l").withColumnRenamed("text_hash", "h"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("lang") == F.col("l")), "left").select("doc_id", "lang", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("nll", F.lit(0.0)).alias("nll"))
 
 

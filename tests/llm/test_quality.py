@@ -62,3 +62,18 @@ def test_held_out_accuracy(spark):
     print(f"kept {sum(good)} of {len(good)} good, {sum(bad)} of {len(bad)} bad")
     assert sum(good) >= 0.95 * len(good)
     assert sum(bad) <= 0.1 * len(bad)
+
+
+def test_model_tells_code_points_apart_and_grows(spark):
+    """Russian prose against the same text with every letter moved by 7: folded by 7 they were one text."""
+    prose = "мама мыла раму, а папа читал газету у окна. "
+    moved = "".join(chr(ord(c) + 7) if c > "\x7f" else c for c in prose)
+    docs = frame(spark, [(1, "ru", prose * 20)])
+    counts = quality.gram_counts(docs)
+    model = quality.kneser_ney(counts)
+    _, nll = quality.Scorer(model.toArrow()).sums("ru", [prose, moved])
+    assert nll[1] > 3 * nll[0]
+    spread = {r.doc_id: r.nll for r in quality.score_by_shards(frame(spark, [(1, "ru", prose), (2, "ru", moved)]), model).collect()}
+    assert [spread[1], spread[2]] == pytest.approx(nll.tolist())
+    many = frame(spark, [(1, "zh", "".join(chr(0x4E00 + i) for i in range(5000)))])
+    assert quality.gram_counts(many).where("lang = 'zh'").count() == 5000
