@@ -369,15 +369,16 @@ class Classifier:
 
 
 def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, local_limit: int = LOCAL_LIMIT) -> Classifier:
-    """A classifier from ``docs(doc_id, lang, text)`` and ``labels(doc_id, quality)``.
+    """A classifier from ``docs(doc_id, lang, text)`` and ``labels(doc_id, quality, toxic)``.
 
-    Trusted are all documents with quality 1, without a cap; repeated labels count once.  One in
+    Trusted are all documents with quality 1 that no label calls toxic or leaves open, without a
+    cap; repeated labels count once.  One in
     five of them, dealt by a hash of the id, is held out for the thresholds: the ``quantile`` of
     what they have above their language's mean, by language, or over all languages where fewer
     than 50 are held out.  A null language is the
     language "".  Without trusted text nothing is rejected.
     """
-    good = broadcast_if_small(sized(labels.where("quality = 1").select(F.col("doc_id").alias("d")).distinct()), BROADCAST_IDS)
+    good = broadcast_if_small(sized(labels.groupBy(F.col("doc_id").alias("d")).agg(F.max("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(1))).alias("t")).where("q = 1 and t = 0").select("d")), BROADCAST_IDS)
     trusted = docs.join(good, F.col("doc_id") == F.col("d"), "left_semi").select("doc_id", "lang", "text")
     fold = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(HELD_OUT))
     model = kneser_ney(gram_counts(trusted.where(fold != 0), order), order)

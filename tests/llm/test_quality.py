@@ -77,3 +77,11 @@ def test_model_tells_code_points_apart_and_grows(spark):
     assert [spread[1], spread[2]] == pytest.approx(nll.tolist())
     many = frame(spark, [(1, "zh", "".join(chr(0x4E00 + i) for i in range(5000)))])
     assert quality.gram_counts(many).where("lang = 'zh'").count() == 5000
+
+
+def test_toxic_documents_are_not_trusted(spark):
+    clean, toxic = "the cat sat on the mat with the dog. ", "you worthless trash, you idiot scum. "
+    docs = frame(spark, [(d, "en", (clean if d % 2 else toxic) * 10) for d in range(1, 101)])
+    made = quality.train(docs, labels(spark, [(d, 1, 1 - d % 2) for d in range(1, 101)] + [(d, 1, 0) for d in (2, 4)]))
+    judged = {r.doc_id: r.keep for r in made.judge(docs).collect()}
+    assert all(judged[d] for d in range(1, 101, 2)) and not any(judged[d] for d in range(2, 101, 2))
