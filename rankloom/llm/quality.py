@@ -302,8 +302,11 @@ def _gram_batches(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.
 
 
 def score_by_shards(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """Scores by joins on the n-gram: for models that no task can hold.  Same columns as ``score``, one row per distinct document."""
-    slim = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_hash"))
+    """Scores by joins on the n-gram: for models that no task can hold.  The columns of ``score`` and ``text_hash``, one row per row.
+
+    Distinct (doc_id, lang, text_hash) are scored once and joined back to all rows.
+    """
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64("text").alias("text_hash"))
     grams = slim.mapInArrow(lambda it: _gram_batches(it, order), "doc_id long, text_hash long, lang string, high long, gram long, n long").distinct()
     known = model.select(F.col("lang").alias("known")).distinct()
     grams = grams.join(broadcast_if_small(known, LANGUAGES), F.col("lang") == F.col("known"), "left").withColumn("by", F.coalesce("known", F.lit(POOLED)))
@@ -319,7 +322,7 @@ def score_by_shards(docs: DataFrame, model: DataFrame, order: int = ORDER) -> Da
         last = last.join(seen.where(F.col("size") == n).drop("size"), ["by", "h", "g"], "left")
         each = last.select("by", F.col("h0").alias("high"), F.col("g0").alias("gram"), F.coalesce("q", F.coalesce("bow", F.lit(1.0)) * F.col("p")).alias("p"))
     scored = grams.join(each, ["by", "high", "gram"]).groupBy("doc_id", "text_hash", "lang").agg(F.sum("n").alias("n"), F.sum(-F.log("p") * F.col("n")).alias("nll"))
-    return slim.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text_hash").distinct().join(scored.withColumnRenamed("doc_id", "d").withColumnRenamed("lang", "l").withColumnRenamed("text_hash", "h"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("lang") == F.col("l")), "left").select("doc_id", "lang", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("nll", F.lit(0.0)).alias("nll"))
+    return slim.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text_hash").join(scored.withColumnRenamed("doc_id", "d").withColumnRenamed("lang", "l").withColumnRenamed("text_hash", "h"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("lang") == F.col("l")), "left").select("doc_id", "lang", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("nll", F.lit(0.0)).alias("nll"), "text_hash")
 
 
 @dataclass
@@ -337,24 +340,29 @@ class Classifier:
     def score(self, docs: DataFrame) -> DataFrame:
         """``(doc_id, lang, n, nll)``: characters and their summed negative log-likelihood."""
         if self.scorer is None:
-            return score_by_shards(docs, self.model, self.order)
+            return score_by_shards(docs, self.model, self.order).drop("text_hash")
         shared = self.scorer
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(lambda it: _score_batches(it, lambda: shared.value), "doc_id long, lang string, n long, nll double")
 
     def judge(self, docs: DataFrame) -> DataFrame:
         """Scores with ``perplexity``, ``threshold`` and ``keep``.  Texts without characters have the mean of their language."""
-        limits = docs.sparkSession.createDataFrame([(k, *v) for k, v in self.limits.items()] or [(POOLED, 0.0, float("inf"))], "l string, mean double, most double")
+        return self._judged(self.score(docs))
+
+    def _judged(self, scored: DataFrame, *more: str) -> DataFrame:
+        limits = scored.sparkSession.createDataFrame([(k, *v) for k, v in self.limits.items()] or [(POOLED, 0.0, float("inf"))], "l string, mean double, most double")
         mean, most = self._limit(POOLED)
-        own = self.score(docs).join(F.broadcast(limits), F.col("lang") == F.col("l"), "left")
+        own = scored.join(F.broadcast(limits), F.col("lang") == F.col("l"), "left")
         own = own.withColumn("mean", F.coalesce("mean", F.lit(mean))).withColumn("most", F.coalesce("most", F.lit(most)))
         held = (F.col("nll") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
-        return own.select("doc_id", "lang", F.col("n").alias("n_chars_scored"), F.exp(held).alias("perplexity"), F.exp("most").alias("threshold"), (held <= F.col("most")).alias("keep"))
+        return own.select("doc_id", "lang", F.col("n").alias("n_chars_scored"), F.exp(held).alias("perplexity"), F.exp("most").alias("threshold"), (held <= F.col("most")).alias("keep"), *more)
 
     def kept(self, docs: DataFrame) -> DataFrame:
         """The rows of ``docs`` that stay, all columns as they are: filtered where they are read."""
         if self.scorer is None:
-            verdict = self.judge(docs).where("keep").select(F.col("doc_id").alias("d")).distinct()
-            return docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+            verdict = self._judged(score_by_shards(docs, self.model, self.order), "text_hash").where("keep")
+            verdict = verdict.select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"), F.col("text_hash").alias("_h")).distinct()
+            same = docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.coalesce(docs["lang"], F.lit("")) == F.col("_l")) & (F.xxhash64(docs["text"]) == F.col("_h"))
+            return docs.join(verdict, same, "left_semi")
         shared, limit, lang, text = self.scorer, self._limit, docs.columns.index("lang"), docs.columns.index("text")
         limits = {k: limit(k) for k in self.limits}
         other = limit(POOLED)

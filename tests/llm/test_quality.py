@@ -85,3 +85,23 @@ def test_toxic_documents_are_not_trusted(spark):
     made = quality.train(docs, labels(spark, [(d, 1, 1 - d % 2) for d in range(1, 101)] + [(d, 1, 0) for d in (2, 4)]))
     judged = {r.doc_id: r.keep for r in made.judge(docs).collect()}
     assert all(judged[d] for d in range(1, 101, 2)) and not any(judged[d] for d in range(2, 101, 2))
+
+
+def test_both_ways_keep_repeats_apart(spark):
+    """Repeated rows, ids and null ids with a good and a bad text: the same rows by tasks and by shards."""
+    good, junk = "the cat sat on the mat. ", "ZZQ %%% 0x1f zzqq "
+    rows = [(d, "en", good * (1 + d % 9)) for d in range(1, 61)]
+    rows += rows[:30] + [(200, "en", good), (200, "en", junk * 9), (None, "en", good), (None, None, junk * 9), (None, "en", junk * 9), (None, "en", good), (201, "en", None)]
+    docs, marked = frame(spark, rows), labels(spark, [(d, 1, 0) for d in range(1, 61)])
+    here, spread = quality.train(docs, marked), quality.train(docs, marked, local_limit=0)
+    assert here.scorer is not None and spread.scorer is None
+    assert {k: pytest.approx(v) for k, v in here.limits.items()} == spread.limits
+
+    def judged(made):
+        return sorted((r.doc_id or 0, r.n_chars_scored, round(r.perplexity, 6), r.keep) for r in made.judge(docs).collect())
+
+    def kept(made):
+        return sorted((r.doc_id or 0, r.text or "") for r in made.kept(docs).collect())
+
+    assert judged(spread) == judged(here) and len(judged(here)) == len(rows)
+    assert kept(spread) == kept(here) and not any(t.startswith(junk) for _, t in kept(spread))
