@@ -232,8 +232,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, node_limit: int = 1024) -
     """
     prints = cut(fingerprints(docs, shingle))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = links(classes.select("fp"), node_limit)
-    named = found.join(classes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(classes.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b").where("ra is not null and rb is not null").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    joined = components(named).select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
-    parts = classes.join(joined, "rep", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
+    # Fingerprints are the nodes, also those that only rows without an id have; ids come in after.
+    joined = components(links(classes.select("fp"), node_limit)).select(F.col("node").alias("fp"), F.col("component").alias("part"))
+    joined = cut(classes.join(joined, "fp"))
+    first = joined.groupBy("part").agg(F.min("rep").alias("component_id"))
+    linked = joined.join(first, "part").select("fp", "component_id")
+    parts = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return prints.join(parts, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")

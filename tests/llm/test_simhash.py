@@ -94,3 +94,13 @@ def test_documents_and_hot_nodes(spark):
     want = plain_components([(r[0], plain_fingerprint(r[1])) for r in rows])
     assert run(spark, rows) == want
     assert run(spark, rows, node_limit=16) == want
+
+
+def test_null_row_as_bridge(spark, monkeypatch):
+    """A row without an id joins those on its two sides, wherever its fingerprint stands in Gray order."""
+    for case, bridge in enumerate((0b000, 0b111000, 0b011, 0b111111)):
+        prints = [(5, bridge ^ 0b000111), (None, bridge), (9, bridge ^ 0b111000), (7, 0x7F << 40)]
+        df = spark.createDataFrame(prints, "doc_id long, fp long")
+        monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: df)
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+        assert got == {5: 5, None: 5, 9: 5, 7: 7}, case
