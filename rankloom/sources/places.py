@@ -7,11 +7,20 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_SETTING = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a folder of this machine only where that is unset and Spark is local, as in tests."""
+    found = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {_SETTING} to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="rankloom-shared-")
+        spark.conf.set(_SETTING, found)
+    return found.rstrip("/")
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; a local folder only where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="rankloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
