@@ -1,23 +1,25 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of characters.
 
-Every code point is a symbol of its own; an n-gram of up to six is two numbers of 21 bits a
-symbol, ``high`` and ``gram`` (the last three).  Counts of the trusted text of every language are
-gathered over the whole corpus (histograms by task, summed by n-gram), so that they grow with
-it; the model is then made order by order with joins of the count tables on the n-gram, its
-context and its shorter form, each table sharded by those keys.  A document is rejected when
-its perplexity lies above a quantile of its language, taken over trusted documents that the
+Every code point is a symbol of its own; an n-gram is two numbers of 21 bits a symbol, ``high``
+(all but the last three) and ``gram`` (the last three).  Counts of the trusted text of every
+language are gathered over the whole corpus, order by order, and grow with it.
+
+Scoring is a join of the documents' n-grams with the count tables, both dealt to shards by the
+two symbols before the last one: what an order of three and more needs to know of an n-gram lies
+in one shard.  Documents are taken in bundles of bounded size.  A bundle sends each of its
+distinct n-grams once to the shards and gets back minus the logarithm of its probability; then
+the bundle's documents are summed.  No task holds more of the model than its shard or what its
+bundle needs, and there is no other way of scoring for smaller models.  A document is rejected
+when its perplexity lies above a quantile of its language, taken over trusted documents that the
 model was not trained on.
-
-Scoring joins the documents' n-grams with the count shards.  While the model has at most
-``local_limit`` entries the shards go to the tasks and the join runs there; beyond that the
-n-grams of each document are dealt to the shards (``score_by_shards``), with the same results.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
-from functools import lru_cache, reduce
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,31 +27,32 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, sized
+from .shared import broadcast_if_small, steady, stored
 
 ORDER = 5
 SYMBOLS = 0x110001  # all code points, and 0 before a text
 BITS = 21  # of a symbol in a number; three symbols fill a long
 POOLED = "*"  # the model of all trusted text, for languages without their own
 QUANTILE = 0.98
-PRIOR = 100  # characters at the language's mean that every document is taken to have besides its own
+PRIOR = 100  # characters at the language's mean that the smoothed perplexity adds to every document
 HELD_OUT = 5  # one trusted document in so many sets thresholds
-LEAST_HELD_OUT = 50
-LOCAL_LIMIT = 4_000_000
-LANGUAGES = 10_000  # rows of a table with one row for each language and size that may be broadcast
-BROADCAST_IDS = 2_000_000  # labelled ids, 8 bytes each, that may be broadcast
+BACK_OFF = 50  # held-out documents that the quantile over all languages weighs as much as, beside a language's own
 BIN = 1000  # histogram bins for one nat
+SLACK = 1e-6  # nats above a limit that still pass: scores are kept in single precision
+LANGUAGES = 10_000  # with trusted text; one row for each comes to the driver
+BROADCAST_IDS = 2_000_000  # labelled ids, 8 bytes each, that may be broadcast
+BUNDLE = 1 << 25  # characters of text in a bundle
+SHARD = 1 << 22  # characters of text for each shard
+SALTS = 8  # parts into which one symbol before the last is dealt
 _CHUNK = 1 << 19
+_MASK = (1 << BITS) - 1
 
 
-@lru_cache
-def symbol_table() -> np.ndarray:
-    """Code point to symbol: nothing is folded."""
-    return np.arange(1, SYMBOLS, dtype=np.uint32)
+# ---------------------------------------------------------------- n-grams in a task
 
 
-def _padded(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The symbols of all texts, each behind order - 1 zeros, where its characters are, and where each text ends among these."""
+def _coded(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both numbers of the n-gram that ends at each character of all texts, and where each text ends."""
     sizes = np.array([len(t) for t in texts], np.int64)
     pad = "\0" * (order - 1)
     points = np.frombuffer((pad + pad.join(texts)).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -57,65 +60,90 @@ def _padded(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.nd
     own = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
     real = np.zeros(len(points) + 1, np.int64)
     real[own] = points[own].astype(np.int64) + 1
-    return real, own, np.cumsum(sizes)
-
-
-def _coded(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both numbers of the n-gram that ends at each character of all texts, and where each text ends."""
-    real, own, ends = _padded(texts, order)
     high, low = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
     for back in range(order - 1, -1, -1):
         part = high if back > 2 else low
         part <<= BITS
         part |= real[own - back]
-    return high, low, ends
+    return high, low, np.cumsum(sizes)
 
 
-def _tally(high: np.ndarray, low: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct n-grams with the sums of ``many``."""
-    if not len(low):
-        return high, low, many
-    order = np.lexsort((low, high))
-    high, low = high[order], low[order]
-    first = np.flatnonzero(np.r_[True, (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
-    return high[first], low[first], np.add.reduceat(many[order], first)
+def _distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams, and the place of each given one among them."""
+    h, g = pa.array(high).dictionary_encode(), pa.array(low).dictionary_encode()
+    wide = max(1, len(g.dictionary))
+    both = pa.array(h.indices.to_numpy().astype(np.int64) * wide + g.indices.to_numpy()).dictionary_encode()
+    code = both.dictionary.to_numpy()
+    return h.dictionary.to_numpy()[code // wide], g.dictionary.to_numpy()[code % wide], both.indices.to_numpy()
 
 
-def _by_language(batches: Iterator[pa.RecordBatch], lang: int, text: int) -> Iterator[tuple[str, list[int], list[str], pa.RecordBatch]]:
-    """Chunks of bounded size: the language, the rows in the batch and their texts."""
-    for batch in batches:
-        langs, texts = batch.column(lang).to_pylist(), batch.column(text).to_pylist()
-        groups: dict[str, list[int]] = {}
-        for i, name in enumerate(langs):
-            groups.setdefault(name or "", []).append(i)
-        for name, rows in groups.items():
-            part, many = [], 0
-            for i in rows:
-                part.append(i)
-                many += len(texts[i] or "")
-                if many > _CHUNK:
-                    yield name, part, [texts[k] or "" for k in part], batch
-                    part, many = [], 0
-            if part:
-                yield name, part, [texts[k] or "" for k in part], batch
+def _added(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tallies as one: distinct n-grams with the sums of their numbers."""
+    high, low, many = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    high, low, at = _distinct(high, low)
+    return high, low, np.bincount(at, many, len(low)).astype(np.int64)
+
+
+class _Tally:
+    """Distinct n-grams by language with their numbers, chunk by chunk."""
+
+    def __init__(self) -> None:
+        self.parts: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        self.loose: dict[str, int] = {}
+
+    def add(self, lang: str, high: np.ndarray, low: np.ndarray) -> None:
+        high, low, at = _distinct(high, low)
+        own = self.parts.setdefault(lang, [])
+        own.append((high, low, np.bincount(at, minlength=len(low))))
+        self.loose[lang] = self.loose.get(lang, 0) + len(low)
+        if len(own) > 1 and self.loose[lang] > 2 * len(own[0][1]) + (1 << 20):
+            own[:] = [_added(own)]
+            self.loose[lang] = 0
+
+    def items(self) -> Iterator[tuple[str, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        for lang, parts in self.parts.items():
+            yield lang, _added(parts)
+
+
+def _language(name: str | None) -> str:
+    return "" if name is None or name == POOLED else name
+
+
+def _by_language(batch: pa.RecordBatch, lang: int, text: int) -> Iterator[tuple[str, list[int], list[str]]]:
+    """Chunks of bounded size of one batch: the language, the rows and their texts."""
+    texts = batch.column(text).to_pylist()
+    groups: dict[str, list[int]] = {}
+    for i, name in enumerate(batch.column(lang).to_pylist()):
+        groups.setdefault(_language(name), []).append(i)
+    for name, rows in groups.items():
+        part, many = [], 0
+        for i in rows:
+            part.append(i)
+            many += len(texts[i] or "")
+            if many > _CHUNK:
+                yield name, part, [texts[k] or "" for k in part]
+                part, many = [], 0
+        if part:
+            yield name, part, [texts[k] or "" for k in part]
+
+
+# ---------------------------------------------------------------- counts
 
 
 def _histograms(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    kept: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    for name, _, texts, _ in _by_language(batches, 0, 1):
-        high, low, _ = _coded(texts, order)
-        now = _tally(high, low, np.ones(len(low), np.int64))
-        if name in kept:
-            now = _tally(*(np.r_[a, b] for a, b in zip(kept[name], now)))
-        kept[name] = now
+    kept = _Tally()
+    for batch in batches:
+        for name, _, texts in _by_language(batch, 0, 1):
+            high, low, _ = _coded(texts, order)
+            if len(low):
+                kept.add(name, high, low)
     for name, (high, low, many) in kept.items():
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(low)), pa.array(high), pa.array(low), pa.array(many)], ["lang", "high", "gram", "n"])
 
 
 def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """``texts(lang, text)`` to ``(lang, high, gram, n)``, with the sums over all languages as language ``*``."""
-    own = texts.select("lang", "text").mapInArrow(lambda it: _histograms(it, order), "lang string, high long, gram long, n long").groupBy("lang", "high", "gram").agg(F.sum("n").alias("n"))
-    own = sized(own)
+    own = stored(texts.select("lang", "text").mapInArrow(lambda it: _histograms(it, order), "lang string, high long, gram long, n long").groupBy("lang", "high", "gram").agg(F.sum("n").alias("n")))
     return own.unionByName(own.groupBy("high", "gram").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "high", "gram", "n"))
 
 
@@ -125,294 +153,344 @@ def _last(n: int) -> tuple[Column, Column]:
     return high, F.col("gram").bitwiseAND(F.lit((1 << BITS * min(n, 3)) - 1)).cast("long")
 
 
-def _context() -> tuple[Column, Column]:
-    """All symbols of an n-gram but its last."""
-    carried = F.shiftleft(F.col("high").bitwiseAND(F.lit((1 << BITS) - 1)), 2 * BITS)
-    return F.shiftright("high", BITS), F.shiftright("gram", BITS).bitwiseOR(carried)
+def continuation_counts(counts: DataFrame, order: int = ORDER) -> dict[int, DataFrame]:
+    """By size: the counts themselves, and for shorter n-grams the numbers of their distinct left neighbours."""
+    by_size = {order: stored(counts)}
+    for n in range(order - 1, 0, -1):
+        high, gram = _last(n)
+        by_size[n] = stored(by_size[n + 1].groupBy("lang", high.alias("high"), gram.alias("gram")).agg(F.count("*").alias("n")))
+    return by_size
 
 
-def _discounts(by_size: dict[int, DataFrame]) -> DataFrame:
+def discounts(by_size: dict[int, DataFrame]) -> dict[tuple[str, int], tuple[float, float, float]]:
     """The three discounts of each language and size, from how many n-grams have counts of one to four."""
-    sized_counts = reduce(DataFrame.unionByName, (df.select("lang", F.lit(n).alias("size"), "n") for n, df in by_size.items()))
-    of = sized_counts.groupBy("lang", "size").agg(*(F.count(F.when(F.col("n") == i, 1)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)))
-    y = F.when(F.col("n1") + F.col("n2") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(0.5)
-    return of.select("lang", "size", *(F.when(F.col(f"n{i}") > 0, F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1.0)), F.lit(0.05)), F.lit(float(i)) - 0.05)).otherwise(F.lit(i * 0.5)).alias(f"d{i}") for i in (1, 2, 3)))
+    sizes = reduce(DataFrame.unionByName, (df.select("lang", F.lit(n).alias("size"), "n") for n, df in by_size.items()))
+    rows = sizes.groupBy("lang", "size").agg(*(F.count(F.when(F.col("n") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4))).limit(LANGUAGES * len(by_size) + 1).collect()
+    if len(rows) > LANGUAGES * len(by_size):
+        raise ValueError(f"more than {LANGUAGES} languages have trusted text")
+    out = {}
+    for r in rows:
+        y = r.n1 / (r.n1 + 2 * r.n2) if r.n1 + r.n2 else 0.5
+        out[r.lang, r["size"]] = tuple(min(max(i - (i + 1) * y * r[f"n{i + 1}"] / r[f"n{i}"], 0.05), i - 0.05) if r[f"n{i}"] else i * 0.5 for i in (1, 2, 3))
+    return out
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """Counts of the highest order to ``(lang, size, high, gram, p, bow)``.
+def _shares(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    """What the discount takes from each count."""
+    return np.array([0.0, *d])[np.minimum(n, 3)]
 
-    ``size`` n rows with ``p`` are seen n-grams with their interpolated probability; rows with
-    ``bow`` are contexts of n-grams of that size with the weight of the shorter n-gram.  No
-    context and no shorter n-gram has more n-grams than there are code points in the language's
-    text, so no key grows with the corpus.
-    """
-    by_size = {order: sized(counts)}
-    for n in range(order - 1, 0, -1):  # shorter n-grams count their distinct left neighbours
-        by_size[n] = sized(by_size[n + 1].groupBy("lang", _last(n)[0].alias("high"), _last(n)[1].alias("gram")).agg(F.count("*").alias("n")))
-    discounts = broadcast_if_small(sized(_discounts(by_size)), LANGUAGES)
-    made, lower = [], None
-    of_context = Window.partitionBy("lang", "before", "context")
-    for n in range(1, order + 1):
-        now = by_size[n].join(discounts.where(F.col("size") == n).drop("size"), "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        before, context = _context()
-        now = now.withColumn("before", before).withColumn("context", context).withColumn("all", F.sum("n").over(of_context)).withColumn("bow", F.sum("d").over(of_context) / F.col("all"))
-        further, shorter = _last(n - 1)
-        now = now.withColumn("further", further).withColumn("shorter", shorter)
-        now = now.withColumn("low", F.lit(1.0 / SYMBOLS)) if lower is None else now.join(lower, ["lang", "further", "shorter"])
-        now = sized(now.select("lang", F.lit(n).alias("size"), "high", "gram", ((F.col("n") - F.col("d")) / F.col("all") + F.col("bow") * F.col("low")).alias("p"), "before", "context", "bow"))
-        lower = now.select("lang", F.col("high").alias("further"), F.col("gram").alias("shorter"), F.col("p").alias("low"))
-        none = F.lit(None).cast("double")
-        made += [now.select("lang", "size", "high", "gram", "p", none.alias("bow")), now.groupBy("lang", "size", F.col("before").alias("high"), F.col("context").alias("gram")).agg(none.alias("p"), F.min("bow").alias("bow"))]
-    return sized(reduce(DataFrame.unionByName, made))
 
+# ---------------------------------------------------------------- shards
 
-@dataclass(frozen=True)
-class Level:
-    """The strings of one size that the model knows, as nodes of a tree: numbered by context and last symbol."""
 
-    keys: np.ndarray  # sorted: number of the context x letters + last symbol
-    every: np.ndarray | None  # the node of each key, where that table is not much larger than ``keys``
+class _Pairs:
+    """N-grams to find again: places of two-number keys."""
+
+    def __init__(self, high: np.ndarray, low: np.ndarray):
+        self.highs, self.lows = np.unique(high), np.unique(low)
+        code = np.searchsorted(self.highs, high) * max(1, len(self.lows)) + np.searchsorted(self.lows, low)
+        self.order = np.argsort(code, kind="stable")
+        self.codes = code[self.order]
+
+    def find(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """The place of each n-gram in the arrays given at first, -1 for none."""
+        if not len(self.codes):
+            return np.full(len(high), -1)
+        h, g = np.minimum(np.searchsorted(self.highs, high), len(self.highs) - 1), np.minimum(np.searchsorted(self.lows, low), len(self.lows) - 1)
+        code = h * len(self.lows) + g
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where((self.highs[h] == high) & (self.lows[g] == low) & (self.codes[at] == code), self.order[at], -1)
+
+
+def _cut_to(high: np.ndarray, low: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last ``n`` symbols."""
+    return (high & ((1 << BITS * (n - 3)) - 1) if n > 3 else np.zeros_like(high)), low & ((1 << BITS * min(n, 3)) - 1)
+
 
-    def find(self, context: np.ndarray, letters: int, code: np.ndarray) -> np.ndarray:
-        """The node of each string; as many as there are keys stands for none."""
-        key = context.astype(np.int64) * letters + code
-        if self.every is not None:
-            return self.every[key]
-        if not len(self.keys):
-            return np.zeros(len(key), np.int64)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, at, len(self.keys))
+def _before(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All symbols but the last."""
+    return high >> BITS, low >> BITS | (high & _MASK) << 2 * BITS
+
+
+def probabilities(high: np.ndarray, low: np.ndarray, p: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], of: dict[int, tuple[float, float, float]]) -> np.ndarray:
+    """Interpolated probabilities of n-grams, from that of their last symbol up through all sizes in ``tables``."""
+    for n in sorted(tables):
+        own_high, own_low, many = tables[n]
+        if not len(many):
+            continue
+        took = _shares(many, of[n])
+        context = _distinct(*_before(own_high, own_low))
+        whole, taken = (np.bincount(context[2], w, len(context[0])) for w in (many, took))
+        now = _cut_to(high, low, n)
+        seen, known = _Pairs(own_high, own_low).find(*now), _Pairs(*context[:2]).find(*_before(*now))
+        top = np.where(seen >= 0, (many - took)[seen], 0.0)
+        p = np.where(known >= 0, (top + taken[known] * p) / whole[known], p)
+    return p
+
+
+def _slot(lang: str, low: np.ndarray, shards: int) -> np.ndarray:
+    key = (low >> BITS & _MASK) * SALTS + (low >> 2 * BITS & _MASK) % SALTS
+    return (((key * 0x9E3779B1) ^ (zlib.crc32(lang.encode()) << 13)) >> 16) % shards
+
+
+def _slot_of(before: Column, salt: Column, shards: int) -> Column:
+    """``_slot`` as a column: of the symbol before the last and the salt of the one before that."""
+    mixed = ((before * SALTS + salt) * F.lit(0x9E3779B1)).bitwiseXOR(F.shiftleft(F.crc32(F.col("lang").cast("binary")), 13))
+    return F.pmod(F.shiftright(mixed, 16), F.lit(shards))
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Sorted numbers, byte by place: most of them repeat."""
+    return pa.compress(b"".join(a.view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, many: int, arrays: int = 2) -> list[np.ndarray]:
+    flat = np.frombuffer(pa.decompress(data, decompressed_size=8 * many * arrays, codec="zstd"), np.uint8)
+    return [np.ascontiguousarray(flat[i * 8 * many:(i + 1) * 8 * many].reshape(8, many).T).view(np.int64).ravel() for i in range(arrays)]
+
+
+def _bundles(batches: Iterator[pa.RecordBatch], text: int, size: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows in the order they come, with the number of their bundle."""
+    number, held = 0, 0
+    base = TaskContext.get().partitionId() << 24
+    for batch in batches:
+        sizes = np.array([len(t or "") for t in batch.column(text).to_pylist()], np.int64)
+        start = 0
+        while start < batch.num_rows:
+            room = np.cumsum(sizes[start:]) + held
+            fits = max(1, int(np.searchsorted(room, size, "right")))
+            stop = min(batch.num_rows, start + fits)
+            yield base + number, batch.slice(start, stop - start)
+            held = int(room[stop - start - 1])
+            if held >= size or stop < batch.num_rows:
+                number, held = number + 1, 0
+            start = stop
+
+
+_NEED = "shard long, bundle long, by string, many long, grams binary"
+
+
+def _need_batches(batches: Iterator[pa.RecordBatch], order: int, known: frozenset[str], shards: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of every bundle, a row for each shard and language."""
+    def rows(bundle: int, tally: _Tally) -> Iterator[pa.RecordBatch]:
+        for by, (high, low, _) in tally.items():
+            slot = _slot(by, low, shards)
+            at = np.lexsort((low, high, slot))
+            high, low, slot = high[at], low[at], slot[at]
+            cuts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1], True])
+            packs = [_packed(high[a:b], low[a:b]) for a, b in zip(cuts, cuts[1:])]
+            many = len(packs)
+            yield pa.RecordBatch.from_arrays([pa.array(slot[cuts[:-1]]), pa.array([bundle] * many, pa.int64()), pa.array([by] * many), pa.array(np.diff(cuts)), pa.array(packs, pa.binary())], [x.split()[0] for x in _NEED.split(", ")])
+
+    now, tally = None, _Tally()
+    for bundle, batch in _bundles(batches, 1, size):
+        if bundle != now:
+            if now is not None:
+                yield from rows(now, tally)
+            now, tally = bundle, _Tally()
+        for name, _, texts in _by_language(batch, 0, 1):
+            high, low, _ = _coded(texts, order)
+            if len(low):
+                tally.add(name if name in known else POOLED, high, low)
+    if now is not None:
+        yield from rows(now, tally)
+
+
+def _row_batches(batches: Iterator[pa.RecordBatch], text: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of every bundle in compressed parts."""
+    for bundle, batch in _bundles(batches, text, size):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([bundle], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bundle", "rows"])
 
 
 @dataclass(frozen=True)
-class Shard:
-    """One language in a task: by size, the nodes, minus the logarithms of their probabilities (NaN: not seen) and of their contexts' weights."""
-
-    code: np.ndarray  # symbol to the language's own numbering; its last stands for all symbols that the model lacks
-    letters: int
-    levels: list[Level]
-    nll: list[np.ndarray]
-    bow: list[np.ndarray]
-
-    def score(self, symbols: np.ndarray) -> np.ndarray:
-        code = self.code[np.minimum(symbols, len(self.code) - 1)]
-        out = np.full(len(code), np.log(SYMBOLS))
-        node, root = np.zeros(len(code), np.int32), 0
-        for level, nll, bow in zip(self.levels, self.nll, self.bow):
-            context = np.r_[node[:1] * 0 + root, node[:-1]]
-            node, root = level.find(context, self.letters, code), len(level.keys)
-            own = nll[node]
-            out = np.where(np.isnan(own), out + bow[context], own)
-        return out
-
-
-def shard_of(rows: dict[str, np.ndarray], order: int = ORDER) -> Shard:
-    alphabet = np.sort(rows["gram"][rows["size"] == 1])
-    code = np.full((alphabet[-1] if len(alphabet) else 0) + 2, len(alphabet) + 1, np.int32)
-    code[alphabet], code[0] = np.arange(1, len(alphabet) + 1), 0
-    letters = len(alphabet) + 2
-    levels: list[Level] = []
-
-    def keys_of(rows_of: np.ndarray, n: int) -> np.ndarray:
-        """Keys at level ``n`` of strings of ``n`` symbols."""
-        high, low = rows["high"][rows_of], rows["gram"][rows_of]
-        at = key = np.zeros(len(low), np.int64)
-        for i in range(n - 1, -1, -1):
-            own = code[((high >> BITS * (i - 3)) if i > 2 else (low >> BITS * i)) & ((1 << BITS) - 1)]
-            key = at * letters + own
-            if i:
-                at = levels[n - 1 - i].find(at, letters, own)
-        return key
-
-    nll, bow = [], []
-    for n in range(1, order + 1):
-        own, of_next, before = (np.flatnonzero(rows["size"] == k) for k in (n, -n - 1, -n))
-        key = keys_of(own, n)
-        keys = np.unique(np.r_[key, keys_of(of_next, n)])
-        cells = ((len(levels[-1].keys) if levels else 1) + 1) * letters
-        every = None
-        if cells <= 30 * len(keys) + 4096:
-            every = np.full(cells, len(keys), np.int32)
-            every[keys] = np.arange(len(keys))
-        weight = np.zeros((len(levels[-1].keys) if levels else 1) + 1)
-        where = np.searchsorted(levels[-1].keys, keys_of(before, n - 1)) if levels else np.zeros(len(before), np.int64)
-        weight[where] = -np.log(rows["x"][before])
-        levels.append(Level(keys, every))
-        known = np.full(len(keys) + 1, np.nan)
-        known[np.searchsorted(keys, key)] = -np.log(rows["x"][own])
-        nll.append(known)
-        bow.append(weight)
-    return Shard(code, letters, levels, nll, bow)
-
-
-class Scorer:
-    """The model's shards inside the tasks (a broadcast whose size was checked)."""
-
-    def __init__(self, table: pa.Table, order: int = ORDER):
-        self.order, self.made = order, {}
-        # Numbers only, and of one column at a time: the driver holds little besides the table.
-        langs = table.column("lang").combine_chunks().dictionary_encode()
-        names, at = langs.dictionary.to_pylist(), langs.indices.to_numpy()
-        order_of = np.argsort(at, kind="stable").astype(np.int32)
-        ends = np.cumsum(np.bincount(at, minlength=len(names)))
-        own = {name: {} for name in names}
-        for c, kind in (("size", np.int8), ("high", np.int64), ("gram", np.int64), ("p", np.float64), ("bow", np.float64)):
-            values = table.column(c).to_numpy()
-            for name, lo, hi in zip(names, np.r_[0, ends[:-1]], ends):
-                own[name][c] = values[order_of[lo:hi]].astype(kind)
-        self.parts = {}
-        for name, v in own.items():
-            v["x"] = np.where(np.isnan(v["p"]), v.pop("bow"), v["p"])
-            v["size"] = np.where(np.isnan(v.pop("p")), -v["size"], v["size"])  # below zero: a context
-            self.parts[name] = v
-
-    def __getstate__(self):
-        return self.__dict__ | {"made": {}}
-
-    def shard(self, lang: str) -> tuple[str, Shard]:
-        name = lang if lang in self.parts else POOLED
-        if name not in self.made:
-            self.made[name] = shard_of(self.parts[name], self.order)
-            if TaskContext.get() is not None:  # a worker's own copy is not sent on
-                self.parts[name] = {}
-        return name, self.made[name]
-
-    def sums(self, lang: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Characters and summed negative log-likelihood of each text."""
-        real, own, ends = _padded(texts, self.order)
-        total = np.r_[0.0, np.cumsum(self.shard(lang)[1].score(real)[own])] if len(own) else np.zeros(1)
-        starts = np.r_[0, ends[:-1]]
-        return ends - starts, total[ends] - total[starts]
-
-
-def _score_batches(batches: Iterator[pa.RecordBatch], scorer: Callable[[], Scorer]) -> Iterator[pa.RecordBatch]:
-    for lang, rows, texts, batch in _by_language(batches, 1, 2):
-        many, nll = scorer().sums(lang, texts)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([lang] * len(rows)), pa.array(many), pa.array(nll)], ["doc_id", "lang", "n", "nll"])
-
-
-def _gram_batches(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordBatch]:
-    for lang, rows, texts, batch in _by_language(batches, 1, 2):
-        high, low, ends = _coded(texts, order)
-        for k, (i, lo, hi) in enumerate(zip(rows, np.r_[0, ends[:-1]], ends)):
-            upper, own, many = _tally(high[lo:hi], low[lo:hi], np.ones(hi - lo, np.int64))
-            at = pa.array([i] * len(own), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(3).take(at), pa.array([lang] * len(own), pa.string()), pa.array(upper), pa.array(own), pa.array(many)], ["doc_id", "text_hash", "lang", "high", "gram", "n"])
-
-
-def score_by_shards(docs: DataFrame, model: DataFrame, order: int = ORDER) -> DataFrame:
-    """Scores by joins on the n-gram: for models that no task can hold.  The columns of ``score`` and ``text_hash``, one row per row.
-
-    Distinct (doc_id, lang, text_hash) are scored once and joined back to all rows.
+class Model:
+    """Sharded count tables, and what has a row for each language or code point."""
+
+    counts: DataFrame  # lang, size, high, gram, n, for sizes from two
+    of: dict[tuple[str, int], tuple[float, float, float]]
+    first: dict[str, tuple[np.ndarray, np.ndarray]]  # by language: symbols and their probabilities, at most one for each code point
+    order: int = ORDER
+
+    @property
+    def languages(self) -> frozenset[str]:
+        return frozenset(self.first) - {POOLED}
+
+    def unigrams(self, by: str, symbol: np.ndarray) -> np.ndarray:
+        symbols, p = self.first[by]
+        at = np.minimum(np.searchsorted(symbols, symbol), len(symbols) - 1)
+        return np.where(symbols[at] == symbol, p[at], p[-1])
+
+    def scored(self, docs: DataFrame, emit: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch], schema, size: int = BUNDLE, per_shard: int = SHARD) -> DataFrame:
+        """``emit(rows, characters, nll)`` over all rows of ``docs``, which is read twice and must deal its rows alike both times."""
+        docs = steady(docs)
+        lang, text = docs.columns.index("lang"), docs.columns.index("text")
+        whole = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
+        shards = max(1, -(-whole // per_shard))
+        order, of, known = self.order, self.of, self.languages
+        model = docs.sparkSession.sparkContext.broadcast(Model(None, of, self.first, order))  # no more than code points and languages
+        needs = docs.select("lang", "text").mapInArrow(lambda it: _need_batches(it, order, known, shards, size), _NEED)
+        w3, w4 = F.shiftright("gram", 2 * BITS), F.shiftright("gram", BITS).bitwiseAND(F.lit(_MASK))
+        salts = F.when(F.col("size") > 2, F.array(F.pmod(w3, F.lit(SALTS)))).otherwise(F.expr(f"sequence(0L, {SALTS - 1}L)"))  # pairs go to all parts of their first symbol
+        slots = F.array_distinct(F.transform(salts, lambda salt: _slot_of(w4, salt, shards)))
+        sharded = self.counts.select(F.explode(slots).alias("slot"), "lang", "size", "high", "gram", "n")
+
+        def lookup(asked: pa.Table, held: pa.Table) -> pa.Table:
+            out = []
+            if asked.num_rows:
+                names = held.column("lang").combine_chunks().dictionary_encode()
+                number = {x: i for i, x in enumerate(names.dictionary.to_pylist())}
+                at, sizes, high, low, n = names.indices.to_numpy(), *(held.column(c).to_numpy() for c in ("size", "high", "gram", "n"))
+                by_lang: dict[str, list[int]] = {}
+                for i, by in enumerate(asked.column("by").to_pylist()):
+                    by_lang.setdefault(by, []).append(i)
+                many, packs = asked.column("many").to_pylist(), asked.column("grams").to_pylist()
+                out = [b""] * len(many)
+                for by, rows in by_lang.items():
+                    mine = np.flatnonzero(at == number.get(by, -1))
+                    tables = {k: tuple(x[mine[sizes[mine] == k]] for x in (high, low, n)) for k in range(2, order + 1)}
+                    parts = [_unpacked(packs[i], many[i]) for i in rows]
+                    h, g = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+                    nll = -np.log(probabilities(h, g, model.value.unigrams(by, g & _MASK), tables, {k: of.get((by, k), (0.5, 1.0, 1.5)) for k in tables})).astype(np.float32)
+                    for i, a in zip(rows, np.split(nll, np.cumsum([many[i] for i in rows])[:-1])):
+                        out[i] = a.tobytes()
+            return asked.drop_columns(["shard"]).append_column("nll", pa.array(out, pa.binary()))
+
+        found = needs.groupBy("shard").cogroup(sharded.groupBy("slot")).applyInArrow(lookup, "bundle long, by string, many long, grams binary, nll binary")
+        parts = docs.mapInArrow(lambda it: _row_batches(it, text, size), "bundle long, rows binary")
+
+        def summed(rows: pa.Table, scores: pa.Table) -> pa.Table:
+            tables: dict[str, list] = {}
+            for r in scores.to_pylist():
+                tables.setdefault(r["by"], []).append((*_unpacked(r["grams"], r["many"]), np.frombuffer(r["nll"], np.float32)))
+            ready = {by: (_Pairs(*(np.concatenate([p[i] for p in own]) for i in (0, 1))), np.concatenate([p[2] for p in own])) for by, own in tables.items()}
+            done = []
+            for part in rows.column("rows"):
+                for batch in pa.ipc.open_stream(part.as_buffer()):
+                    chars, nll = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+                    for name, at, texts in _by_language(batch, lang, text):
+                        high, low, ends = _coded(texts, order)
+                        if not len(low):
+                            continue
+                        places, values = ready[name if name in known else POOLED]
+                        high, low, each = _distinct(high, low)
+                        place = places.find(high, low)
+                        if (place < 0).any():
+                            raise RuntimeError("the documents' rows were dealt differently in the second reading")
+                        total = np.r_[0.0, np.cumsum(values[place].astype(np.float64)[each])]
+                        starts = np.r_[0, ends[:-1]]
+                        chars[at], nll[at] = ends - starts, total[ends] - total[starts]
+                    done.append(emit(batch, chars, nll))
+            return pa.Table.from_batches(done)
+
+        return parts.groupBy("bundle").cogroup(found.groupBy("bundle")).applyInArrow(summed, schema)
+
+
+def kneser_ney(texts: DataFrame, order: int = ORDER) -> Model | None:
+    """A model of ``texts(lang, text)``; None without any character.
+
+    A language has a row for each of its distinct code points in the driver, and in the tables
+    no key has more rows than there are code points in its text.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", F.xxhash64("text").alias("text_hash"))
-    grams = slim.mapInArrow(lambda it: _gram_batches(it, order), "doc_id long, text_hash long, lang string, high long, gram long, n long").distinct()
-    known = model.select(F.col("lang").alias("known")).distinct()
-    grams = grams.join(broadcast_if_small(known, LANGUAGES), F.col("lang") == F.col("known"), "left").withColumn("by", F.coalesce("known", F.lit(POOLED)))
-    seen = model.where("p is not null").select(F.col("lang").alias("by"), "size", F.col("high").alias("h"), F.col("gram").alias("g"), F.col("p").alias("q"))
-    weight = model.where("bow is not null").select(F.col("lang").alias("by"), "size", F.col("high").alias("before"), F.col("gram").alias("context"), "bow")
-    each = grams.select("by", "high", "gram").distinct().withColumn("p", F.lit(1.0 / SYMBOLS))
-    for n in range(1, order + 1):
-        upper, own = _last(n)
-        last = each.select("by", upper.alias("high"), own.alias("gram"), F.col("high").alias("h0"), F.col("gram").alias("g0"), "p")
-        before, context = _context()
-        last = last.withColumn("before", before).withColumn("context", context).withColumnsRenamed({"high": "h", "gram": "g"})
-        last = last.join(weight.where(F.col("size") == n).drop("size"), ["by", "before", "context"], "left")
-        last = last.join(seen.where(F.col("size") == n).drop("size"), ["by", "h", "g"], "left")
-        each = last.select("by", F.col("h0").alias("high"), F.col("g0").alias("gram"), F.coalesce("q", F.coalesce("bow", F.lit(1.0)) * F.col("p")).alias("p"))
-    scored = grams.join(each, ["by", "high", "gram"]).groupBy("doc_id", "text_hash", "lang").agg(F.sum("n").alias("n"), F.sum(-F.log("p") * F.col("n")).alias("nll"))
-    return slim.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text_hash").join(scored.withColumnRenamed("doc_id", "d").withColumnRenamed("lang", "l").withColumnRenamed("text_hash", "h"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("lang") == F.col("l")), "left").select("doc_id", "lang", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("nll", F.lit(0.0)).alias("nll"), "text_hash")
+    by_size = continuation_counts(gram_counts(texts, order), order)
+    of = discounts(by_size)
+    if not of:
+        return None
+    first: dict[str, list[tuple[int, int]]] = {}
+    for r in by_size[1].collect():  # bounded: code points by language
+        first.setdefault(r.lang, []).append((r.gram, r.n))
+    made = {}
+    for name, own in first.items():
+        symbol, n = (np.array(x, np.int64) for x in zip(*sorted(own)))
+        took = _shares(n, of[name, 1])
+        unseen = took.sum() / n.sum() / SYMBOLS
+        made[name] = np.r_[symbol, SYMBOLS + 1], np.r_[(n - took) / n.sum() + unseen, unseen]
+    counts = reduce(DataFrame.unionByName, (by_size[n].select("lang", F.lit(n).alias("size"), "high", "gram", "n") for n in range(2, order + 1))) if order > 1 else by_size[1].select("lang", F.lit(1).alias("size"), "high", "gram", "n").limit(0)
+    return Model(counts, of, made, order)
+
+
+# ---------------------------------------------------------------- the classifier
 
 
 @dataclass
 class Classifier:
-    """A trained model with its thresholds: mean and limit, in nats, by language."""
-
-    model: DataFrame
-    limits: dict[str, tuple[float, float]]
-    scorer: object  # a broadcast Scorer, or None when the model is too large for a task
-    order: int = ORDER
+    """A trained model with its thresholds by language: mean and limit in nats, and the held-out documents behind them."""
 
-    def _limit(self, lang: str) -> tuple[float, float]:
-        return self.limits.get(lang) or self.limits.get(POOLED) or (0.0, float("inf"))
+    model: Model | None
+    limits: dict[str, tuple[float, float, int]] = field(default_factory=dict)
+    bundle: int = BUNDLE
+    per_shard: int = SHARD
 
     def score(self, docs: DataFrame) -> DataFrame:
-        """``(doc_id, lang, n, nll)``: characters and their summed negative log-likelihood."""
-        if self.scorer is None:
-            return score_by_shards(docs, self.model, self.order).drop("text_hash")
-        shared = self.scorer
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(lambda it: _score_batches(it, lambda: shared.value), "doc_id long, lang string, n long, nll double")
+        """``(doc_id, lang, n, nll)``: characters and their summed negative log-likelihood, a row for each row."""
+        slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+        if self.model is None:
+            return slim.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n"), F.lit(0.0).alias("nll"))
 
-    def judge(self, docs: DataFrame) -> DataFrame:
-        """Scores with ``perplexity``, ``threshold`` and ``keep``.  Texts without characters have the mean of their language."""
-        return self._judged(self.score(docs))
+        def emit(rows: pa.RecordBatch, chars: np.ndarray, nll: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1).fill_null(""), pa.array(chars), pa.array(nll)], ["doc_id", "lang", "n", "nll"])
+
+        return self.model.scored(slim, emit, "doc_id long, lang string, n long, nll double", self.bundle, self.per_shard)
 
-    def _judged(self, scored: DataFrame, *more: str) -> DataFrame:
-        limits = scored.sparkSession.createDataFrame([(k, *v) for k, v in self.limits.items()] or [(POOLED, 0.0, float("inf"))], "l string, mean double, most double")
-        mean, most = self._limit(POOLED)
-        own = scored.join(F.broadcast(limits), F.col("lang") == F.col("l"), "left")
-        own = own.withColumn("mean", F.coalesce("mean", F.lit(mean))).withColumn("most", F.coalesce("most", F.lit(most)))
-        held = (F.col("nll") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
-        return own.select("doc_id", "lang", F.col("n").alias("n_chars_scored"), F.exp(held).alias("perplexity"), F.exp("most").alias("threshold"), (held <= F.col("most")).alias("keep"), *more)
+    def judge(self, docs: DataFrame) -> DataFrame:
+        """Scores with ``perplexity``, ``smoothed_perplexity``, ``threshold``, ``n_held_out`` and ``keep``.
+
+        ``perplexity`` is the document's own, ``smoothed_perplexity`` that with ``PRIOR`` more
+        characters at the mean of its language; the latter is held against the threshold.  A text
+        without characters has the mean of its language.  ``n_held_out`` documents of the language
+        are behind its threshold.
+        """
+        scored, names = self.score(docs), "l string, mean double, most double, held long"
+        limits = scored.sparkSession.createDataFrame([(k, float(m), float(x), int(h)) for k, (m, x, h) in self.limits.items() if k != POOLED], names)
+        mean, most, _ = self.limits.get(POOLED, (0.0, float("inf"), 0))
+        own = scored.join(broadcast_if_small(limits, LANGUAGES), F.col("lang") == F.col("l"), "left").withColumn("mean", F.coalesce("mean", F.lit(mean))).withColumn("most", F.coalesce("most", F.lit(most)))
+        smoothed = (F.col("nll") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
+        plain = F.when(F.col("n") > 0, F.col("nll") / F.col("n")).otherwise(F.col("mean"))
+        return own.select("doc_id", "lang", F.col("n").alias("n_chars_scored"), F.exp(plain).alias("perplexity"), F.exp(smoothed).alias("smoothed_perplexity"), F.exp("most").alias("threshold"), F.coalesce("held", F.lit(0)).cast("long").alias("n_held_out"), (smoothed <= F.col("most")).alias("keep"))
 
     def kept(self, docs: DataFrame) -> DataFrame:
-        """The rows of ``docs`` that stay, all columns as they are: filtered where they are read."""
-        if self.scorer is None:
-            verdict = self._judged(score_by_shards(docs, self.model, self.order), "text_hash").where("keep")
-            verdict = verdict.select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"), F.col("text_hash").alias("_h")).distinct()
-            same = docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (F.coalesce(docs["lang"], F.lit("")) == F.col("_l")) & (F.xxhash64(docs["text"]) == F.col("_h"))
-            return docs.join(verdict, same, "left_semi")
-        shared, limit, lang, text = self.scorer, self._limit, docs.columns.index("lang"), docs.columns.index("text")
-        limits = {k: limit(k) for k in self.limits}
-        other = limit(POOLED)
-
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for name, at, texts, batch in _by_language(batches, lang, text):
-                many, nll = shared.value.sums(name, texts)
-                mean, most = limits.get(name, other)
-                yield batch.take(pa.array(np.array(at)[(nll + PRIOR * mean) / (many + PRIOR) <= most]))
-
-        return docs.mapInArrow(rows, docs.schema)
-
-
-def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, local_limit: int = LOCAL_LIMIT) -> Classifier:
+        """The rows of ``docs`` that stay, all columns as they are."""
+        if self.model is None:
+            return docs
+        limits, other, at = self.limits, self.limits.get(POOLED, (0.0, float("inf"), 0)), docs.columns.index("lang")
+
+        def emit(rows: pa.RecordBatch, chars: np.ndarray, nll: np.ndarray) -> pa.RecordBatch:
+            own = [other if name == POOLED else limits.get(name or "", other) for name in rows.column(at).to_pylist()]
+            mean, most = (np.array([x[i] for x in own]) for i in (0, 1))
+            return rows.filter(pa.array((nll + PRIOR * mean) / (chars + PRIOR) <= most))
+
+        return self.model.scored(docs, emit, docs.schema, self.bundle, self.per_shard)
+
+
+def train(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, bundle: int = BUNDLE, per_shard: int = SHARD) -> Classifier:
     """A classifier from ``docs(doc_id, lang, text)`` and ``labels(doc_id, quality, toxic)``.
 
     Trusted are all documents with quality 1 that no label calls toxic or leaves open, without a
-    cap; repeated labels count once.  One in
-    five of them, dealt by a hash of the id, is held out for the thresholds: the ``quantile`` of
-    what they have above their language's mean, by language, or over all languages where fewer
-    than 50 are held out.  A null language is the
-    language "".  Without trusted text nothing is rejected.
+    cap; repeated labels count once.  One in five of them, dealt by a hash of the id, is held out
+    for the thresholds: the ``quantile`` of what they have above their language's mean, by
+    language, with the quantile over all languages weighing ``BACK_OFF`` documents beside a
+    language's own.  A null language is the language "".  Without trusted text nothing is
+    rejected.
     """
-    good = broadcast_if_small(sized(labels.groupBy(F.col("doc_id").alias("d")).agg(F.max("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(1))).alias("t")).where("q = 1 and t = 0").select("d")), BROADCAST_IDS)
+    good = broadcast_if_small(stored(labels.groupBy(F.col("doc_id").alias("d")).agg(F.max("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(1))).alias("t")).where("q = 1 and t = 0").select("d")), BROADCAST_IDS)
     trusted = docs.join(good, F.col("doc_id") == F.col("d"), "left_semi").select("doc_id", "lang", "text")
-    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(HELD_OUT))
-    model = kneser_ney(gram_counts(trusted.where(fold != 0), order), order)
-    spark = docs.sparkSession
-    if model.isEmpty():
-        return Classifier(model, {}, spark.sparkContext.broadcast(_Nothing()), order)
-    scorer = spark.sparkContext.broadcast(Scorer(model.toArrow(), order)) if model.count() <= local_limit else None
-    made = Classifier(model, {}, scorer, order)
-    held = sized(made.score(trusted.where(fold == 0)).where("n > 0"))
-    means = sized(held.groupBy("lang").agg((F.sum("nll") / F.sum("n")).alias("mean")))
+    fold = F.pmod(F.conv(F.substring(F.md5(F.col("doc_id").cast("long").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(HELD_OUT))
+    made = Classifier(kneser_ney(trusted.where(fold != 0), order), bundle=bundle, per_shard=per_shard)
+    if made.model is None:
+        return made
+    held = stored(made.score(stored(trusted.where(fold == 0))).where("n > 0").select(F.when(F.col("lang") == POOLED, "").otherwise(F.col("lang")).alias("lang"), "n", "nll"))
+    means = stored(held.groupBy("lang").agg((F.sum("nll") / F.sum("n")).alias("mean"), F.count("*").alias("held")))
     over = held.join(broadcast_if_small(means, LANGUAGES), "lang").select("lang", ((F.col("nll") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR) - F.col("mean")).alias("over"))
-    # Exact quantiles of what documents have above their language's mean, from a histogram of bounded size.
-    bins = sized(over.groupBy("lang", F.ceil(F.col("over") * BIN).alias("bin")).count())
-    bins = bins.unionByName(bins.withColumn("lang", F.lit(POOLED)).groupBy("lang", "bin").agg(F.sum("count").alias("count")))
+    # Exact quantiles of what documents have above their language's mean, from a histogram.
+    bins = stored(over.groupBy("lang", F.ceil(F.col("over") * BIN).alias("bin")).count())
+    bins = bins.unionByName(bins.groupBy("bin").agg(F.sum("count").alias("count")).select(F.lit(POOLED).alias("lang"), "bin", "count"))
     window = Window.partitionBy("lang")
-    found = bins.withColumn("docs", F.sum("count").over(window)).withColumn("below", F.sum("count").over(window.orderBy("bin"))).where(F.col("below") >= quantile * F.col("docs")).groupBy("lang", "docs").agg(F.min("bin").alias("bin"))
-    found = {r.lang: (r.bin / BIN, r.docs) for r in found.collect()}  # one row for each language
-    mean_of = {r.lang: r["mean"] for r in means.collect()}
+    reached = bins.withColumn("docs", F.sum("count").over(window)).withColumn("below", F.sum("count").over(window.orderBy("bin"))).where(F.col("below") >= quantile * F.col("docs"))
+    found = {r.lang: r.bin / BIN for r in reached.groupBy("lang").agg(F.min("bin").alias("bin")).collect()}  # one row for each language
     if found:
-        mean_of[POOLED] = held.agg(F.sum("nll") / F.sum("n")).first()[0]
-        made.limits = {k: (m, m + (found[k] if found[k][1] >= LEAST_HELD_OUT else found[POOLED])[0]) for k, m in mean_of.items()}
+        whole = held.agg((F.sum("nll") / F.sum("n")).alias("mean"), F.count("*").alias("held")).first()
+        made.limits = {r.lang: (r["mean"], r["mean"] + (r.held * found[r.lang] + BACK_OFF * found[POOLED]) / (r.held + BACK_OFF) + SLACK, r.held) for r in means.collect()}
+        made.limits[POOLED] = whole["mean"], whole["mean"] + found[POOLED] + SLACK, whole.held
     return made
-
-
-class _Nothing:
-    """Stands for a model without trusted text: every text has no surprise."""
-
-    def sums(self, lang: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([len(t) for t in texts], np.int64), np.zeros(len(texts))

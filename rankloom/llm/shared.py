@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SETTING = "spark.checkpoint.dir"
-
+from ..sources.places import shared_dir, shared_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local one only where the setting is missing (tests)."""
-    found = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="rankloom-shared-")
-        spark.conf.set(_SETTING, found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+__all__ = ["broadcast_if_small", "cut", "shared_dir", "shared_path", "sized", "steady", "stored"]
 
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_STEADY = ("Project", "Filter", "Relation")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, into the shared folder: later uses survive a lost executor."""
-    shared_dir(df.sparkSession)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
 
 
@@ -39,6 +26,20 @@ def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return done.coalesce(max(1, -(-done.count() // rows)))
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``cut`` as compressed Parquet, for tables of many rows."""
+    path = shared_path(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """``df`` itself where it only reads files, so that every reading deals the same rows to the same tasks; else stored."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    nodes = (line.lstrip(" +-:").split(" ")[0].split("[")[0] for line in plan.toString().splitlines() if line.strip())
+    return df if plan.deterministic() and all(n in _STEADY for n in nodes) else stored(df)
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint behind a count of the rows; a plain join beyond it."""
     return F.broadcast(df) if df.count() <= rows else df

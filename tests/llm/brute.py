@@ -91,8 +91,7 @@ def first_of_groups(rows):
 
 
 def _grams(text, order):
-    table = quality.symbol_table()
-    own = [0] * (order - 1) + [int(table[ord(c)]) for c in text]
+    own = [0] * (order - 1) + [ord(c) + 1 for c in text]
     return [tuple(own[i:i + order]) for i in range(len(text))]
 
 
@@ -127,13 +126,12 @@ class Model:
 
 
 def held_out(doc_id):
-    h = xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), 42)
-    return (h - (1 << 64) if h >> 63 else h) % quality.HELD_OUT == 0
+    return int(hashlib.md5(str(doc_id).encode()).hexdigest()[:8], 16) % quality.HELD_OUT == 0
 
 
-def kept(docs, labels, order=quality.ORDER):
-    """Of (doc_id, lang, text) those whose smoothed surprise is within their language's limit."""
-    good = {d for d, q in labels if q == 1}
+def judged(docs, labels, order=quality.ORDER):
+    """Of (doc_id, lang, text), with labels (doc_id, quality, toxic): characters, perplexity, smoothed perplexity, threshold, held-out documents."""
+    good = {d for d, *_ in labels if max(q for x, q, _ in labels if x == d) == 1 and max(t for x, _, t in labels if x == d) == 0}
     trusted = [(d, lang or "", t or "") for d, lang, t in docs if d in good]
     train = [(lang, t) for d, lang, t in trusted if not held_out(d)]
     models = {lang: Model([t for x, t in train if x == lang], order) for lang in {x for x, t in train if t}}
@@ -147,11 +145,15 @@ def kept(docs, labels, order=quality.ORDER):
         over[lang].append(bin_)
         over["*"].append(bin_)
     above = {x: sorted(v)[math.ceil(quality.QUANTILE * len(v)) - 1] / quality.BIN for x, v in over.items()}
-    limits = {x: (m, m + above[x if len(over[x]) >= quality.LEAST_HELD_OUT else "*"]) for x, m in mean.items()}
+    limits = {x: (m, m + (len(over[x]) * above[x] + quality.BACK_OFF * above["*"]) / (len(over[x]) + quality.BACK_OFF) + quality.SLACK, len(over[x])) for x, m in mean.items()}
     whole = sum(n for *_, n in held) / sum(c for _, c, _ in held)
-    limits["*"] = (whole, whole + above["*"])
     out = []
     for d, lang, t in docs:
-        m, most = limits.get(lang or "", limits["*"])
-        out.append((surprise(lang or "", t or "") + quality.PRIOR * m) / (len(t or "") + quality.PRIOR) <= most)
+        m, most, behind = limits.get(lang or "", (whole, whole + above["*"] + quality.SLACK, 0))
+        nll, n = surprise(lang or "", t or ""), len(t or "")
+        out.append((n, math.exp(nll / n if n else m), math.exp((nll + quality.PRIOR * m) / (n + quality.PRIOR)), math.exp(most), behind))
     return out
+
+
+def kept(docs, labels, order=quality.ORDER):
+    return [smoothed <= most for _, _, smoothed, most, _ in judged(docs, labels, order)]

@@ -10,7 +10,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 def by_hand(spark, docs, sf_dir):
     """Rows (doc_id, n_tokens, ids, hash of what they decode to) of all stages in plain Python."""
-    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
+    labels = [(r.doc_id, r.quality, r.toxic) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     rows = [(r.doc_id, r.lang, r.text) for r in docs.collect()]
     rows = [r for r, keep in zip(rows, brute.kept(rows, labels)) if keep]
@@ -47,14 +47,3 @@ def test_stages_take_nulls_repeats_and_no_rows(spark, sf_dir):
             else:
                 assert after.count() == now.count()
         assert docs is not odd or now.where("text = '[SECRET]'").count() == 1
-
-
-def test_run_trusts_no_toxic_documents(spark, sf_dir, tmp_path):
-    """The plain version with toxic labels made untrusted beforehand."""
-    marked = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    marked.selectExpr("doc_id", "quality * (1 - toxic) as quality").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.read.parquet(f"{sf_dir}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    want = by_hand(spark, docs, str(tmp_path))
-    got = sorted((r.doc_id, r.n_tokens, list(r.ids), r.decoded_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect())
-    assert got == want

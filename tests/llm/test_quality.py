@@ -1,6 +1,7 @@
 import math
 
 import brute
+import pyarrow as pa
 import pytest
 
 from rankloom.llm import quality
@@ -16,21 +17,19 @@ def labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
 
-@pytest.mark.parametrize("order", [1, 3])
-def test_probabilities_and_both_ways_of_scoring(spark, order):
+def scores(spark, model, rows, **more):
+    """nll by (doc_id, characters)."""
+    return {(r.doc_id, r.n): r.nll for r in quality.Classifier(model, **more).score(frame(spark, rows)).collect()}
+
+
+@pytest.mark.parametrize("order", [1, 3, 5])
+def test_probabilities(spark, order):
     docs = frame(spark, ROWS)
-    train = [t for d, lang, t in ROWS if lang == "en" and t]
-    model = quality.kneser_ney(quality.gram_counts(docs.where("lang = 'en'"), order), order)
-    plain = brute.Model(train, order)
-    table = model.toArrow()
-    here = quality.Scorer(table, order)
-    texts = [t or "" for _, _, t in ROWS]
-    many, nll = here.sums("en", texts)
-    assert many.tolist() == [len(t) for t in texts]
-    assert nll.tolist() == pytest.approx([plain.nll(t) for t in texts])
-    spread = {(r.doc_id, r.n): r.nll for r in quality.score_by_shards(docs, model, order).collect()}
-    for (d, _, t), x in zip(ROWS, nll):
-        assert spread[d, len(t or "")] == pytest.approx(x)
+    model = quality.kneser_ney(docs.where("lang = 'en'"), order)
+    plain = brute.Model([t for d, lang, t in ROWS if lang == "en" and t], order)
+    want = {(d, len(t or "")): pytest.approx(plain.nll(t or ""), rel=1e-5) for d, _, t in ROWS}
+    assert scores(spark, model, ROWS) == want
+    assert scores(spark, model, ROWS, bundle=30, per_shard=500) == want  # many bundles and shards
     contexts = {g[:-1] for g in plain.p if len(g) == order}
     for context in list(contexts)[:5]:
         assert sum(plain.prob((*context, s)) for s in range(quality.SYMBOLS)) == pytest.approx(1)
@@ -44,9 +43,23 @@ def test_edges(spark):
     assert all(r.keep for r in judged if r.n_chars_scored == 0)
     whole = made.kept(docs)
     assert whole.columns == docs.columns and whole.count() == sum(r.keep for r in judged)
-    assert made.kept(docs.limit(0)).isEmpty()
+    assert made.kept(docs.limit(0)).isEmpty() and made.judge(docs.limit(0)).isEmpty()
     none = quality.train(docs, labels(spark, [(1, 0, 0)]))
-    assert none.kept(docs).count() == len(ROWS)
+    assert none.kept(docs).count() == len(ROWS) and none.judge(docs).where("keep").count() == len(ROWS)
+
+
+def test_query_equals_the_plain_version(spark, sf_dir):
+    from rankloom.llm.queries import QUERIES
+
+    docs, marked = (spark.read.parquet(f"{sf_dir}/{t}.parquet").collect() for t in ("documents", "labels"))
+    rows = [(r.doc_id, r.lang, r.text) for r in docs]
+    want = brute.judged(rows, [(r.doc_id, r.quality, r.toxic) for r in marked])
+    got = {r.doc_id: r for r in QUERIES["op10_quality"](spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for (d, lang, _), (n, own, smoothed, most, behind) in zip(rows, want):
+        r = got[d]
+        assert (r.lang, r.n_chars_scored, r.n_held_out, r.keep) == (lang or "", n, behind, smoothed <= most)
+        assert (r.perplexity, r.smoothed_perplexity, r.threshold) == pytest.approx((own, smoothed, most), rel=1e-5)
 
 
 def test_held_out_accuracy(spark):
@@ -59,7 +72,8 @@ def test_held_out_accuracy(spark):
     found = made.judge(docs).join(marked.where("doc_id % 2 = 1"), "doc_id").collect()
     good = [r.keep for r in found if r.quality == 1 and r.toxic == 0]
     bad = [r.keep for r in found if r.quality == 0]
-    print(f"kept {sum(good)} of {len(good)} good, {sum(bad)} of {len(bad)} bad")
+    toxic = [r.keep for r in found if r.toxic == 1]
+    print(f"kept {sum(good)} of {len(good)} good, {sum(bad)} of {len(bad)} bad, {sum(toxic)} of {len(toxic)} toxic")
     assert sum(good) >= 0.95 * len(good)
     assert sum(bad) <= 0.1 * len(bad)
 
@@ -68,13 +82,9 @@ def test_model_tells_code_points_apart_and_grows(spark):
     """Russian prose against the same text with every letter moved by 7: folded by 7 they were one text."""
     prose = "мама мыла раму, а папа читал газету у окна. "
     moved = "".join(chr(ord(c) + 7) if c > "\x7f" else c for c in prose)
-    docs = frame(spark, [(1, "ru", prose * 20)])
-    counts = quality.gram_counts(docs)
-    model = quality.kneser_ney(counts)
-    _, nll = quality.Scorer(model.toArrow()).sums("ru", [prose, moved])
-    assert nll[1] > 3 * nll[0]
-    spread = {r.doc_id: r.nll for r in quality.score_by_shards(frame(spark, [(1, "ru", prose), (2, "ru", moved)]), model).collect()}
-    assert [spread[1], spread[2]] == pytest.approx(nll.tolist())
+    model = quality.kneser_ney(frame(spark, [(1, "ru", prose * 20)]))
+    nll = scores(spark, model, [(1, "ru", prose), (2, "ru", moved)])
+    assert nll[2, len(moved)] > 3 * nll[1, len(prose)]
     many = frame(spark, [(1, "zh", "".join(chr(0x4E00 + i) for i in range(5000)))])
     assert quality.gram_counts(many).where("lang = 'zh'").count() == 5000
 
@@ -87,21 +97,30 @@ def test_toxic_documents_are_not_trusted(spark):
     assert all(judged[d] for d in range(1, 101, 2)) and not any(judged[d] for d in range(2, 101, 2))
 
 
-def test_both_ways_keep_repeats_apart(spark):
-    """Repeated rows, ids and null ids with a good and a bad text: the same rows by tasks and by shards."""
+def test_repeats_stay_apart(spark):
+    """Repeated rows, ids and null ids with a good and a bad text: the same rows whatever the bundles and shards."""
     good, junk = "the cat sat on the mat. ", "ZZQ %%% 0x1f zzqq "
     rows = [(d, "en", good * (1 + d % 9)) for d in range(1, 61)]
-    rows += rows[:30] + [(200, "en", good), (200, "en", junk * 9), (None, "en", good), (None, None, junk * 9), (None, "en", junk * 9), (None, "en", good), (201, "en", None)]
+    rows += rows[:30] + [(200, "en", good), (200, "en", junk * 9), (None, "en", good), (None, None, junk * 9), (None, "en", junk * 9), (None, "en", good), (201, "en", None), (202, "*", junk * 9)]
     docs, marked = frame(spark, rows), labels(spark, [(d, 1, 0) for d in range(1, 61)])
-    here, spread = quality.train(docs, marked), quality.train(docs, marked, local_limit=0)
-    assert here.scorer is not None and spread.scorer is None
+    here, spread = quality.train(docs, marked), quality.train(docs, marked, bundle=1, per_shard=100)
     assert {k: pytest.approx(v) for k, v in here.limits.items()} == spread.limits
 
     def judged(made):
-        return sorted((r.doc_id or 0, r.n_chars_scored, round(r.perplexity, 6), r.keep) for r in made.judge(docs).collect())
+        return sorted((r.doc_id or 0, r.n_chars_scored, round(r.perplexity, 5), r.keep) for r in made.judge(docs).collect())
 
     def kept(made):
         return sorted((r.doc_id or 0, r.text or "") for r in made.kept(docs).collect())
 
     assert judged(spread) == judged(here) and len(judged(here)) == len(rows)
     assert kept(spread) == kept(here) and not any(t.startswith(junk) for _, t in kept(spread))
+
+
+def test_numbers_survive_packing():
+    import numpy as np
+
+    a, b = np.array([0, 1, 1 << 41], np.int64), np.array([5, (1 << 63) - 1, 0], np.int64)
+    assert [x.tolist() for x in quality._unpacked(quality._packed(a, b), 3)] == [a.tolist(), b.tolist()]
+    places = quality._Pairs(a, b)
+    assert places.find(a, b).tolist() == [0, 1, 2] and places.find(b, a).tolist() == [-1] * 3
+    assert pa.array(quality._distinct(a, b)[2]).to_pylist() == [0, 1, 2]
