@@ -14,10 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .decontaminate import bind
-from .shared import cut, shared_path
+from .decontaminate import bind, upto
+from .shared import cut, divided, shared_path
 
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 
 
 def either_case(word: str) -> str:
@@ -39,12 +39,34 @@ RULES = (
     Rule("assign", rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]{16,}", base=True),
     Rule("hex", r"[0-9a-f]{24,}", base=True),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # With its body to the line that ends it; where that is missing, to the end of the base64 that follows.
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\x20\t\r\n]*-----END [A-Z ]*PRIVATE KEY-----|[\x20\t\r\n]*[A-Za-z0-9+/=]{40,})?"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
 SPAN = "array<struct<start:int,rank:int,stop:int,kind:string>>"
+PART = 1024  # characters of a text that are cut out of at once
+
+
+def running(values: Column, start: Column, step) -> Column:
+    """``step`` of ``start`` and all values up to each place.
+
+    In two levels, over runs as long as there are runs: an array is only ever grown within a run
+    or by one element for each run.
+    """
+    def grown(first: Column, part: Column) -> Column:
+        return F.aggregate(part, F.array(first), lambda done, x: F.concat(done, F.array(step(F.element_at(done, -1), x))))
+
+    def by_runs(v: Column) -> Column:
+        long = F.greatest(F.ceil(F.sqrt(F.size(v).cast("double"))).cast("int"), F.lit(1))
+        return F.transform(upto(F.ceil(F.size(v) / long).cast("int")), lambda i: F.slice(v, i * long + 1, long))
+
+    def laid(runs: Column) -> Column:
+        wholes = F.transform(runs, lambda run: F.aggregate(run, start, step))
+        return bind(grown(start, wholes), lambda begin: F.flatten(F.transform(runs, lambda run, i: F.slice(grown(begin[i], run), 2, F.size(run)))))
+
+    return bind(values, lambda v: bind(by_runs(v), laid))
 
 
 def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
@@ -52,9 +74,11 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     pattern = F.lit(rule.pattern)
 
     def laid(match: Column) -> Column:
-        return bind(F.split(text, rule.pattern, -1), lambda gap: bind(
-            F.aggregate(F.sequence(F.lit(0), F.size(match) - 1), F.array(F.lit(0)), lambda ends, i: F.concat(ends, F.array(ends[F.size(ends) - 1] + F.char_length(gap[i]) + F.char_length(match[i])))),
-            lambda ends: F.transform(match, lambda m, i: F.struct((ends[i] + F.char_length(gap[i])).alias("start"), F.lit(rank).alias("rank"), ends[i + 1].alias("stop"), F.lit(rule.kind).alias("kind")))))
+        def by_ends(gap: Column) -> Column:
+            ends = running(F.transform(match, lambda m, i: F.char_length(gap[i]) + F.char_length(m)), F.lit(0), lambda a, x: a + x)
+            return bind(ends, lambda end: F.transform(match, lambda m, i: F.struct((end[i] - F.char_length(m)).alias("start"), F.lit(rank).alias("rank"), end[i].alias("stop"), F.lit(rule.kind).alias("kind"))))
+
+        return bind(F.split(text, rule.pattern, -1), by_ends)
 
     found = bind(F.regexp_extract_all(text, pattern, F.lit(0)), laid)
     if rule.least > 1:
@@ -88,9 +112,14 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         known = ledger.where(F.col("rule_version") == rule_version).select("blob", "rule_version", "spans")
         fresh = fresh.join(known.select("blob"), "blob", "left_anti")
     fresh = fresh.select(F.col("blob").alias("b"), F.col("at.path").alias("p"))
-    texts = slim.withColumn("blob", blob_of(F.col("text"))).join(fresh, F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")))
+    # Blobs with one path are scanned where they lie; of others, only the text of one path moves, or none where the ledger has it.
+    several = addressed.groupBy(F.xxhash64("blob").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key")
+    if known is not None:
+        several = several.unionByName(known.select(F.xxhash64("blob").alias("key")))
+    moved, alone = divided(slim.withColumn("blob", blob_of(F.col("text"))), F.xxhash64("blob"), several)
+    moved = moved.join(fresh, F.col("path").eqNullSafe(F.col("p")) & (F.col("blob") == F.col("b")), "left_semi")
     where = shared_path(versions.sparkSession, "secret-ledger")
-    texts.select("blob", F.lit(rule_version).alias("rule_version"), spans_of(F.col("text"), rules).alias("spans")).write.parquet(where)
+    alone.unionByName(moved).select("blob", F.lit(rule_version).alias("rule_version"), spans_of(F.col("text"), rules).alias("spans")).write.parquet(where)
     entries = versions.sparkSession.read.parquet(where).dropDuplicates(["blob", "rule_version"])
     all_known = entries if known is None else entries.unionByName(known).dropDuplicates(["blob", "rule_version"])
     hits = all_known.where(F.size("spans") > 0).select("blob", "spans")
@@ -103,12 +132,29 @@ def written(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """The text with every span, overlapping ones as one, replaced by ``mask``."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(spans, begin, lambda a, s: F.struct(
-        F.greatest(a["at"], s["stop"]).alias("at"),
-        F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mask))).otherwise(a["out"]).alias("out")))
-    return bind(done, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.char_length(text))))
+    """The text with every span, overlapping ones as one, replaced by ``mask``; spans rise by start.  Null is an empty text.
+
+    Pieces are cut out of short parts of the text, so the work grows with text and spans, not
+    with their product.
+    """
+    text = F.coalesce(text, F.lit(""))
+
+    def masked(parts: Column, own: Column, reach: Column) -> Column:
+        def piece(begin: Column, end: Column) -> Column:
+            inside = F.transform(F.sequence((begin / PART).cast("int"), ((end - 1) / PART).cast("int")), lambda i: F.substring(parts[i], F.greatest(begin - i * PART, F.lit(0)) + 1, F.least(end - i * PART, F.lit(PART)) - F.greatest(begin - i * PART, F.lit(0))))
+            return F.when(end > begin, F.array_join(inside, "")).otherwise("")
+
+        def before(i: Column) -> Column:
+            return F.when(i > 0, reach[i - 1]).otherwise(0)
+
+        heads = F.filter(upto(F.size(own)), lambda i: (i == 0) | (own[i]["start"] >= before(i)))
+        front = F.transform(heads, lambda i: F.concat(piece(before(i), own[i]["start"]), F.lit(mask)))
+        return F.concat(F.array_join(front, ""), piece(F.element_at(reach, -1), F.char_length(text)))
+
+    def cut_up(own: Column) -> Column:
+        return bind(running(F.transform(own, lambda s: s["stop"]), F.lit(0), lambda a, x: F.greatest(a, x)), lambda reach: bind(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), lambda parts: masked(parts, own, reach)))
+
+    return F.when(F.size(spans) > 0, bind(spans, cut_up)).otherwise(text)
 
 
 def digest(findings: DataFrame) -> DataFrame:

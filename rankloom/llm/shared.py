@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.places import shared_dir, shared_path
+from ..sources.places import shared_dir, shared_path, stored
 
-__all__ = ["broadcast_if_small", "cut", "shared_dir", "shared_path", "sized", "steady", "stored"]
+__all__ = ["broadcast_if_small", "cut", "divided", "shared_dir", "shared_path", "sized", "steady", "stored"]
 
+KEYS = 2_000_000  # 64-bit keys that may be broadcast to divide a table
 _STEADY = ("Project", "Filter", "Relation")
 
 
@@ -26,13 +27,6 @@ def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return done.coalesce(max(1, -(-done.count() // rows)))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``cut`` as compressed Parquet, for tables of many rows."""
-    path = shared_path(df.sparkSession, "table")
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def steady(df: DataFrame) -> DataFrame:
     """``df`` itself where it only reads files, so that every reading deals the same rows to the same tasks; else stored."""
     plan = df._jdf.queryExecution().optimizedPlan()
@@ -43,3 +37,14 @@ def steady(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint behind a count of the rows; a plain join beyond it."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def divided(df: DataFrame, key: Column, keys: DataFrame, rows: int = KEYS) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key, a 64-bit hash, is in the one column of ``keys``, and all others.
+
+    Up to ``rows`` keys are broadcast and no row moves; more are joined.  Two values that share a
+    hash are divided alike, so the caller still joins the first part on the values themselves.
+    """
+    hint = broadcast_if_small(stored(keys.toDF("_key").distinct()), rows)
+    same = key == F.col("_key")
+    return df.join(hint, same, "left_semi"), df.join(hint, same, "left_anti")
