@@ -14,10 +14,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, divided
 
 WINDOW = 13
 GRAM = 5
+_PARTS = 64
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,13 +35,13 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _upto(n: Column) -> Column:
+def upto(n: Column) -> Column:
     """0 .. n-1, none for n <= 0."""
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
 def _grams(hashes: Column, k: int) -> Column:
-    return F.transform(_upto(F.size(hashes) - (k - 1)), lambda i: F.xxhash64(*(hashes[i + j] for j in range(k))))
+    return F.transform(upto(F.size(hashes) - (k - 1)), lambda i: F.xxhash64(*(hashes[i + j] for j in range(k))))
 
 
 def _least_of_runs(grams: Column, w: int) -> Column:
@@ -49,7 +50,7 @@ def _least_of_runs(grams: Column, w: int) -> Column:
         step = min(done, w - done)
         if not step:
             return F.array_distinct(g)
-        return bind(F.transform(_upto(F.size(g) - step), lambda i: F.least(g[i], g[i + step])), lambda h: halve(h, done + step))
+        return bind(F.transform(upto(F.size(g) - step), lambda i: F.least(g[i], g[i + step])), lambda h: halve(h, done + step))
 
     return halve(grams, 1)
 
@@ -73,8 +74,14 @@ def _starts(words: Column, hits: Column, n: int) -> Column:
     """Where windows of ``n`` words begin that hold a k-gram among the hits."""
     k, w = _shape(n)
 
+    # Hits lie in parts by their last bits: looking one up does not pass all others.
+    table = F.transform(upto(F.lit(_PARTS)), lambda part: F.filter(hits, lambda h: F.pmod(h, F.lit(_PARTS)) == part))
+
+    def among(found: Column, x: Column) -> Column:
+        return bind(x, lambda h: F.array_contains(found[F.pmod(h, F.lit(_PARTS)).cast("int")], h))
+
     def around(g: Column) -> Column:
-        marked = F.filter(_upto(F.size(g)), lambda p: F.array_contains(hits, F.xxhash64(F.lit(n), g[p])))
+        marked = bind(table, lambda found: F.filter(upto(F.size(g)), lambda p: among(found, F.xxhash64(F.lit(n), g[p]))))
         last = F.size(g) - w
         near = F.transform(marked, lambda p: F.when(last >= p - (w - 1), F.sequence(F.greatest(p - (w - 1), F.lit(0)), F.least(p, last))).otherwise(F.array().cast("array<int>")))
         return F.array_distinct(F.flatten(near))
@@ -90,7 +97,7 @@ def item_windows(items: DataFrame) -> DataFrame:
     """``items(item_id, text)`` to distinct windows ``(window, n, item_ids)``."""
     split = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     sized = split.withColumn("n", F.least(F.size("words"), F.lit(WINDOW)))
-    each = sized.select("item_id", "n", F.explode(bind(F.col("words"), lambda ws: F.transform(_upto(F.size(ws) - F.col("n") + 1), lambda i: F.array_join(F.slice(ws, i + 1, F.col("n")), " ")))).alias("window"))
+    each = sized.select("item_id", "n", F.explode(bind(F.col("words"), lambda ws: F.transform(upto(F.size(ws) - F.col("n") + 1), lambda i: F.array_join(F.slice(ws, i + 1, F.col("n")), " ")))).alias("window"))
     return each.groupBy("n", "window").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
 
 
@@ -111,8 +118,10 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     marked = cut(scanned.select("doc_id", "text_hash", F.size("words").alias("n_words"), _prints(F.col("words"), lengths).alias("prints")))
     own = windows.select(F.explode(_prints(F.split("window", " "), lengths)).alias("print")).distinct()
     hits = marked.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.explode("prints").alias("print")).join(own, "print").groupBy("d", "h").agg(F.collect_set("print").alias("hits"))
-    # Candidates only: words again, and the windows around each hit.
-    near = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("doc_id", "text_hash", words_of(F.col("text")).alias("words"), "hits")
+    # Candidates only: words again, and the windows around each hit; texts without a hit stay where they are.
+    hits = cut(hits)
+    touched, _ = divided(keyed, F.xxhash64("doc_id", "text_hash"), hits.select(F.xxhash64("d", "h")))
+    near = touched.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("doc_id", "text_hash", words_of(F.col("text")).alias("words"), "hits")
     spans = near.select("doc_id", "text_hash", "words", F.explode(reduce(lambda a, b: F.concat(a, b), (_sized(_starts(F.col("words"), F.col("hits"), n), n) for n in lengths))).alias("x"))
     spans = spans.select("doc_id", "text_hash", "x.s", "x.n", F.array_join(F.slice("words", F.col("x.s") + 1, F.col("x.n")), " ").alias("window"))
     true = spans.join(windows, ["n", "window"]).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("s", (F.col("s") + F.col("n")).alias("e")))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("ids"))
