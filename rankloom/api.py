@@ -18,6 +18,7 @@ from .plans import spec as plan
 from .plans.spec import ALL_OTHERS, COLUMNS, REMOVED, Spec, scale_factor, shift_names, tau_names
 from .sources.archive import open_archive, resolve
 from .sources.matrix import CellGroup, CountMatrix, from_dense, from_groups, noncount_signal, reject_missing
+from .sources.places import stored
 
 _NAN = float("nan")
 #: The label of an external pool's cells inside the pipeline; roles keep it apart from a target of that name.
@@ -67,39 +68,48 @@ def _within(matrix: CountMatrix, column: str, reference: str | list[str]) -> Stu
     return Study(matrix.entries, sided, matrix.genes)
 
 
-def test(study: Study, spec: Spec, keep_genes: Sequence[bool] | None = None, slices: int = 16) -> DataFrame:
-    """The whole computation over a study; one row for each target and gene that the filters keep."""
+def test(study: Study, spec: Spec, keep_genes: Sequence[bool] | None = None, ordered: bool = False, counts_expected: bool = False) -> DataFrame:
+    """The whole computation over a study; one row for each target and gene that the filters keep.
+
+    The source is read once: its entries go to the shared folder beside their cells' groups and
+    totals, then the histogram of values, and all else reads that.
+    """
     many = study.genes.count()
     if keep_genes is not None:
         mask = np.asarray(keep_genes)
         if mask.dtype != np.bool_ or mask.shape != (many,):
             raise ValueError(f"keep_genes must be {many} booleans")
-    entries = normalize.canonical(study.entries)
-    cells = normalize.library_sizes(entries, study.cells)
-    total = normalize.resolve_total(spec.total, cells)
-    # A table with one row for each group; a row without cells for targets that have none.
-    groups = cells.groupBy("side", "group").agg(F.count("*").alias("n_cells"), F.sum("library").alias("library"), F.sum(F.when(F.col("library") == 0, 1.0).otherwise(F.col("library"))).alias("library1"))
     spark = study.cells.sparkSession
+    rows = stored(normalize.gathered(study.entries, study.cells))
+    if counts_expected and noncount_signal(rows.where("value is not null")):
+        warnings.warn("values are negative or fractional: scaling by totals expects raw counts", UserWarning, stacklevel=3)
+    total = normalize.resolve_total(spec.total, rows.where("first"))
+    # A table with one row for each group; a row without cells for targets that have none.
+    own = F.col("first")
+    groups = rows.groupBy("side", "group").agg(F.count(F.when(own, 1)).alias("n_cells"), F.sum(F.when(own, F.col("library"))).alias("library"), F.sum(F.when(own, F.when(F.col("library") == 0, 1.0).otherwise(F.col("library")))).alias("library1"))
     if study.targets is not None:
         named = spark.createDataFrame([(str(t),) for t in study.targets], "group string").withColumn("side", F.lit(0))
         absent = named.join(groups.where("side = 0").select("group"), "group", "left_anti").select("side", "group", F.lit(0).cast("long").alias("n_cells"), F.lit(0.0).alias("library"), F.lit(0.0).alias("library1"))
         groups = groups.unionByName(absent)
-    size = groups.agg(F.sum("n_cells"), F.coalesce(F.max("n_cells"), F.lit(0))).first()
-    population = size[0] or 0
+    groups = stored(groups)
+    population, n_targets = groups.agg(F.coalesce(F.sum("n_cells"), F.lit(0)), F.count(F.when(F.col("side") == 0, 1))).first()
     wide = population > ranks.CUBE_LIMIT
 
-    staged = entries.join(cells.select("cell_id", "side", "group", "library"), "cell_id")
-    staged = staged.select("side", "group", "gene_idx", normalize.staged(F.col("value"), total).alias("x"), F.col("value").cast("float").cast("double").alias("raw"), "library")
-    x = F.col("x").cast("double")
-    moments = [F.sum(F.when(F.col("x") != 0, 1).otherwise(0)).alias("nnz"), F.sum(x).alias("sum_x"), F.sum("raw").alias("sum_raw")]
+    raw = F.col("value").cast("float").cast("double")
+    sums = [F.count("*").alias("n"), F.sum(raw).alias("raw")]
+    if "cpm_cell" in spec.filters:
+        sums.append(F.sum(raw * normalize.row_scale(1e6).cast("double")).alias("cpm"))
+    seen = stored(rows.where("gene_idx is not null").groupBy("side", "group", "gene_idx", normalize.staged(F.col("value"), total).cast("double").alias("v")).agg(*sums))
+    v, n = F.col("v"), F.col("n")
+    moments = [F.sum(F.when(v != 0, n).otherwise(0)).alias("nnz"), F.sum(v * n).alias("sum_x"), F.sum("raw").alias("sum_raw")]
     if spec.mean_calc == "geometric":
-        moments.append(F.sum(log1p_ieee(x)).alias("sum_log"))
+        moments.append(F.sum(log1p_ieee(v) * n).alias("sum_log"))
     if "cpm_cell" in spec.filters:
-        moments.append(F.sum(F.col("raw") * normalize.row_scale(1e6).cast("double")).alias("sum_cpm"))
-    moments = staged.groupBy("side", "group", "gene_idx").agg(*moments)
+        moments.append(F.sum("cpm").alias("sum_cpm"))
+    moments = seen.groupBy("side", "group", "gene_idx").agg(*moments)
     grid = groups.withColumn("gene_idx", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))) if many else groups.withColumn("gene_idx", F.lit(0)).limit(0)
-    skeleton = grid.join(moments, ["side", "group", "gene_idx"], "left").fillna(0, [c for c in moments.columns if c not in ("side", "group", "gene_idx")])
-    hist = ranks.histogram(staged, skeleton)
+    skeleton = stored(grid.join(moments, ["side", "group", "gene_idx"], "left").fillna(0, [c for c in moments.columns if c not in ("side", "group", "gene_idx")]))
+    hist = ranks.with_zeros(seen, skeleton)
 
     n = F.when(F.col("n_cells") > 0, F.col("n_cells"))
     mean = F.coalesce(F.col("sum_x") / n, F.lit(_NAN))
@@ -147,15 +157,19 @@ def test(study: Study, spec: Spec, keep_genes: Sequence[bool] | None = None, sli
         rows = statistics.with_p(rows.withColumn("_u", F.coalesce(F.col(f"u2_{k}").cast("double") / 2, F.lit(0.0))), p, F.col("_u"), F.coalesce(f"tie_{k}", zero), m, r, way, both)
         rows = rows.withColumn(e, statistics.effect(F.col("_u"), m, r))
     if spec.levels:
-        found = shift.shifts(hist, spec.levels, spec.se, spec.iterations, slices).withColumnsRenamed({"group": "_g", "gene_idx": "_j"})
+        found = shift.shifts(hist, spec.levels, spec.se, n_targets).withColumnsRenamed({"group": "_g", "gene_idx": "_j"})
         rows = rows.join(found, (F.col("group") == F.col("_g")) & (F.col("gene_idx") == F.col("_j")), "left")
         for i, name in enumerate(shift_names(spec.levels, spec.se)):
             rows = rows.withColumn(name, F.coalesce(F.col("shift")[i], F.lit(_NAN)))
     rows = rows.join(study.genes.select("gene_idx", "feature"), "gene_idx").withColumnRenamed("group", "target")
-    rows = statistics.adjusted(rows, "p_value", "p_adj")
-    for t in spec.taus:
-        p, _, q = tau_names(*t)
-        rows = statistics.adjusted(rows, p, q)
+    rows = stored(rows.select("gene_idx", *(F.col(f"`{c}`") for c in (*COLUMNS, *spec.extra) if c != "p_adj" and not c.endswith("_padj"))))
+    rows = statistics.adjusted(rows, {"p_value": "p_adj", **{p: q for p, _, q in (tau_names(*t) for t in spec.taus)}})
+    if ordered:  # targets as they were named, else by label; genes as they are numbered
+        if study.targets is not None:
+            places = spark.createDataFrame([(str(t), i) for i, t in enumerate(study.targets)], "target string, place int")
+            rows = rows.join(places, "target").orderBy("place", "gene_idx")
+        else:
+            rows = rows.orderBy("target", "gene_idx")
     wanted = spec.output_columns or {c: c for c in (*COLUMNS, *spec.extra)}
     return rows.select(*(F.col(f"`{c}`").alias(name) for c, name in wanted.items()))
 
@@ -200,6 +214,7 @@ def de(
     stream_n_workers: int = 16,
     stream_prefetch: int = 2,
     release_gpu_memory: bool = True,
+    ordered: bool = False,
     spark: SparkSession | None = None,
 ) -> DataFrame:
     """Rank tests of every target group against a reference, as a DataFrame.
@@ -208,7 +223,10 @@ def de(
     ``ALL_OTHERS`` or a pool matrix), ``archive`` (a path), or ``cell_source`` (with ``targets``,
     ``var_names`` and a pool).  ``gpu_gene_chunk_size``, ``oom_recovery``, ``densify_input``,
     ``stream_n_workers``, ``stream_prefetch`` and ``release_gpu_memory`` are checked and have no
-    effect: Spark sizes, spills and retries.  Values must not be NaN.  Rows come in no order.
+    effect: Spark sizes, spills and retries; nor has ``tau_star_iters``, as shifts are exact.
+    Values must not be NaN.  Rows come in no order unless ``ordered``: then by target (as
+    ``targets`` names them, else by label) and gene.  What is computed on the way lies below
+    ``spark.checkpoint.dir`` until ``rankloom.sources.places.clear(spark)``; the result reads it.
     """
     archive, reference, spec = plan.checked(
         archive=archive, shard_archive=shard_archive, adata=adata, cell_source=cell_source, reference=reference, min_feature_filter=min_feature_filter, mean_calc=mean_calc, epsilon=epsilon, gpu_gene_chunk_size=gpu_gene_chunk_size,
@@ -221,9 +239,8 @@ def de(
         study = _from_archive(spark, archive, groupby, reference, stream_n_workers, stream_prefetch, densify_input)
     else:
         study = _from_matrix(adata, groupby, reference, spec, densify_input)
-    if (spec.total is not None or "cpm_cell" in spec.filters or "cpm_bulk" in spec.filters) and noncount_signal(study.entries):
-        warnings.warn("values are negative or fractional: scaling by totals expects raw counts", UserWarning, stacklevel=2)
-    return test(study, spec, keep_genes)
+    scaled = spec.total is not None or "cpm_cell" in spec.filters or "cpm_bulk" in spec.filters
+    return test(study, spec, keep_genes, ordered, scaled)
 
 
 def _from_source(spark, cell_source, targets, var_names, groupby, reference, spec) -> Study:

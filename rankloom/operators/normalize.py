@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_FEW = 1_000_000
+from . import ranks
 
 
 def canonical(entries: DataFrame) -> DataFrame:
@@ -19,26 +19,29 @@ def library_sizes(entries: DataFrame, cells: DataFrame) -> DataFrame:
     return cells.join(sums, "cell_id", "left").withColumn("library", F.coalesce("library", F.lit(0.0)))
 
 
+def gathered(entries: DataFrame, cells: DataFrame) -> DataFrame:
+    """``cells`` with a row for each of a cell's values, and one with a null gene for a cell that has none.
+
+    ``library`` is on every row of the cell and ``first`` marks one of them.  All of it is done
+    where the cell's rows are; a cell has no more rows than there are genes.
+    """
+    own = entries.select("cell_id", "gene_idx", F.col("value").cast("double").alias("value")).repartition("cell_id")
+    own = own.groupBy("cell_id", "gene_idx").agg(F.sum("value").alias("value")).where("value <> 0")
+    of_cell = Window.partitionBy("cell_id")
+    library, first = F.coalesce(F.sum("value").over(of_cell), F.lit(0.0)), F.row_number().over(of_cell.orderBy("gene_idx")) == 1
+    return cells.join(own, "cell_id", "left").withColumn("library", library).withColumn("first", first)
+
+
 def exact_median(df: DataFrame, column: str) -> float | None:
-    """The median of a column without gathering it: approximate bounds close in until few values are left."""
-    own = df.where(F.col(column).isNotNull()).select(column)
-    many = own.count()
-    if not many:
+    """The median of a column, from running counts of its distinct values by narrow buckets; null without values."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("rc"))
+    if counts.isEmpty():
         return None
-    wanted, below = [(many - 1) // 2, many // 2], 0
-    while many - below > _FEW:
-        share = [(w - below) / (many - below) for w in wanted]
-        low, high = own.select(F.percentile_approx(column, [max(0.0, share[0] - 0.01), min(1.0, share[1] + 0.01)], 10_000)).first()[0]
-        under, inside = own.agg(F.count(F.when(F.col(column) < low, 1)), F.count(F.when(F.col(column).between(low, high), 1))).first()
-        if low == high or not below + under <= wanted[0] or not wanted[1] < below + under + inside or inside >= own.count():
-            break
-        own, below, many = own.where(F.col(column).between(low, high)), below + under, below + under + inside
-    ordered = own.groupBy(column).count()  # equal values are one row
-    from pyspark.sql import Window
-
-    ranked = ordered.withColumn("upto", F.sum("count").over(Window.orderBy(column)) + below)
-    found = [ranked.where(F.col("upto") > w).agg(F.min(column)).first()[0] for w in wanted]
-    return (found[0] + found[1]) / 2
+    at = ranks.placed(counts.withColumn("of", F.lit(0)), ["of"])
+    upto, many = F.col("less") + F.col("eq"), F.lit(counts.agg(F.sum("rc")).first()[0])
+    middle = [F.min(F.when(upto * 2 >= many, F.col("v"))), F.min(F.when(upto * 2 > many, F.col("v")))]
+    low, high = at.agg(*(m.alias(f"m{i}") for i, m in enumerate(middle))).first()
+    return (low + high) / 2
 
 
 def resolve_total(total: float | str | None, libraries: DataFrame) -> float | None:

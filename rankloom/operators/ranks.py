@@ -23,23 +23,23 @@ def cubed(count: Column, wide: bool) -> Column:
 
 
 def bucket(value: Column) -> Column:
-    """A number that never falls as the value rises."""
-    size = F.floor(F.log2(F.abs(F.when(value == 0, 1.0).otherwise(value))) * _FINE).cast("int") + 80_000
+    """A number that never falls as the value rises; infinities share the outermost."""
+    size = F.least(F.greatest(F.abs(value), F.lit(1e-320)), F.lit(1.7e308))
+    size = F.floor(F.log2(size) * _FINE).cast("int") + 80_000
     return F.when(value == 0, 0).when(value > 0, size).otherwise(-size)
 
 
-def histogram(staged: DataFrame, skeleton: DataFrame) -> DataFrame:
-    """``(side, group, gene_idx, v, n)``: staged entries by value, and a row for the cells without an entry.
+def with_zeros(seen: DataFrame, skeleton: DataFrame) -> DataFrame:
+    """``(side, group, gene_idx, v, n)``: values seen with their counts, and a row for the cells without one.
 
     ``skeleton(side, group, gene_idx, n_cells, nnz)`` has every group and gene; values that
-    vanish in single precision are zeros.
+    vanished in single precision are zeros.
     """
-    seen = staged.where("x <> 0").groupBy("side", "group", "gene_idx", F.col("x").cast("double").alias("v")).agg(F.count("*").alias("n"))
     zeros = skeleton.where("n_cells > nnz").select("side", "group", "gene_idx", F.lit(0.0).alias("v"), (F.col("n_cells") - F.col("nnz")).alias("n"))
-    return seen.unionByName(zeros)
+    return seen.where("v <> 0").select("side", "group", "gene_idx", "v", "n").unionByName(zeros)
 
 
-def placed(rows: DataFrame, keys: list[str]) -> DataFrame:
+def placed(rows: DataFrame, keys: list[str], keep_bucket: bool = False) -> DataFrame:
     """``rows(keys..., v, rc)`` with ``less`` and ``eq``: the sums of ``rc`` below and at ``v``."""
     rows = rows.withColumn("bucket", bucket(F.col("v")))
     coarse = rows.groupBy(*keys, "bucket").agg(F.sum("rc").alias("own"))
@@ -48,7 +48,7 @@ def placed(rows: DataFrame, keys: list[str]) -> DataFrame:
     upto = F.sum("rc").over(inside.orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     at = F.sum("rc").over(Window.partitionBy(*keys, "bucket", "v"))
     fine = rows.withColumn("eq", at).withColumn("upto", upto)
-    return fine.join(before, [*keys, "bucket"]).withColumn("less", F.col("before") + F.col("upto") - F.col("eq")).drop("before", "upto", "bucket")
+    return fine.join(before, [*keys, "bucket"]).withColumn("less", F.col("before") + F.col("upto") - F.col("eq")).drop("before", "upto", *([] if keep_bucket else ["bucket"]))
 
 
 def against_reference(hist: DataFrame, factors: list[float], wide: bool) -> DataFrame:
@@ -59,8 +59,9 @@ def against_reference(hist: DataFrame, factors: list[float], wide: bool) -> Data
     ref = hist.where("side = 1").groupBy("gene_idx", "v").agg(F.sum("n").alias("rc"))
     k = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.lit(s).alias("s")) for i, s in enumerate(factors)))).alias("k")
     target = hist.where("side = 0").select("gene_idx", "group", "v", "n", k).select("gene_idx", F.col("k.k").alias("k"), (F.col("v") * F.col("k.s")).alias("v"), "group", "n", F.lit(0).cast("long").alias("rc"))
-    pool = ref.select("gene_idx", k, "v", F.lit(None).cast("string").alias("group"), F.lit(0).cast("long").alias("n"), "rc").select("gene_idx", F.col("k.k").alias("k"), "v", "group", "n", "rc")
-    where = placed(target.unionByName(pool), ["gene_idx", "k"]).where("n > 0")
+    # The pool stands in each gene's row of values once, and targets at all factors beside it: they count nothing themselves.
+    pool = ref.select("gene_idx", F.lit(None).cast("int").alias("k"), "v", F.lit(None).cast("string").alias("group"), F.lit(0).cast("long").alias("n"), "rc")
+    where = placed(target.unionByName(pool), ["gene_idx"]).where("n > 0")
     number = "decimal(38,0)" if wide else "long"
     u2 = F.col("n").cast(number) * (2 * F.col("less").cast(number) + F.col("eq").cast(number))
     cross = cubed(F.col("eq") + F.col("n"), wide) - cubed(F.col("eq"), wide)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import TINY, with_erfc
+from . import ranks
 
 
 def spread(tie: Column, m: Column, n: Column) -> Column:
@@ -46,14 +47,27 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def adjusted(df: DataFrame, p: str, name: str, family: str = "target") -> DataFrame:
-    """Benjamini-Hochberg within each family: NaN stays NaN and out of the count, infinities take part and are clipped.
+def adjusted(df: DataFrame, names: dict[str, str], family: str = "target") -> DataFrame:
+    """Benjamini-Hochberg within each family, ``names`` from p-value columns to new ones.
 
-    A family has one row for each gene.  Range frames give ties the largest rank.
+    NaN and null stay as they are and out of the count, infinities take part and are clipped.
+    Ranks and least values are taken over distinct p-values, by narrow buckets of them: running
+    over a family's buckets and inside each bucket, so the largest task holds a bucket and no
+    family.  Equal p-values have the largest rank.  ``df`` is read once for each column and once
+    more: hand in what is cheap to read.
     """
-    p = f"`{p}`"
-    own = Window.partitionBy(family, F.isnan(p))
-    upto = F.count("*").over(own.orderBy(F.col(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    df = df.withColumn("_q", F.count("*").over(own) * F.col(p) / upto)
-    least = F.min("_q").over(own.orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn(name, F.when(F.isnan(p), F.col(p)).otherwise(F.greatest(F.least(least, F.lit(1.0)), F.lit(0.0)))).drop("_q")
+    out = df
+    for p, name in names.items():
+        q = F.col(f"`{p}`")
+        real = q.isNotNull() & ~F.isnan(q)
+        seen = df.where(real).groupBy(F.col(family).alias("_f"), q.alias("v")).agg(F.count("*").alias("rc"))
+        at = ranks.placed(seen, ["_f"], keep_bucket=True)
+        whole = at.groupBy("_f").agg(F.sum("rc").alias("_m"))
+        at = at.join(whole, "_f").withColumn("_q", F.col("_m") * F.col("v") / (F.col("less") + F.col("eq")))
+        falling = Window.partitionBy("_f").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+        later = at.groupBy("_f", "bucket").agg(F.min("_q").alias("_least")).withColumn("_later", F.min("_least").over(falling)).drop("_least")
+        inside = F.min("_q").over(Window.partitionBy("_f", "bucket").orderBy(F.desc("v")))
+        least = F.least("_own", F.coalesce("_later", F.lit(1.0)), F.lit(1.0))
+        found = at.withColumn("_own", inside).join(later, ["_f", "bucket"]).select("_f", F.col("v").alias("_v"), F.greatest(least, F.lit(0.0)).alias("_adjusted"))
+        out = out.join(found, (F.col(family) == F.col("_f")) & (q == F.col("_v")), "left").withColumn(name, F.when(real, F.col("_adjusted")).otherwise(q)).drop("_f", "_v", "_adjusted")
+    return out

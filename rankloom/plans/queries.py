@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import api
-from ..functions.special import erfc_sql, with_erfc
-from ..operators import normalize, ranks, statistics
+from ..functions.special import erfc_sql, upper_quantile, with_erfc
+from ..operators import compare, normalize, ranks, statistics
 from ..sources.archive import group_table, write_archive
 from ..sources.matrix import CellGroup, CountMatrix, collapse_reference, from_table, from_vectors, noncount_signal
-from ..sources.places import shared_path
-from .spec import ALL_OTHERS, Spec
+from ..sources.places import shared_path, stored
+from .spec import ALL_OTHERS, COLUMNS, SE_LEVEL, Spec
 
 REFERENCE = "BUILDING"
 GRID = (0.0, 0.25)
@@ -49,8 +49,8 @@ def _pick(df: DataFrame, *columns: str) -> DataFrame:
     return _even(df.select(*(F.col(f"`{c}`") for c in columns)))
 
 
-def _de(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return _even(api.de(purchases(spark, sf_dir), groupby="c_mktsegment", **({"reference": REFERENCE} | options)))
+def _de(spark: SparkSession, sf_dir: str, matrix: CountMatrix | None = None, **options) -> DataFrame:
+    return _even(api.de(matrix or purchases(spark, sf_dir), groupby="c_mktsegment", **({"reference": REFERENCE} | options)))
 
 
 def _staged(spark: SparkSession, sf_dir: str, total: float | str) -> DataFrame:
@@ -66,7 +66,8 @@ def _histogram(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, CountMatrix
     staged = m.entries.join(cells, "cell_id").withColumn("x", F.col("value").cast("float"))
     grid = cells.groupBy("side", "group").agg(F.count("*").alias("n_cells")).withColumn("gene_idx", F.explode(F.sequence(F.lit(0), F.lit(m.gene_count() - 1))))
     skeleton = grid.join(staged.where("x <> 0").groupBy("side", "group", "gene_idx").agg(F.count("*").alias("nnz")), ["side", "group", "gene_idx"], "left").fillna(0, ["nnz"])
-    return ranks.histogram(staged, skeleton), m
+    seen = staged.groupBy("side", "group", "gene_idx", F.col("x").cast("double").alias("v")).agg(F.count("*").alias("n"))
+    return ranks.with_zeros(seen, skeleton), m
 
 
 def ref_tie_term(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,12 +144,11 @@ def collapse_reference_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def result_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two results on their common keys: how many each has alone, and the correlation of p-values."""
+    """Two results on their common keys: how many each has alone, and both correlations of every value column."""
     m = purchases(spark, sf_dir)
-    a, b = (api.de(m, groupby="c_mktsegment", reference=REFERENCE, normalize_target_sum=t).select("target", "feature", F.col("p_value").alias(n)) for t, n in ((None, "a"), (1e4, "b")))
-    both = a.join(b, ["target", "feature"], "full")
-    c = both.agg(F.count("*").alias("n_keys"), F.count(F.when(F.col("b").isNull(), 1)).alias("only_a"), F.count(F.when(F.col("a").isNull(), 1)).alias("only_b"), F.corr("a", "b").alias("pearson"))
-    return _even(c, 6)
+    a = stored(_de(spark, sf_dir, matrix=m))
+    b = stored(_de(spark, sf_dir, matrix=m, normalize_target_sum=1e4, filter_gene_min_mean_value=20.0))
+    return _even(compare.correlations(a, b).crossJoin(F.broadcast(compare.coverage(a, b))), 6)  # one row
 
 
 def top_genes_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +163,7 @@ def top_genes_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adjustment alone, families by order status, a p-value made from each order's price."""
     p = _table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("target"), F.col("o_orderkey").alias("o_orderkey"), (F.pmod(F.round(F.col("o_totalprice") * 100).cast("long"), F.lit(100_003)) / F.lit(100_003.0)).alias("p"))
-    return _even(statistics.adjusted(p, "p", "p_adj"))
+    return _even(statistics.adjusted(p, {"p": "p_adj"}))
 
 
 def special_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,6 +218,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "collapse_reference": collapse_reference_query,
     "result_compare": result_compare,
     "top_genes_sample": top_genes_sample,
+    "mwu_sparse": lambda s, d: _de(s, d, matrix=purchases(s, d, "l_partkey")),
     "mwu_vectors": lambda s, d: _even(api.de(vectors(s, d), groupby="label", reference="0"), 8),
 }
 
@@ -228,6 +229,11 @@ e AS (SELECT o_custkey AS cell, p_brand AS gene, CAST(sum(l_quantity) AS DOUBLE)
 c AS (SELECT c_custkey AS cell, c_mktsegment AS grp FROM customer),
 g AS (SELECT gene, row_number() OVER (ORDER BY gene) - 1 AS idx FROM (SELECT DISTINCT gene FROM e)),
 """
+_M3 = """
+e AS (SELECT o_custkey AS cell, CAST(l_partkey AS VARCHAR) AS gene, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+c AS (SELECT c_custkey AS cell, c_mktsegment AS grp FROM customer),
+g AS (SELECT gene, row_number() OVER (ORDER BY gene) - 1 AS idx FROM (SELECT DISTINCT gene FROM e)),
+"""
 _M2 = """
 e AS (SELECT vec_id AS cell, CAST(i - 1 AS VARCHAR) AS gene, CAST(embedding[i] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)),
 c AS (SELECT vec_id AS cell, CAST(label AS VARCHAR) AS grp FROM embeddings),
@@ -287,6 +293,11 @@ r AS (SELECT *, least(min(p_value * many / rank_0) OVER (PARTITION BY target ORD
 SELECT {final} FROM r {tail}"""
 
 
+def _empty(more: tuple[str, ...]) -> str:
+    kinds = {"target": "VARCHAR", "feature": "VARCHAR", "target_ncells": "BIGINT", "ref_ncells": "BIGINT"}
+    return "SELECT " + ", ".join(f'CAST(NULL AS {kinds.get(c, "DOUBLE")}) AS "{c}"' for c in (*COLUMNS, *more)) + " WHERE FALSE"
+
+
 def _simple(select: str, total: str | None = None) -> str:
     return f"WITH {_M1}{_LIB}{_values(total).rstrip(',')} {select}"
 
@@ -295,6 +306,41 @@ def _passes(quantity: str, threshold: float) -> str:
     return f"(t_{quantity} > {threshold} OR r_{quantity} > {threshold})"
 
 
+def _compared() -> str:
+    """Both results whole, their columns one below the other, ranks by row numbers averaged over ties."""
+    columns = ("target_mean", "ref_mean", "log2_fold_change", "p_value", "Ueffect", "p_adj")
+    both = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", a.\"{c}\" AS a, b.\"{c}\" AS b FROM a JOIN b ON a.target = b.target AND a.feature = b.feature" for c in columns)
+    return f"""WITH a AS ({_run()}), b AS ({_run(total='1e4', where=_passes('value', 20.0))}), p AS ({both}),
+r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY a) AS ia, row_number() OVER (PARTITION BY "column" ORDER BY b) AS ib FROM p WHERE isfinite(a) AND isfinite(b)),
+m AS (SELECT *, avg(ia) OVER (PARTITION BY "column", a) AS ra, avg(ib) OVER (PARTITION BY "column", b) AS rb FROM r),
+k AS (SELECT (SELECT count(*) FROM a JOIN b ON a.target = b.target AND a.feature = b.feature) AS n_common, (SELECT count(*) FROM a ANTI JOIN b ON a.target = b.target AND a.feature = b.feature) AS only_a, (SELECT count(*) FROM b ANTI JOIN a ON a.target = b.target AND a.feature = b.feature) AS only_b)
+SELECT "column", count(*) AS n, round(corr(a, b), 6) + 0e0 AS pearson, round(corr(ra, rb), 6) + 0e0 AS spearman, round(max(abs(a - b)), 6) + 0e0 AS largest, any_value(n_common) AS n_common, any_value(only_a) AS only_a, any_value(only_b) AS only_b FROM m, k GROUP BY 1"""
+
+
+def _shifted(levels: tuple[float, ...], se: bool) -> str:
+    """Shifts as order statistics: every pair of positive values, the largest ratio first, and U counted down to the level."""
+    z = {f"tau*_p{q:g}": upper_quantile(q) for q in levels}
+    asked = [f"({k}, {x!r}e0, 0)" for k, x in enumerate(z.values())]
+    ends = [f"({len(z)}, {upper_quantile(SE_LEVEL)!r}e0, 1)", f"({len(z) + 1}, {upper_quantile(SE_LEVEL)!r}e0, -1)"] if se else []
+    names = [*z, *(["tau*_lo_p0.025", "tau*_hi_p0.025"] if se else [])]
+    picked = ", ".join(f'round(max(CASE WHEN k = {i} THEN s END), 9) + 0e0 AS "{n}"' for i, n in enumerate(names))
+    spread = f', round(CASE WHEN isfinite(max(CASE WHEN k = {len(z)} THEN s END)) AND isfinite(max(CASE WHEN k = {len(z) + 1} THEN s END)) THEN (max(CASE WHEN k = {len(z) + 1} THEN s END) - max(CASE WHEN k = {len(z)} THEN s END)) / {2 * upper_quantile(SE_LEVEL)!r}e0 ELSE CAST(\'inf\' AS DOUBLE) END, 9) + 0e0 AS "tau*_se"' if se else ""
+    return f"""WITH {_M1}{_LIB}{_values(None)}
+h AS (SELECT grp, gene, x, count(*) AS n FROM x GROUP BY ALL),
+s AS (SELECT grp, gene, sum(n) AS m, sum(CASE WHEN x = 0 THEN n ELSE 0 END) AS z, sum(CASE WHEN x > 0 THEN n * n * n - n ELSE 0 END) AS tie FROM h GROUP BY ALL),
+d AS (SELECT t.grp AS target, t.gene, CAST(t.m AS DOUBLE) AS m, CAST(r.m AS DOUBLE) AS n, CAST(r.z AS DOUBLE) * (t.m - t.z) + t.z * r.z / 2e0 AS fixed, CAST((t.m - t.z) * (r.m - r.z) AS DOUBLE) AS pairs,
+  CAST(t.tie + r.tie + (t.z + r.z) * (t.z + r.z) * (t.z + r.z) - t.z - r.z AS DOUBLE) AS tie FROM s t JOIN s r ON t.gene = r.gene AND t.grp <> '{REFERENCE}' AND r.grp = '{REFERENCE}'),
+u AS (SELECT t.grp AS target, t.gene, sum(t.n * r.n * CASE WHEN r.x < t.x THEN 1e0 WHEN r.x = t.x THEN 5e-1 ELSE 0e0 END) AS u FROM h t JOIN h r ON t.gene = r.gene AND t.grp <> '{REFERENCE}' AND r.grp = '{REFERENCE}' GROUP BY ALL),
+l AS (SELECT d.target, d.gene, k, pairs, CASE WHEN way > 0 THEN ceil(m * n / 2 + 5e-1 + z * sd - fixed) ELSE floor(m * n / 2 - 5e-1 - z * sd - fixed) + 1 END AS rank
+  FROM (SELECT d.*, u, sqrt(greatest(m * n / 12 * ((m + n + 1) - tie / greatest((m + n) * (m + n - 1), 1)), 2.2250738585072014e-308)) AS sd FROM d JOIN u ON u.target = d.target AND u.gene = d.gene) d
+  CROSS JOIN LATERAL (SELECT k, z, CASE WHEN f = 0 THEN CASE WHEN u >= m * n / 2 THEN 1 ELSE -1 END ELSE f END AS way FROM (VALUES {', '.join(asked + ends)}) AS q(k, z, f)) q),
+p AS (SELECT t.grp AS target, t.gene, t.x / r.x AS ratio, CAST(sum(t.n * r.n) AS DOUBLE) AS n FROM h t JOIN h r ON t.gene = r.gene AND t.grp <> '{REFERENCE}' AND r.grp = '{REFERENCE}' AND t.x > 0 AND r.x > 0 GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER (PARTITION BY target, gene ORDER BY ratio DESC ROWS UNBOUNDED PRECEDING) AS upto FROM p),
+a AS (SELECT l.target, l.gene, l.k, CASE WHEN rank <= 0 THEN CAST('inf' AS DOUBLE) WHEN rank > pairs THEN CAST('-inf' AS DOUBLE) ELSE log2(max(ratio)) END AS s
+  FROM l LEFT JOIN w ON w.target = l.target AND w.gene = l.gene AND upto >= rank GROUP BY l.target, l.gene, l.k, rank, pairs)
+SELECT target, gene AS feature, {picked}{spread} FROM a GROUP BY ALL"""
+
+
 _BOTH = _run()
 _SCALED = "SELECT x.cell AS cell_id, gene AS feature, round(x, 4) + 0e0 AS value FROM x WHERE raw <> 0"
 _LABEL = f"CASE WHEN starts_with(grp, 'MA') THEN '{REFERENCE}' ELSE grp END"
@@ -333,12 +379,16 @@ SQL: dict[str, str] = {
         r AS (SELECT *, count(*) OVER (PARTITION BY target) AS m, row_number() OVER (PARTITION BY target ORDER BY p, o_orderkey) AS i FROM p)
         SELECT target, o_orderkey, round(p, 9) + 0e0 AS p, round(least(min(m * p / i) OVER (PARTITION BY target ORDER BY i DESC ROWS UNBOUNDED PRECEDING), 1), 9) + 0e0 AS p_adj FROM r""",
     "special_functions": f"SELECT c_custkey, round(z, 10) + 0e0 AS z, round({erfc_sql('z')}, 10) + 0e0 AS erfc FROM (SELECT c_custkey, CAST(c_acctbal / 1500e0 AS DOUBLE) AS z FROM customer)",
+    "tau_star": _shifted((0.05, 0.5), False),
+    "tau_star_se": _shifted((0.5,), True),
+    "empty_schema": _empty(("tau=+0.5_p", "tau=+0.5_Ueffect", "tau=+0.5_padj")),
+    "mwu_sparse": _run(base=_M3),
     "lfc_up_down_grid": _run(taus=[(t, d) for t in GRID for d in ("up", "down")]),
     "output_columns": _run(columns=["feature AS gene", "target AS feature", "round(p_adj, 9) + 0e0 AS q"]),
     "topk_hits": f"SELECT * FROM ({_run(columns=['target', 'feature', 'p_adj'])}) ORDER BY p_adj, target, feature LIMIT 5",
     "rank_of_gene": f"SELECT * FROM (SELECT target, feature, CAST(row_number() OVER (PARTITION BY target ORDER BY p_value, feature) AS INTEGER) AS place, p_value FROM ({_run(columns=['target', 'feature', 'p_value'])})) WHERE feature = 'Brand#11'",
     "collapse_reference": _run(label=_LABEL),
-    "result_compare": f"WITH a AS ({_run(columns=['target', 'feature', 'p_value AS p'])}), b AS ({_run(total='1e4', columns=['target', 'feature', 'p_value AS p'])}) SELECT count(*) AS n_keys, count(*) FILTER (b.p IS NULL) AS only_a, count(*) FILTER (a.p IS NULL) AS only_b, round(corr(a.p, b.p), 6) + 0e0 AS pearson FROM a FULL JOIN b ON a.target = b.target AND a.feature = b.feature",
+    "result_compare": _compared(),
     "top_genes_sample": _simple("SELECT gene AS feature, sum(raw) AS total FROM x JOIN (SELECT cell, row_number() OVER (PARTITION BY grp ORDER BY md5(CAST(cell AS VARCHAR)), cell) AS r FROM c) s ON s.cell = x.cell AND r <= 20 GROUP BY gene ORDER BY total DESC, feature LIMIT 10"),
     "mwu_vectors": _run(base=_M2, reference="0", digits=8),
 }

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.spec import MISSING_LABELS
+from .places import stored
 
 
 @dataclass(frozen=True)
@@ -37,13 +38,14 @@ class CountMatrix:
 def from_table(table: DataFrame, cell: str, gene: str, value: str | Column, cells: DataFrame | None = None) -> CountMatrix:
     """A matrix from a long table; genes are numbered in the order of their names.
 
-    The number of a gene is its rank; ranks are taken over the distinct names only.
+    The table is read once, into the shared folder; names are numbered from there.  The number of
+    a gene is its rank among the distinct names.
     """
-    names = table.select(F.col(gene).cast("string").alias("feature"), F.col(gene).alias("_g")).distinct()
-    genes = numbered(names, "_g", "gene_idx")
     value = F.col(value) if isinstance(value, str) else value
-    entries = table.select(F.col(cell).alias("cell_id"), F.col(gene).alias("_g"), value.cast("double").alias("value")).join(genes.select("_g", "gene_idx"), "_g").select("cell_id", "gene_idx", "value")
-    return CountMatrix(entries, cells if cells is not None else table.select(F.col(cell).alias("cell_id")).distinct(), genes.select("gene_idx", "feature"))
+    own = stored(table.select(F.col(cell).alias("cell_id"), F.col(gene).alias("_g"), value.cast("double").alias("value")))
+    genes = stored(numbered(own.select("_g").distinct(), "_g", "gene_idx"))
+    entries = own.join(genes, "_g").select("cell_id", "gene_idx", "value")
+    return CountMatrix(entries, cells if cells is not None else own.select("cell_id").distinct(), genes.select("gene_idx", F.col("_g").cast("string").alias("feature")))
 
 
 def numbered(df: DataFrame, by: str, name: str, parts: int = 64) -> DataFrame:

@@ -26,13 +26,13 @@ def values(df, name):
 
 @pytest.mark.parametrize("p, want", [([0.01, INF, 0.5, -INF], [0.02, 1, 2 / 3, 0]), ([0.5] * 4, [0.5] * 4), ([0.01, NAN, 0.5], [0.02, NAN, 0.5]), ([], [])])
 def test_adjusted(spark, p, want):
-    df = statistics.adjusted(column(spark, p).withColumn("target", F.lit("t")), "x", "q")
+    df = statistics.adjusted(column(spark, p).withColumn("target", F.lit("t")), {"x": "q"})
     assert values(df, "q") == pytest.approx(want, nan_ok=True)
 
 
 def test_families_are_apart(spark):
     df = spark.createDataFrame([(0, "g0", 0.1), (1, "g2", 0.5), (2, "g2", 0.9)], "i int, target string, x double")
-    assert values(statistics.adjusted(df, "x", "q"), "q") == pytest.approx([0.1, 0.9, 0.9])
+    assert values(statistics.adjusted(df, {"x": "q"}), "q") == pytest.approx([0.1, 0.9, 0.9])
 
 
 @pytest.mark.parametrize("t, r, threshold, want", [([0, 2, 0], [1.5, 0, 0], 1, [True, True, False]), ([-5, -0.1], [-9, -2], -1, [True, True]), ([0, 1], [0, 0], 0, [False, True]), ([NAN, NAN], [2, NAN], 1, [True, False])])
@@ -79,9 +79,9 @@ def test_shift_beyond_reach(t, r, want):
     assert shift(t, r, (0.5,)) == pytest.approx([want], nan_ok=True)
 
 
-def shift(t, r, levels, se=False, iterations=40):
+def shift(t, r, levels, se=False):
     (tv, tc), (rv, rc) = (np.unique(np.array(v, float), return_counts=True) for v in (t, r))
-    return answers(tv, tc, rv, rc, levels, se, iterations)
+    return answers(tv, tc, rv, rc, levels, se)
 
 
 @pytest.mark.parametrize("t, r, want", [([0], [1], (-INF, INF)), ([0, 0, 0], [1, 2, 3, 5], (-INF, -INF)), ([0, 0], [1, 2], (-INF, INF)), ([3, 9], [0] * 4, (-INF, INF)), ([3, 9, 5, 7, 2, 8], [0] * 8, (INF, INF))])
@@ -99,7 +99,7 @@ def test_shift_is_where_u_crosses():
     rng = np.random.default_rng(1)
     for _ in range(20):
         t, r = rng.lognormal(1, 1, 9), rng.lognormal(0, 1, 12)
-        found = shift(t, r, (0.5,), iterations=60)[0]
+        found = shift(t, r, (0.5,))[0]
         cuts = np.sort(np.log2(t[:, None] / r).ravel())
         u = lambda s: sum((t[:, None] * 2.0**-s > r).ravel())  # noqa: E731, B023
         level = 54 + (0.5 if u(0) >= 54 else -0.5)
