@@ -5,8 +5,8 @@ least one of four 16-bit segments, so a fingerprint goes to four coarse nodes, o
 segment that is masked to the front.  Inside a node the fingerprints are sorted by Gray rank;
 upper nodes hold the bits that all their members share (the masked pattern), and a pair of
 nodes is pruned as soon as the differences of the shared bits exceed the threshold.  A coarse
-node above ``node_limit`` members is factored once more (four 12-bit segments of the 48 bits
-left) and, if still too large, dealt to several tasks as pairs of slices; nothing is dropped.
+node above ``node_limit`` members is factored again, by four segments of the bits left, as often
+as it takes; nothing is dropped.
 A task returns a spanning forest of the links it finds, so output is linear in its input.
 """
 
@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut
+from .shared import broadcast_if_small, cut, divided, stored
 
 SEED = 42
 _LEAF = 8
 _FRONTIER = 1 << 18
+_ROWS = 1 << 20  # members that a task indexes at a time, and one node more
+HOT = 100_000  # documents of one fingerprint
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -176,30 +178,45 @@ class GrayIndex:
                 found.link(u[hit], v[hit])
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    node, value = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in (0, 1))
+def _linked(node: np.ndarray, value: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     index = GrayIndex(node, value.view(np.uint64))
     root = index.forest(bits).roots(np.arange(len(index.value)))
     far = np.flatnonzero(root != np.arange(len(root)))
     ends = index.value.view(np.int64)
-    for k in range(0, len(far), 1 << 16):
-        part = far[k:k + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(ends[part]), pa.array(ends[root[part]])], ["a", "b"])
+    if len(far):
+        yield pa.RecordBatch.from_arrays([pa.array(ends[far]), pa.array(ends[root[far]])], ["a", "b"])
+
+
+def _link_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by node: whole nodes are indexed together, a bounded number of rows at a time."""
+    held, many = [], 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        many += batch.num_rows
+        if many >= _ROWS:
+            node, value = (np.concatenate(x) for x in zip(*held))
+            stop = int(np.searchsorted(node, node[-1]))  # the last node may go on
+            yield from _linked(node[:stop], value[:stop], bits)
+            held, many = [(node[stop:], value[stop:])], len(node) - stop
+    if many:
+        yield from _linked(*(np.concatenate(x) for x in zip(*held)), bits)
 
 
 # ---------------------------------------------------------------- the index, across tasks
 
 
-def _turned(column: str, by: int) -> str:
-    return f"(shiftleft({column}, {by}) | shiftrightunsigned({column}, {64 - by}))" if by else column
+def _factored(rows: DataFrame, left: int) -> tuple[DataFrame, int]:
+    """Members in the nodes below theirs: one for each of four segments of the ``left`` bits not fixed yet, which becomes fixed."""
+    width = left // 4
 
+    def branch(t: int) -> str:
+        above = ((1 << t * width) - 1) << 64 - t * width
+        above -= (above >> 63) << 64  # as a signed number
+        segment = f"shiftrightunsigned(shiftleft(rest, {t * width}), {64 - width})"
+        return f"struct(xxhash64(node, {t}, {segment}) as node, (rest & ({above}L)) | (shiftleft(rest, {width}) & ~({above}L)) as rest)"
 
-def _counted(rows: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    large = rows.groupBy(*keys).agg(F.count("*").alias("members")).where(F.col("members") > limit)
-    return rows.join(large, keys, "left")
+    each = F.explode(F.expr(f"array({', '.join(branch(t) for t in range(4))})")).alias("k")
+    return rows.select("fp", each).select("fp", "k.node", "k.rest"), left - width
 
 
 def links(prints: DataFrame, node_limit: int = 1024) -> DataFrame:
@@ -207,20 +224,24 @@ def links(prints: DataFrame, node_limit: int = 1024) -> DataFrame:
 
     The result is a set of spanning forests: two fingerprints within three bits are always
     connected through it, and every link in it is one of at most three bits or a chain of such.
+    Members of nodes above ``node_limit`` go to four nodes each of the next level, where a
+    quarter of the bits left is fixed too; a node with no more than ten bits left has no more
+    than 1024 members, so the levels end and the rows stay in proportion to the members.
     """
-    first = prints.select("fp", F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.expr(f"shiftrightunsigned({_turned('fp', 16 * t)}, 48)").alias("top")) for t in range(4)))).alias("k")).select("fp", "k.t", "k.top")
-    first = _counted(first, ["t", "top"], node_limit)
-    cold = first.where("members is null").select(F.xxhash64("t", "top").alias("node"), "fp")
-    rest = "shiftleft(case t when 0 then fp " + " ".join(f"when {t} then {_turned('fp', 16 * t)}" for t in (1, 2, 3)) + " end, 16)"
-    second = first.where("members is not null").withColumn("rest", F.expr(rest)).select("fp", "t", "top", F.explode(F.array(*(F.struct(F.lit(u).alias("u"), F.expr(f"shiftrightunsigned(shiftleft(rest, {12 * u}), 52)").alias("sub")) for u in range(4)))).alias("k")).select("fp", "t", "top", "k.u", "k.sub")
-    second = _counted(second, ["t", "top", "u", "sub"], node_limit)
-    cool = second.where("members is null").select(F.xxhash64("t", "top", "u", "sub").alias("node"), "fp")
-    slices = second.where("members is not null").withColumn("s", F.expr(f"cast(ceil(members / {node_limit}) as int)")).withColumn("c", F.expr("cast(pmod(xxhash64(fp), s) as int)"))
-    pairs = slices.select("*", F.explode(F.expr("filter(sequence(0, s - 1), j -> j <> c)")).alias("j"))
-    hot = pairs.select(F.xxhash64("t", "top", "u", "sub", F.least("c", "j"), F.greatest("c", "j")).alias("node"), "fp")
-    # Nodes are named by a 64-bit hash: two that share a name are only compared needlessly.
-    dealt = cold.unionByName(cool).unionByName(hot).repartition("node")
-    return dealt.mapInArrow(lambda it: _link_batches(it, 3), "a long, b long")
+    rows, left = prints.select("fp", F.lit(0).cast("long").alias("node"), F.col("fp").alias("rest")), 64
+    dealt = None
+    while True:
+        rows, left = _factored(rows, left)
+        # Nodes are named by a 64-bit hash: two that share a name are only compared needlessly.
+        large = cut(rows.groupBy("node").agg(F.count("*").alias("members")).where(F.col("members") > node_limit).select("node"))
+        if left <= 10 or large.isEmpty():
+            now, rows = rows, None
+        else:
+            rows = stored(rows)
+            now, rows = rows.join(large, "node", "left_anti"), rows.join(large, "node", "left_semi")
+        dealt = now.select("node", "fp") if dealt is None else dealt.unionByName(now.select("node", "fp"))
+        if rows is None:
+            return dealt.repartition("node").sortWithinPartitions("node").mapInArrow(lambda it: _link_batches(it, 3), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, node_limit: int = 1024) -> DataFrame:
@@ -230,12 +251,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, node_limit: int = 1024) -
     repeated.  A null ``doc_id`` keeps its row and its fingerprint; it names no component unless
     all documents with linked fingerprints have none (component null).  Other columns are ignored.
     """
-    prints = cut(fingerprints(docs, shingle))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    prints = stored(fingerprints(docs, shingle))
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("many")))
     # Fingerprints are the nodes, also those that only rows without an id have; ids come in after.
     joined = components(links(classes.select("fp"), node_limit)).select(F.col("node").alias("fp"), F.col("component").alias("part"))
-    joined = cut(classes.join(joined, "fp"))
+    joined = stored(classes.join(joined, "fp"))
     first = joined.groupBy("part").agg(F.min("rep").alias("component_id"))
     linked = joined.join(first, "part").select("fp", "component_id")
-    parts = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.join(parts, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    parts = classes.join(linked, "fp", "left").select(F.col("fp").alias("own"), F.coalesce("component_id", "rep").alias("component_id"), "many")
+    # Fingerprints of very many documents, of which there are few, do not gather their rows in one task.
+    hot = stored(parts.where(F.col("many") > HOT))
+    crowd, others = (prints, prints) if hot.isEmpty() else divided(prints, F.col("fp"), hot.select("own"))
+    placed = others.join(parts, F.col("fp") == F.col("own"))
+    if crowd is not others:
+        placed = placed.unionByName(crowd.join(broadcast_if_small(hot, 100_000), F.col("fp") == F.col("own")))
+    return placed.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")

@@ -96,6 +96,34 @@ def test_documents_and_hot_nodes(spark):
     assert run(spark, rows, node_limit=16) == want
 
 
+def test_members_of_hot_nodes_are_dealt_in_proportion(spark, monkeypatch):
+    """Twice the fingerprints in one node: about twice the rows, not four times; and many of them in one task's pieces."""
+    dealt = []
+    rng = np.random.default_rng(8)
+    pool = np.unique(rng.integers(0, 1 << 20, 6000).astype(np.int64) + (0x5A5A << 40))
+    for many in (1000, 2000, 4000):
+        df = spark.createDataFrame([(int(x),) for x in pool[:many]], "fp long")
+        monkeypatch.setattr(simhash, "_link_batches", lambda it, bits: (b.select(["node", "fp"]).rename_columns(["a", "b"]) for b in it))
+        dealt.append(simhash.links(df, 64).count())
+        monkeypatch.undo()
+    assert dealt[2] < 3 * dealt[1] < 9 * dealt[0]
+    monkeypatch.setattr(simhash, "_ROWS", 50)
+    prints = [(i, int(x)) for i, x in enumerate(pool[:1500])]
+    df = spark.createDataFrame(prints, "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: df)
+    got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(df, node_limit=64).collect())
+    assert got == plain_components([(d, f) for d, f in prints])
+
+
+def test_hot_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 3)
+    rows = [(i, "the same words again and again", 0, "") for i in range(9)] + [(20, "other words than those above", 0, ""), (None, "the same words again and again", 0, "")]
+    got = run(spark, rows[:10])
+    assert got == plain_components([(r[0], plain_fingerprint(r[1])) for r in rows[:10]])
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra int, fp string")
+    assert simhash.near_duplicates(df).where("doc_id is null and component_id = 0").count() == 1
+
+
 def test_null_row_as_bridge(spark, monkeypatch):
     """A row without an id joins those on its two sides, wherever its fingerprint stands in Gray order."""
     for case, bridge in enumerate((0b000, 0b111000, 0b011, 0b111111)):
