@@ -1,7 +1,9 @@
 """WARC archives: writing, reading, and resolving revisit records.
 
-A record ends with two line breaks, which is how Spark's text sink ends a line: archives are
-written by that sink, on any file system Spark can reach, and read back as binary files.
+Headers (page, digest and size) are shuffled by payload digest to decide which records revisit
+which; payloads stay where they are.  Every record is a gzip member of its own.  Spark's text sink
+writes them, to any file system that Spark reaches: a row is the record's member, and the line
+separator is a member that holds the two line breaks which end every record.
 """
 
 from __future__ import annotations
@@ -9,23 +11,33 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import divided, stored
+
 LEAST_BYTES = 100  # smaller payloads are not worth a revisit record
-RECORDS_PER_FILE = 1000
+RECORDS_PER_FILE = 256  # of at most LARGE bytes; a larger record has a file of its own
+LARGE = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "2024-01-01T00:00:00Z"
+SOFTWARE = "rankloom"
 _BREAK = "\r\n"
 _RECORD = "page_id long, record_id string, record_type string, url string, date string, refers_to_record string, payload_digest string, payload_bytes long, intact boolean"
 
 
-def captures(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """``pages(page_id, url, html)`` to captures with the payload's digest and size; null html is empty."""
+def captures(pages: DataFrame, date: str | None = None) -> DataFrame:
+    """``pages(page_id, url, html)`` to captures with the payload's digest and size; null html is empty.
+
+    ``date`` is the time of all captures (now, if not given); a column ``date`` of the pages goes before it.
+    """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    return pages.select("page_id", "url", F.lit(date).alias("date"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
+    given = F.lit(date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"))
+    when = F.coalesce(F.col("date").cast("string"), given) if "date" in pages.columns else given
+    return pages.select("page_id", "url", when.alias("date"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
 
 
 def _urn(page: Column, digest: Column) -> Column:
@@ -34,37 +46,74 @@ def _urn(page: Column, digest: Column) -> Column:
 
 
 def _header(name: str, value: Column) -> Column:
-    return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(_BREAK)), F.lit(""))
+    """A header line; none for null.  A header ends with its line, so breaks and blanks are written as %20."""
+    return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r"[\x00-\x20\x7F]", "%20"), F.lit(_BREAK)), F.lit(""))
 
 
 def _record() -> Column:
     revisit = F.col("first_id").isNotNull()
-    url = F.regexp_replace("url", r"[\x00-\x20\x7F]", "%20")  # a header ends with its line
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_BREAK}Content-Type: text/html; charset=UTF-8{_BREAK}Content-Length: "), F.col("bytes").cast("string"), F.lit(_BREAK * 2))
     body = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
     first = _urn(F.col("first_id"), F.col("digest"))
     return F.concat(
         F.lit(f"WARC/1.1{_BREAK}"), _header("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        _header("WARC-Record-ID", F.concat(F.lit("<"), _urn(F.col("page_id"), F.col("digest")), F.lit(">"))), _header("WARC-Date", F.col("date")), _header("WARC-Target-URI", url),
+        _header("WARC-Record-ID", F.concat(F.lit("<"), _urn(F.col("page_id"), F.col("digest")), F.lit(">"))), _header("WARC-Date", F.col("date")), _header("WARC-Target-URI", F.col("url")),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))), _header("WARC-Page-ID", F.col("page_id").cast("string")),
-        F.when(revisit, F.concat(_header("WARC-Profile", F.lit(PROFILE)), _header("WARC-Refers-To", F.concat(F.lit("<"), first, F.lit(">"))), _header("WARC-Refers-To-Date", F.col("first_date")))).otherwise(""),
+        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}{_BREAK}"), _header("WARC-Refers-To", F.concat(F.lit("<"), first, F.lit(">"))), _header("WARC-Refers-To-Target-URI", F.col("first_url")), _header("WARC-Refers-To-Date", F.col("first_date")))).otherwise(""),
         F.lit(f"Content-Type: application/http; msgtype=response{_BREAK}Content-Length: "), F.octet_length(body).cast("string"), F.lit(_BREAK * 2), body)
 
 
-def write(found: DataFrame, path: str, least_bytes: int = LEAST_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write captures as a deduplicated archive with fresh headers.
+def _member(data: bytes) -> bytes:
+    pack = zlib.compressobj(wbits=31)
+    return pack.compress(data) + pack.flush()
+
+
+_SEPARATOR = _member((_BREAK * 2).encode())
+
 
-    Headers are shuffled by payload digest: of equal payloads of ``least_bytes`` and more the
-    smallest page id is a response (rows that repeat it too), all others are revisits of it.
-    A capture without a payload (null: an earlier revisit) is never the response.
+def _members(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.RecordBatch]:
+    """Each record as a gzip member, behind one that tells what wrote them."""
+    told = False
+    for batch in batches:
+        out = []
+        if not told and batch.num_rows:
+            told, context = True, TaskContext.get()
+            fields = f"software: {SOFTWARE}{_BREAK}format: WARC File Format 1.1{_BREAK}"
+            name = hashlib.md5(f"{context.stageId()}/{context.partitionId()}/{date}".encode()).hexdigest()
+            urn = "-".join(name[i:j] for i, j in ((0, 8), (8, 12), (12, 16), (16, 20), (20, 32)))
+            out.append(_member(f"WARC/1.1{_BREAK}WARC-Type: warcinfo{_BREAK}WARC-Record-ID: <urn:uuid:{urn}>{_BREAK}WARC-Date: {date}{_BREAK}Content-Type: application/warc-fields{_BREAK}Content-Length: {len(fields)}{_BREAK * 2}{fields}".encode()))
+        out += [_member(x.as_buffer()) for x in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+
+
+def decided(found: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """``found`` with ``first_id``, ``first_url`` and ``first_date`` of the response that a record revisits, else nulls.
+
+    Only headers are shuffled by digest; rows whose digest repeats find their response in the
+    table of repeated digests.
+    """
+    large = found.where(F.col("bytes") >= least_bytes)
+    first = F.min(F.when(F.col("page_id").isNotNull() & F.col("payload").isNotNull(), F.struct("page_id", "date", "url"))).alias("first")
+    heads = stored(large.groupBy(F.col("digest").alias("d")).agg(first, F.count("*").alias("copies")).where("copies > 1 and first is not null").select("d", "first"))
+    some, alone = divided(found, F.xxhash64("digest"), heads.select(F.xxhash64("d")))
+    names = {"first_id": "page_id", "first_url": "url", "first_date": "date"}
+    some = some.join(heads, (F.col("digest") == F.col("d")) & (F.col("bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first.page_id")), "left")
+    types = dict(found.dtypes)
+    return some.select(*found.columns, *(F.col(f"first.{c}").alias(n) for n, c in names.items())).unionByName(alone.select("*", *(F.lit(None).cast(types[c]).alias(n) for n, c in names.items())))
+
+
+def write(found: DataFrame, path: str, least_bytes: int = LEAST_BYTES, records_per_file: int = RECORDS_PER_FILE, large: int = LARGE) -> None:
+    """Write captures as a deduplicated archive with fresh headers, below ``path``.
+
+    Of equal payloads of ``least_bytes`` and more the smallest page id is a response (rows that
+    repeat it too: they are one record, with one id), all others are revisits of it.  A capture
+    without a payload (null: an earlier revisit) is never the response.  A file holds a bounded
+    number of bytes, or one record of more than ``large`` bytes.
     """
-    heads = found.where((F.col("bytes") >= least_bytes) & F.col("payload").isNotNull()).groupBy(F.col("digest").alias("d")).agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "date"))).alias("first"))
-    # Only digests that repeat can make a revisit.
-    many = found.where(F.col("bytes") >= least_bytes).groupBy(F.col("digest").alias("m")).agg(F.count("*").alias("copies")).where("copies > 1")
-    heads = heads.join(many, F.col("d") == F.col("m"), "left_semi").where("first is not null")
-    whole = found.join(heads, (F.col("digest") == F.col("d")) & ~F.col("page_id").eqNullSafe(F.col("first.page_id")), "left")
-    whole = whole.withColumn("first_id", F.col("first.page_id")).withColumn("first_date", F.col("first.date"))
-    whole.select(_record().alias("value")).write.option("lineSep", _BREAK * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    whole, date = decided(found, least_bytes), datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    for name, part, many in (("records", F.col("bytes") <= large, records_per_file), ("large", F.col("bytes") > large, 1)):
+        members = whole.where(part).select(_record().cast("binary").alias("record")).mapInArrow(lambda it: _members(it, date), "value binary")
+        members.select(F.col("value").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", _SEPARATOR.decode("latin-1")).option("maxRecordsPerFile", many).text(f"{path}/{name}")
 
 
 def _inflated(content: bytes) -> bytes:
@@ -77,15 +126,18 @@ def _inflated(content: bytes) -> bytes:
 
 
 def _parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record; a record that is no WARC record or ends early is a ValueError."""
     at = 0
     while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:stop].decode("utf-8", "replace").split(_BREAK)
+        stop = data.find(b"\r\n\r\n", at)
+        version, *lines = data[at:max(stop, at)].decode("utf-8", "replace").split(_BREAK)
         if not version.startswith("WARC/"):
-            raise ValueError(f"not a WARC record: {version[:40]!r}")
+            raise ValueError(f"not a WARC record at byte {at}: {data[at:at + 40]!r}")
         head = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
         begin = stop + 4
-        end = begin + int(head["content-length"])
+        end = begin + int(head.get("content-length", -1))
+        if not begin <= end <= len(data):
+            raise ValueError(f"the WARC record at byte {at} ends early or names no length")
         yield head, data[begin:end]
         at = end + 4
 
@@ -111,9 +163,9 @@ def _read_batches(batches: Iterator[pa.RecordBatch], payloads: bool) -> Iterator
 
 
 def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """Response and revisit records of the archives below ``path``; a task holds one file at a time.
+    """Response and revisit records of the archives below ``path``, gzip or plain; a task holds one file at a time.
 
-    ``intact`` tells whether a response's payload has the digest its header names; the digest
+    A file that is damaged ends the job with a ValueError.  ``intact`` tells whether a response's payload has the digest its header names; the digest
     returned is the payload's own.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{gz,txt,warc}").load(path).select("content")
@@ -121,14 +173,23 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """Join revisit records to the responses they refer to: full size and page of the original."""
+    """Join revisit records to the responses they refer to: full size and page of the original.
+
+    A row for each record; a revisit whose response is not among them has null size and page and
+    is not intact.  Responses that repeat an id count once.
+    """
     first = records.where("record_type = 'response'").select(F.col("record_id").alias("r"), F.col("page_id").alias("first_page"), F.col("payload_bytes").alias("first_bytes"), F.col("payload_digest").alias("first_digest")).dropDuplicates(["r"])
     joined = records.join(first, F.col("refers_to_record") == F.col("r"), "left")
-    return joined.select("page_id", "url", "date", F.coalesce("payload_bytes", "first_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("first_page").alias("refers_to"), (F.col("intact") & (F.col("first_digest").isNull() | (F.col("first_digest") == F.col("payload_digest")))).alias("intact"))
+    return joined.select("page_id", "url", "date", F.coalesce("payload_bytes", "first_bytes").alias("payload_bytes"), "payload_digest", "record_type", F.col("first_page").alias("refers_to"), (F.col("intact") & F.coalesce(F.col("first_digest") == F.col("payload_digest"), F.col("record_type") == "response")).alias("intact"))
 
 
 def merge(spark: SparkSession, sources: list[str], path: str, least_bytes: int = LEAST_BYTES) -> None:
-    """Rewrite archives as one, revisits resolved across all of them and every header fresh."""
+    """Rewrite archives as one, revisits resolved across all of them and every header fresh.
+
+    Records with equal payloads in different archives become one response and revisits of it.
+    Revisits without their response in any source are an error of the sources; they are written as
+    responses without payload.
+    """
     records = read(spark, sources[0], payloads=True)
     for source in sources[1:]:
         records = records.unionByName(read(spark, source, payloads=True))

@@ -1,5 +1,10 @@
+import glob
+import gzip
 import hashlib
 import zlib
+from collections import Counter
+
+import pytest
 
 from rankloom.llm import warc
 
@@ -55,6 +60,37 @@ def test_members_and_damage():
     assert len(found) == 3 and all(b.endswith(b"abc") for _, b in found)
 
 
+def test_archives_are_plain_warc_to_other_readers(spark, tmp_path):
+    """Members one by one: each record begins at one, after a warcinfo; revisits name their response."""
+    path = f"{tmp_path}/one"
+    df = spark.createDataFrame(ROWS, "page_id long, url string, html string, payload string")
+    warc.write(warc.captures(df.repartition(1), "2020-02-02T00:00:00Z"), f"file://{path}", records_per_file=4, large=1000)
+    files = [f for f in glob.glob(f"{path}/**/part-*", recursive=True)]
+    assert len(files) > 4
+    kinds, ids = Counter(), set()
+    for f in files:
+        data = open(f, "rb").read()
+        assert gzip.decompress(data) == warc._inflated(data)
+        while data:
+            member = zlib.decompressobj(31)
+            text = member.decompress(data)
+            assert text.startswith(b"WARC/1.1\r\n") or text == b"\r\n\r\n"
+            data = member.unused_data
+        for head, _ in warc._parsed(warc._inflated(open(f, "rb").read())):
+            kinds[head["warc-type"]] += 1
+            ids.add(head["warc-record-id"])
+            if head["warc-type"] == "revisit":
+                assert {"warc-refers-to", "warc-refers-to-date", "warc-profile"} <= set(head) and head["warc-date"] == "2020-02-02T00:00:00Z"
+    assert kinds["warcinfo"] >= 1 and kinds["response"] + kinds["revisit"] == len(ROWS)
+
+
+def test_damage_is_told(spark, tmp_path):
+    whole = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\n"
+    for data in (whole + b"short", b"GET / HTTP/1.1\r\n\r\n", b"WARC/1.0\r\nno end", b"WARC/1.0\r\nX: 1\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc._parsed(data))
+
+
 def test_query(spark):
     import pyarrow.parquet as pq
 
