@@ -10,15 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, sized
+from .shared import cut, sized, stored
 
 ENTRY = "list string, effect string, kind string, pattern string, action string, day date"
-_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)"
+_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)(?::[0-9]*)?([^?#]*)"
 _KEY = ["list", "effect", "kind", "pattern"]
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host without user, port or last dot; null where the URL has none."""
+    """Lower-case host without user, port or last dot, an IPv6 address in its brackets; null where the URL has none."""
     return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, _URL, 1)), r"\.$", ""), F.lit(""))
 
 
@@ -75,35 +75,63 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", "day", host_of(F.col("url")).alias("host"), ((F.size(F.coalesce("block", none)) > 0) & (F.size(F.coalesce("allow", none)) == 0)).alias("blocked"), F.array_join(F.coalesce("block", none), ",").alias("blocked_by"), F.array_join(F.coalesce("allow", none), ",").alias("allowed_by"))
 
 
-#: The query's lists: list, effect, kind, pattern, action, day.
+#: Entries of the query by hand: list, effect, kind, pattern, action, day.
 ENTRIES = [
     ("spam", "block", "host", "spam-farm.example.org", "add", "2024-01-01"),
-    ("spam", "block", "host", "www.cheap-pills.example.com", "add", "2024-01-15"),
-    ("spam", "block", "host", "www.cheap-pills.example.com", "remove", "2024-02-10"),
-    ("spam", "block", "host", "www.cheap-pills.example.com", "add", "2024-03-05"),
     ("pharma", "block", "domain", "cheap-pills.example.com", "add", "2024-02-01"),
     ("pharma", "block", "domain", "cheap-pills.example.com", "remove", "2024-03-01"),
     ("mirrors", "block", "domain", "example.net", "add", "2024-02-20"),
     ("mirrors", "block", "domain", "example.net", "remove", "2024-02-25"),
     ("mirrors", "block", "domain", "example.net", "add", "2024-02-25"),
-    ("takedown", "block", "prefix", "blog.tionsh.example.net/es", "add", "2024-01-10"),
-    ("takedown", "block", "prefix", "thther.example.org/en/762", "add", "2024-01-02"),
-    ("takedown", "block", "prefix", "blog.tionsh.example.net/es", "remove", "2024-04-01"),
     ("partners", "allow", "domain", "tionsh.example.net", "add", "2024-02-22"),
-    ("partners", "allow", "host", "ththan.example.net", "add", "2024-01-01"),
-    ("partners", "allow", "host", "ththan.example.net", "remove", "2024-02-21"),
+]
+#: And by rule, from the places that the pages name, n the least page id of each: list, effect, kind, place, then
+#: every how many n; added on day n mod d; removed so many days later for every how many n; added again likewise.
+RULES = [
+    ("spam", "block", "host", "host", 3, 100, 10, 2, 15, 4),
+    ("networks", "block", "domain", "above", 7, 60, 5, 1, 30, 2),
+    ("takedown", "block", "prefix", "folder", 2, 90, 7, 6, 30, 12),
+    ("reports", "block", "prefix", "page", 5, 110, 12, 3, 14, 9),
+    ("partners", "allow", "host", "host", 13, 50, 20, 2, 40, 4),
+    ("reviewed", "allow", "prefix", "page", 10, 70, 33, 4, 50, 8),
 ]
 #: Pages carry no fetch time; the query gives page p the day p mod 120 after this one.
 FIRST_DAY, DAYS = "2024-01-01", 120
 
 
-def query_entries(spark: SparkSession) -> DataFrame:
+def query_entries(pages: DataFrame) -> DataFrame:
+    """The query's dated lists: some by hand, the rest by ``RULES`` from the hosts and paths in ``pages``, so that they grow with it."""
+    spark = pages.sparkSession
+    named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host is not null and page_id is not null")
+    places = {"host": F.col("host"), "above": F.regexp_replace("host", r"^[^.]*[.]", ""), "folder": F.concat("host", F.lit("/"), F.split_part("path", F.lit("/"), F.lit(2))), "page": F.concat("host", F.rtrim("path", F.lit("/")))}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("place"), v.alias("pattern")) for k, v in places.items()))).alias("x")
+    found = stored(named.select("page_id", each).groupBy("x.place", "x.pattern").agg(F.min("page_id").alias("n")))
     rows = ", ".join(f"({', '.join(repr(x) for x in e[:5])}, date '{e[5]}')" for e in ENTRIES)
-    return spark.sql(f"select * from values {rows} as e(list, effect, kind, pattern, action, day)")
+    out = spark.sql(f"select * from values {rows} as e(list, effect, kind, pattern, action, day)")
+    for name, effect, kind, place, every, first, off, off_every, on, on_every in RULES:
+        own = found.where((F.col("place") == place) & (F.pmod("n", F.lit(every)) == 0))
+        for action, later, which in (("add", 0, 1), ("remove", off, off_every), ("add", on, on_every)):
+            day = F.date_add(F.lit(FIRST_DAY).cast("date"), (F.pmod("n", F.lit(first)) + later).cast("int"))
+            out = out.unionByName(own.where(F.pmod("n", F.lit(every * which)) == 0).select(F.lit(name).alias("list"), F.lit(effect).alias("effect"), F.lit(kind).alias("kind"), "pattern", F.lit(action).alias("action"), day.alias("day")))
+    return out
+
+
+def _sql_rules() -> str:
+    """``RULES`` in SQL over places t(place, pattern, n)."""
+    parts = []
+    for name, effect, kind, place, every, first, off, off_every, on, on_every in RULES:
+        for action, later, which in (("add", 0, 1), ("remove", off, off_every), ("add", on, on_every)):
+            parts.append(f"SELECT '{name}', '{effect}', '{kind}', pattern, '{action}', DATE '{FIRST_DAY}' + CAST(n % {first} + {later} AS INTEGER) FROM t WHERE place = '{place}' AND n % {every * which} = 0")
+    return "\n  UNION ALL ".join(parts)
 
 
 SQL = rf"""
-WITH e AS (SELECT * FROM (VALUES {', '.join(f"({', '.join(repr(x) for x in e[:5])}, DATE '{e[5]}')" for e in ENTRIES)}) AS e(list, effect, kind, pattern, action, day)),
+WITH u AS (SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '{_URL}', 1)), '\.$', ''), '') AS host, regexp_extract(url, '{_URL}', 2) AS path FROM pages),
+t AS (SELECT place, pattern, min(page_id) AS n FROM (
+  SELECT page_id, 'host' AS place, host AS pattern FROM u UNION ALL SELECT page_id, 'above', regexp_replace(host, '^[^.]*[.]', '') FROM u
+  UNION ALL SELECT page_id, 'folder', host || '/' || split_part(path, '/', 2) FROM u UNION ALL SELECT page_id, 'page', host || rtrim(path, '/') FROM u) WHERE pattern IS NOT NULL GROUP BY ALL),
+e(list, effect, kind, pattern, action, day) AS (SELECT * FROM (VALUES {', '.join(f"({', '.join(repr(x) for x in e[:5])}, DATE '{e[5]}')" for e in ENTRIES)})
+  UNION ALL {_sql_rules()}),
 d AS (SELECT list, effect, kind, pattern, day, max(CASE WHEN action = 'remove' THEN 1 ELSE 0 END) AS off FROM e GROUP BY ALL),
 n AS (SELECT *, lead(day) OVER (PARTITION BY list, effect, kind, pattern ORDER BY day) AS until FROM d),
 s AS (SELECT * FROM n WHERE off = 0),

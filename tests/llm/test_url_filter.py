@@ -8,7 +8,7 @@ DAY = datetime.date(2024, 1, 1)
 
 
 def plain(url, day, entries):
-    m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)", url or "")
+    m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)(?::[0-9]*)?([^?#]*)", url or "")
     host = re.sub(r"\.$", "", m[1].lower()) or None if m else None
     found = {"block": set(), "allow": set()}
     for key in {e[:4] for e in entries if None not in e}:
@@ -43,3 +43,19 @@ def test_edges(spark):
     check(spark, captures, entries)
     check(spark, captures, [])
     check(spark, [], entries)
+
+
+def test_addresses_in_brackets(spark):
+    entries = [("l", "block", "host", "[2001:db8::1]", "add", DAY)]
+    captures = [(1, "http://[2001:DB8::1]:8080/x", DAY), (2, "http://[2001:db8::2]/x", DAY), (3, "http://u@[2001:db8::1]", DAY), (4, "http://[broken/x", DAY), (5, "http://192.0.2.1:80/", DAY)]
+    got = {r.page_id: (r.host, r.blocked) for r in check(spark, captures, entries)}
+    assert got == {1: ("[2001:db8::1]", True), 2: ("[2001:db8::2]", False), 3: ("[2001:db8::1]", True), 4: (None, False), 5: ("192.0.2.1", False)}
+
+
+def test_lists_of_the_query_grow_with_the_pages(spark):
+    counts = []
+    for sf in ("0.001", "0.01", "0.1"):
+        entries = url_filter.query_entries(spark.read.parquet(f"/root/testdata/sf{sf}/pages.parquet"))
+        counts.append(entries.count())
+        assert entries.where("action = 'remove'").count() > 0 and entries.columns == [x.split()[0] for x in url_filter.ENTRY.split(", ")]
+    assert counts[0] < counts[1] < counts[2] and counts[2] > 1000
