@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from rankloom.llm.topk import threshold_top, top_k
 
@@ -34,10 +35,13 @@ def test_blocks_and_cases(spark):
     queries = [(0, rows[0][1]), (7, [0.5] * 6), (7, [0.5] * 6), (50, [0.0] * 6), (51, [1.0, 0.0, 0.0, 0.0, 0.0, -1.0]), (52, None), (53, []), (54, [float("nan")]), (None, [1.0] * 6), (55, [1.0] * 6)]
     small = [r for r in rows if r[0] != 306]
     assert run(spark, small, queries) == plain(small, queries, 5)
-    assert run(spark, small, queries, k=3, block=16, query_block=2) == plain(small, queries, 3)
+    assert run(spark, small, queries, k=3, block=16, sent=4) == plain(small, queries, 3)
     assert run(spark, rows[:4], queries) == plain(rows[:4], queries, 5)
     assert run(spark, [], queries) == [] and run(spark, rows, []) == []
-    assert len(run(spark, rows, queries)) == len(plain(rows, queries, 5))
+    with pytest.raises(Exception, match="64 bits"):
+        run(spark, rows, queries)
+    large = [(i, [float(x) for x in np.float32(rng.normal(size=3) * 1e6)]) for i in range(50)]  # beyond exact doubles, within 64 bits
+    assert run(spark, large, large[:9], block=8) == plain(large, large[:9], 5)
 
 
 def test_threshold_stops_and_is_exact():
