@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
@@ -221,7 +221,7 @@ def de(
 
     One source of three: ``adata`` (a CountMatrix, with ``groupby`` and a reference label,
     ``ALL_OTHERS`` or a pool matrix), ``archive`` (a path), or ``cell_source`` (with ``targets``,
-    ``var_names`` and a pool).  ``gpu_gene_chunk_size``, ``oom_recovery``, ``densify_input``,
+    ``var_names`` and a pool).  Of an archive only ``targets`` are read, if named.  ``gpu_gene_chunk_size``, ``oom_recovery``, ``densify_input``,
     ``stream_n_workers``, ``stream_prefetch`` and ``release_gpu_memory`` are checked and have no
     effect: Spark sizes, spills and retries; nor has ``tau_star_iters``, as shifts are exact.
     Values must not be NaN.  Rows come in no order unless ``ordered``: then by target (as
@@ -236,7 +236,7 @@ def de(
     if cell_source is not None:
         study = _from_source(spark, cell_source, targets, var_names, groupby, reference, spec)
     elif archive is not None:
-        study = _from_archive(spark, archive, groupby, reference, stream_n_workers, stream_prefetch, densify_input)
+        study = _from_archive(spark, archive, groupby, reference, targets, stream_n_workers, stream_prefetch, densify_input)
     else:
         study = _from_matrix(adata, groupby, reference, spec, densify_input)
     scaled = spec.total is not None or "cpm_cell" in spec.filters or "cpm_bulk" in spec.filters
@@ -269,7 +269,7 @@ def _from_source(spark, cell_source, targets, var_names, groupby, reference, spe
     return _with_pool(matrix, _labelled(matrix, "group"), pool, targets)
 
 
-def _from_archive(spark, archive, groupby, reference, workers, prefetch, densify) -> Study:
+def _from_archive(spark, archive, groupby, reference, targets, workers, prefetch, densify) -> Study:
     for name, value, least in (("stream_n_workers", workers, 1), ("stream_prefetch", prefetch, 0)):
         if not isinstance(value, (int, np.integer)) or isinstance(value, bool):
             raise TypeError(f"{name} must be an int, got {type(value).__name__}")
@@ -281,7 +281,11 @@ def _from_archive(spark, archive, groupby, reference, workers, prefetch, densify
         raise NotImplementedError("ALL_OTHERS does not go with archive=")
     matrix, manifest = open_archive(spark, archive)
     column, pool = resolve(matrix, manifest, groupby, reference)
-    return _with_pool(matrix, _labelled(matrix, column), pool) if isinstance(pool, CountMatrix) else _within(matrix, column, pool)
+    asked = None if targets is None else [str(t) for t in plan.items(targets)]
+    if asked is not None:
+        matrix, _ = open_archive(spark, archive, [*asked, *([] if isinstance(pool, CountMatrix) else pool)])
+    study = _with_pool(matrix, _labelled(matrix, column), pool) if isinstance(pool, CountMatrix) else _within(matrix, column, pool)
+    return study if asked is None else replace(study, targets=asked)
 
 
 def _from_matrix(adata, groupby, reference, spec, densify) -> Study:

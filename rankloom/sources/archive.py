@@ -1,7 +1,8 @@
 """Matrices kept as Parquet with a manifest: the out-of-core source.
 
-``layout="shard"`` partitions entries by group; ``layout="cell"`` sorts them by group, reference
-groups first, so that row-group statistics prune.  Both hold the same tables.
+``layout="shard"`` partitions entries by group, so that reading some groups opens their folders
+only; ``layout="cell"`` sorts them by group, reference groups first, so that row-group statistics
+prune.  Both hold the same tables, and the manifest says how many rows these have.
 """
 
 from __future__ import annotations
@@ -41,18 +42,42 @@ def write_archive(matrix: CountMatrix, path: str, group_by: str | None, referenc
     (writer.partitionBy("_group") if group_by is not None and layout == "shard" else writer).parquet(f"{path}/entries")
     matrix.cells.write.mode(mode).parquet(f"{path}/cells")
     matrix.genes.write.mode(mode).parquet(f"{path}/genes")
-    manifest = {"layout": layout, "group_by": group_by, "reference": labels}
+    written = {name: spark.read.parquet(f"{path}/{name}").count() for name in ("entries", "cells", "genes")}
+    manifest = {"layout": layout, "group_by": group_by, "reference": labels, "rows": written}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/manifest")
 
 
-def open_archive(spark: SparkSession, path: str) -> tuple[CountMatrix, dict]:
-    """The matrix and its manifest; what kind of archive it is shows by opening it, not by its name."""
+def open_archive(spark: SparkSession, path: str, groups: Sequence[str] | None = None) -> tuple[CountMatrix, dict]:
+    """The matrix and its manifest; what kind of archive it is shows by opening it, not by its name.
+
+    With ``groups`` only their cells and entries, by filters that reach the files.  Tables whose
+    rows are not as many as the manifest says, cells that repeat, reference labels or groups
+    asked for without cells, and entries of cells that do not exist are ValueErrors.
+    """
     try:
         manifest = json.loads(spark.read.text(f"{path}/manifest").first()[0])
+        tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("entries", "cells", "genes")}
+        column, rows = manifest["group_by"], manifest["rows"]
     except Exception as error:
-        raise ValueError(f"{path} is not an archive: its manifest cannot be read") from error
-    entries = spark.read.parquet(f"{path}/entries").select("cell_id", "gene_idx", "value")
-    return CountMatrix(entries, spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/genes")), manifest
+        raise ValueError(f"{path} is not an archive: its manifest or a table cannot be read") from error
+    for name, want in rows.items():
+        have = tables[name].count()  # from the files' footers
+        if have != want:
+            raise ValueError(f"{path}: {name} has {have} rows, its manifest says {want}")
+    entries, cells = tables["entries"], tables["cells"]
+    if not cells.groupBy("cell_id").count().where("count > 1").isEmpty():
+        raise ValueError(f"{path}: cells repeat")
+    if not entries.select("cell_id").distinct().join(cells.select("cell_id"), "cell_id", "left_anti").isEmpty():
+        raise ValueError(f"{path}: entries of cells that do not exist")
+    if column is not None:
+        named = {*manifest["reference"], *(groups or ())}
+        label = F.col(column).cast("string")
+        seen = {r[0] for r in cells.where(label.isin(*named)).select(label).distinct().collect()} if named else set()
+        if named - seen:
+            raise ValueError(f"{path}: no cells of {sorted(named - seen)}")
+        if groups is not None:
+            entries, cells = entries.where(F.col("_group").isin(*groups)), cells.where(label.isin(*groups))
+    return CountMatrix(entries.select("cell_id", "gene_idx", "value"), cells, tables["genes"]), manifest
 
 
 def group_table(matrix: CountMatrix, column: str) -> DataFrame:

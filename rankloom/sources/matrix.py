@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any, NamedTuple
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,7 +74,7 @@ def from_dense(spark: SparkSession, values: Any, labels: dict[str, Sequence] | N
     if array.ndim != 2:
         raise ValueError(f"a matrix has two dimensions, got {array.ndim}")
     rows, columns = np.nonzero(array)
-    entries = spark.createDataFrame([(int(i) + first_cell, int(j), float(array[i, j])) for i, j in zip(rows, columns)], "cell_id long, gene_idx int, value double")
+    entries = spark.createDataFrame(pd.DataFrame({"cell_id": rows.astype(np.int64) + first_cell, "gene_idx": columns.astype(np.int32), "value": array[rows, columns].astype(np.float64)}), "cell_id long, gene_idx int, value double")
     labels = labels or {}
     cells = spark.createDataFrame([(i + first_cell, *(None if v[i] is None or v[i] != v[i] else str(v[i]) for v in labels.values())) for i in range(len(array))], ", ".join(["cell_id long", *(f"`{k}` string" for k in labels)]))
     features = [f"g{j}" for j in range(array.shape[1])] if features is None else features
@@ -104,7 +106,7 @@ def _rows(rows: Any, height: int, label: str) -> np.ndarray:
 
 def from_groups(spark: SparkSession, source: Callable[[], Iterable[CellGroup]], targets: Sequence[str], features: Sequence[str]) -> CountMatrix:
     """A matrix with label column ``group`` from a source that yields every target exactly once, in any order."""
-    parts, cells, seen, first = [], [], set(), 0
+    parts, cells, seen, first, arrays = [], [], set(), 0, []
     for item in source():
         label, matrix, rows = CellGroup(*item) if isinstance(item, tuple) else (None, None, None)
         if label is None:
@@ -129,9 +131,8 @@ def from_groups(spark: SparkSession, source: Callable[[], Iterable[CellGroup]],
             if rows is not None:
                 array = array[_rows(rows, array.shape[0], label)]
             if width == len(features):
-                own = from_dense(spark, array, {"group": [label] * len(array)}, first_cell=first)
-                parts.append(own.entries.withColumn("cell_id", F.col("cell_id").cast("string")))
-                cells.append(own.cells.withColumn("cell_id", F.col("cell_id").cast("string")))
+                at, gene = np.nonzero(array)
+                arrays.append((label, len(array), at + first, gene, array[at, gene]))
                 first += len(array)
         if width != len(features):
             raise ValueError(f"group {label!r} has {width} genes, var_names {len(features)}")
@@ -139,7 +140,12 @@ def from_groups(spark: SparkSession, source: Callable[[], Iterable[CellGroup]],
     if missing:
         raise ValueError(f"cell_source did not yield {missing[:5]}")
     genes = spark.createDataFrame([(j, str(f)) for j, f in enumerate(features)], "gene_idx int, feature string")
-    from functools import reduce
+    if arrays:  # all arrays together, however many groups they are
+        entries = pd.DataFrame({"cell_id": np.concatenate([a[2] for a in arrays]).astype(np.int64), "gene_idx": np.concatenate([a[3] for a in arrays]).astype(np.int32), "value": np.concatenate([a[4] for a in arrays]).astype(np.float64)})
+        labels = pd.DataFrame({"cell_id": np.arange(first), "group": np.repeat(np.array([a[0] for a in arrays], object), [a[1] for a in arrays])})
+        own = spark.createDataFrame(entries, "cell_id long, gene_idx int, value double"), spark.createDataFrame(labels, "cell_id long, group string")
+        parts.append(own[0].withColumn("cell_id", F.col("cell_id").cast("string")))
+        cells.append(own[1].withColumn("cell_id", F.col("cell_id").cast("string")))
 
     return CountMatrix(reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, cells), genes)
 

@@ -10,7 +10,8 @@ import rankloom
 from rankloom import ALL_OTHERS, CellGroup, de
 from rankloom.api import empty_result
 from rankloom.plans.spec import Spec
-from rankloom.sources.archive import write_archive
+from rankloom.operators import compare
+from rankloom.sources.archive import open_archive, write_archive
 from rankloom.sources.matrix import from_dense
 
 RNG = np.random.default_rng(7)
@@ -157,6 +158,56 @@ def test_pool_archive_and_own_source_agree(spark, tmp_path, matrix):
         de(cell_source=lambda: iter([CellGroup("a", VALUES, labels == "a")]), **own)
 
 
+def test_archives_are_read_in_part_and_checked(spark, tmp_path, matrix):
+    want = plain(VALUES, LABELS, "ntc")
+    for layout in ("shard", "cell"):
+        path = f"file://{tmp_path}/{layout}"
+        write_archive(matrix, path, "guide", "ntc", layout)
+        some = de(archive=path, targets=["b", "a"], ordered=True, spark=spark)
+        same(got(some), {k: v for k, v in want.items() if k[0] in ("a", "b")})
+        assert [(r.target, r.feature) for r in some.collect()] == [(t, f"g{j}") for t in ("b", "a") for j in range(6)]
+        entries = open_archive(spark, path, ["b"])[0].entries
+        plan = entries._jdf.queryExecution().executedPlan().toString()
+        assert ("PartitionFilters: [" in plan and "_group" in plan) if layout == "shard" else "PushedFilters: [In(_group, [b])" in plan or "EqualTo(_group,b)" in plan
+        with pytest.raises(ValueError, match="no cells"):
+            de(archive=path, targets=["absent"], spark=spark)
+    cells = spark.read.parquet(f"{path}/cells")
+    cells.unionByName(cells.limit(1)).write.parquet(f"file://{tmp_path}/more")
+    spark.read.parquet(f"file://{tmp_path}/more").write.mode("overwrite").parquet(f"{path}/cells")
+    with pytest.raises(ValueError, match="rows"):
+        de(archive=path, spark=spark)
+
+
+def test_order_of_rows(spark, matrix):
+    rows = [(r.target, r.feature) for r in de(matrix, groupby="guide", reference="ntc", ordered=True).collect()]
+    assert rows == [(t, f"g{j}") for t in ("a", "b", "lone") for j in range(6)]
+
+
+def test_source_is_read_once(spark, tmp_path):
+    """Only the first job's plan names the source's files; the result reads what was stored."""
+    rows = [(i, j, float(VALUES[i, j])) for i in range(30) for j in range(6) if VALUES[i, j]]
+    spark.createDataFrame(rows, "cell_id long, gene_idx int, value double").write.parquet(f"file://{tmp_path}/src")
+    base = from_dense(spark, VALUES, {"guide": LABELS})
+    result = de(rankloom.CountMatrix(spark.read.parquet(f"file://{tmp_path}/src"), base.cells, base.genes), groupby="guide", reference="ntc", lfc_threshold=0.5)
+    assert f"{tmp_path}/src" not in result._jdf.queryExecution().executedPlan().toString()
+    assert len(got(result)) == 18
+
+
+def test_results_are_compared(spark, matrix):
+    a, b = de(matrix, groupby="guide", reference="ntc"), de(matrix, groupby="guide", reference="ntc", normalize_target_sum=50.0).where("target <> 'lone'")
+    assert tuple(compare.coverage(a, b).first()) == (12, 6, 0)
+    found = {r["column"]: r for r in compare.correlations(a, b).collect()}
+    rows = {(r.target, r.feature): r for r in a.collect()}
+    pairs = [(rows[r.target, r.feature].p_value, r.p_value) for r in b.collect()]
+    x, y = (np.array(v) for v in zip(*pairs))
+
+    def rank(v):
+        return np.array([(v < u).sum() + ((v == u).sum() + 1) / 2 for u in v])
+
+    r = found["p_value"]
+    assert (r.n, r.pearson, r.spearman, r.largest) == pytest.approx((12, np.corrcoef(x, y)[0, 1], np.corrcoef(rank(x), rank(y))[0, 1], abs(x - y).max()))
+
+
 def test_group_without_cells(spark):
     own = {"targets": ["none"], "var_names": ["g0", "g1"], "reference": np.ones((3, 2)), "spark": spark}
     rows = de(cell_source=lambda: iter([CellGroup("none", np.ones((2, 2)), [])]), **own).collect()
