@@ -3,7 +3,7 @@
 Normalisation walks the compiled character map (a double-array trie) and takes the longest
 prefix at each place; every normalised byte keeps the source byte it came from.  Pieces lie end
 to end on the normalised text, so their bounds project to spans of source bytes.  Where the map
-is empty and no piece reaches over a word boundary, a word is encoded once and looked up after.
+is empty and no piece reaches over a word boundary, this is done once for each word, and kept.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SPACE = "▁"
 _CHUNK = 1 << 20  # characters of text in one output batch
-_WORDS = 200_000  # words that a worker keeps
+_KEPT = 1 << 24  # characters of words that a worker keeps
 
 
 def _fields(blob: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -99,6 +100,7 @@ class Codec:
         self.suffix = bool(trainer.get(24, 0))
         self.symbols = sorted((p for p, k in zip(self.pieces, self.kinds) if k == 4), key=len, reverse=True)
         self.bytes = {i: int(p[3:5], 16) for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == 6}
+        self.sizes = np.array([1 if i in self.bytes else len(p) for i, p in enumerate(self.pieces)], np.int64)  # in normalised bytes
         self.end = self.library.eos_id()
         mark = SPACE.encode()
         crossing = any(mark in p.lstrip(mark) for p, k in zip(self.pieces, self.kinds) if k in (1, 4))
@@ -106,7 +108,7 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        self.word, self.first, self.many = {}, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.word, self.first, self.many, self.kept = {}, np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         self.flat, self.spans = np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     # ------------------------------------------------------------ any model
@@ -114,6 +116,9 @@ class Codec:
     def normalised(self, text: bytes) -> tuple[bytes, list[int]]:
         """The normalised text and, for each of its bytes and its end, the source byte."""
         out, source, at, space = bytearray(), [], 0, SPACE.encode() if self.escape else b" "
+        if text and not self.map.units and not self.symbols and not self.trim:  # no prefix is mapped: all characters at once
+            norm, places = self._unmapped(text)
+            return norm, places.tolist()
 
         def step() -> tuple[bytes, int]:
             for symbol in self.symbols:
@@ -157,6 +162,15 @@ class Codec:
             source += [at] * len(space)
         return bytes(out), source + [at]
 
+    def _unmapped(self, text: bytes) -> tuple[bytes, np.ndarray]:
+        """``normalised`` where every character stays and only spaces are written differently."""
+        space, own = SPACE.encode() if self.escape else b" ", np.frombuffer(text, np.uint8)
+        begin = np.maximum.accumulate(np.where(own & 0xC0 != 0x80, np.arange(len(own)), 0))
+        source, extra = np.repeat(begin, np.where(own == 32, len(space), 1)), space if self.dummy else b""
+        if self.suffix:
+            return text.replace(b" ", space) + extra, np.r_[source, np.full(len(extra) + 1, len(text))]
+        return extra + text.replace(b" ", space), np.r_[np.zeros(len(extra), np.int64), source, len(text)]
+
     def _whole(self, text: str) -> tuple[list[int], list[int], list[int]]:
         ids = self.library.encode(text)
         parts = self.library.encode(text, out_type=str)
@@ -181,28 +195,20 @@ class Codec:
     # ------------------------------------------------------------ word by word
 
     def _learn(self, words: list[str]) -> None:
-        ids, spans = [], []
+        """Normalise words, each behind a space, and keep their pieces with the sizes of the source spans these project to."""
         lone = [self.pieces.index(SPACE.encode())]  # a text's last space: the library gives an empty text no pieces
-        for word, got in zip(words, self.library.encode(words, num_threads=1)):
-            got = got if word else lone
-            ids.append(got)
-            own, left = [], 0
-            for i in got:
-                byte = self.bytes.get(i)
-                if byte is None:
-                    piece = self.pieces[i]
-                    own.append(len(piece) - 2 * piece.count(b"\xe2\x96\x81"))  # a space has one byte in the source
-                else:
-                    if byte & 0xC0 != 0x80:
-                        size = left = 1 + (byte >= 0xC0) + (byte >= 0xE0) + (byte >= 0xF0)
-                    left -= 1
-                    own.append(0 if left else size)
-            spans.append(own)
+        ids = [got if word else lone for word, got in zip(words, self.library.encode(words, num_threads=1))]
+        norm, source = self._unmapped("".join(f" {w}" for w in words).encode("utf-8", "surrogatepass"))
+        flat = np.fromiter((i for x in ids for i in x), np.int32)
+        ends = len(SPACE.encode()) + np.cumsum(self.sizes[flat])  # behind the space that stands before every text
+        if len(flat) and ends[-1] != len(norm):
+            raise RuntimeError("pieces do not cover the normalised words")
+        spans = source[ends] - source[ends - self.sizes[flat]]
+        self.kept += sum(map(len, words)) + 64 * len(words)
         many = np.array([len(x) for x in ids], np.int64)
         self.first = np.r_[self.first, len(self.flat) + np.cumsum(many) - many]
         self.many = np.r_[self.many, many]
-        self.flat = np.r_[self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(many.sum()))]
-        self.spans = np.r_[self.spans, np.fromiter((i for x in spans for i in x), np.int32, int(many.sum()))]
+        self.flat, self.spans = np.r_[self.flat, flat], np.r_[self.spans, spans.astype(np.int32)]
         start = len(self.word)
         self.word.update((w, start + i) for i, w in enumerate(words))
 
@@ -230,7 +236,7 @@ class Codec:
             ids, starts, ends = (np.fromiter((i for x, n in zip(each, sizes) for i in [*x[k], self.end if k == 0 else n]), np.int32, int(bounds[-1])) for k in range(3))
             return ids, starts, ends, bounds
         split = [self._words(t) if t else [] for t in texts]
-        if len(self.word) > _WORDS:
+        if self.kept > _KEPT:
             self._forget()
         fresh = {w for ws in split for w in ws if w not in self.word}
         if fresh:
@@ -292,4 +298,4 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """
     with open(model_path, "rb") as file:
         model = docs.sparkSession.sparkContext.broadcast(file.read())
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _encode_batches(it, model), "doc_id long, ids array<int>, starts array<int>, ends array<int>, decoded string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _encode_batches(it, model), "doc_id long, ids array<int>, starts array<int>, ends array<int>, decoded string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, licenses, secrets, topk, url_filter, warc
@@ -16,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_add(F.lit(url_filter.FIRST_DAY).cast("date"), F.pmod(F.col("page_id"), F.lit(url_filter.DAYS)).cast("int"))
-    return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url", day.alias("day")), url_filter.query_entries(spark))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages.select("page_id", "url", day.alias("day")), url_filter.query_entries(pages))
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +58,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import encode
 
     done = encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
-    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+    def digest(numbers: str) -> Column:
+        return F.sha2(F.concat_ws(" ", F.col(numbers).cast("array<string>")), 256)
+
+    # Pieces lie end to end: where they end says where they begin, but for pieces of no bytes.
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.element_at("ends", -1).cast("long").alias("n_source_bytes"), digest("ends").alias("ends_sha256"))
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import public_tokenizers
@@ -44,7 +45,7 @@ def test_word_by_word_equals_library():
 def test_character_map_equals_library():
     from sentencepiece import sentencepiece_model_pb2 as pb
 
-    for rule in ("nmt_nfkc", "nfkc_cf"):
+    for rule in ("nmt_nfkc", "nfkc_cf", "identity"):
         for trim in (True, False):
             for dummy in (True, False):
                 model = pb.ModelProto.FromString(open(PATH, "rb").read())
@@ -54,7 +55,7 @@ def test_character_map_equals_library():
                 model.normalizer_spec.add_dummy_prefix = dummy
                 blob = model.SerializeToString()
                 codec = pieces.Codec(blob)
-                assert not codec.by_word
+                assert rule == "identity" or not codec.by_word
                 check(codec, sentencepiece.SentencePieceProcessor(model_proto=blob), texts()[:150])
 
 
@@ -67,3 +68,37 @@ def test_frames(spark):
         ids = [*lib.encode(t or ""), lib.eos_id()]
         assert (row.doc_id, row.ids, row.decoded) == (i, ids, lib.decode(ids))
     assert pieces.encode(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_query_and_spans(spark, sf_dir):
+    """The query against the library, and slices of the source at the spans against the pieces."""
+    from rankloom.llm.queries import QUERIES
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    got = {r.doc_id: r for r in QUERIES["op5_sentencepiece"](spark, sf_dir).collect()}
+    assert got.keys() == docs.keys()
+    for d, text in docs.items():
+        ids, _, ends, source = library(text, lib)
+        ids, r = [*ids, lib.eos_id()], got[d]
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids)))
+        assert (r.n_source_bytes, r.ends_sha256) == (len(source), sha(" ".join(map(str, [*ends, len(source)]))))
+    for r in pieces.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), PATH).collect():
+        source = docs[r.doc_id].encode()
+        cut = [source[a:b] for a, b in zip(r.starts, r.ends)]
+        assert b"".join(cut) == source
+        for i, own in zip(r.ids, cut):
+            if not lib.is_byte(i) and not lib.is_control(i):
+                assert own.decode() in (lib.id_to_piece(i).replace("▁", " "), lib.id_to_piece(i).replace("▁", " ")[1:])
+
+
+def test_words_kept_are_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "_KEPT", 1 << 18)
+    codec = pieces.Codec(open(PATH, "rb").read())
+    for k in range(20):
+        codec.encode([chr(0x4E00 + k) * 100_000])
+        assert codec.kept < (1 << 18) + 200_000 and sum(map(len, codec.word)) < (1 << 18) + 200_000
