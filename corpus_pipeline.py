@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import decontaminate, pieces, quality, secrets, simhash
-from rankloom.llm.shared import shared_path
+from rankloom.llm.shared import divided, shared_path, stored
 
 MODEL = "piece_bpe_32k.model"
 
@@ -23,28 +23,34 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate component, once; documents without an id stay."""
     found = simhash.near_duplicates(docs)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    named = docs.join(first, docs["doc_id"] == F.col("_first"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id is null"))
+    id_ = F.col("doc_id").cast("long")
+    leaving = found.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("not stays").select("doc_id")
+    _, first = divided(docs, id_, leaving)
+    # Only rows whose id repeats can be the same document twice.
+    several, once = divided(first, id_, docs.where("doc_id is not null").groupBy(id_.alias("d")).agg(F.count("*").alias("n")).where("n > 1").select("d"))
+    return once.unionByName(several.dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that do not hold benchmark text to the contract's extent."""
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    bad = stored(found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    doubtful, clean = divided(docs, F.xxhash64("doc_id", F.xxhash64("text")), bad.select(F.xxhash64("_id", "_hash")))
+    return clean.unionByName(doubtful.join(bad, doubtful["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(doubtful["text"]) == F.col("_hash")), "left_anti"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret replaced by a mask; ``n_chars`` follows."""
     _, entries = secrets.scan(docs.select(F.col("doc_id").alias("path"), "text"))
-    hits = entries.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    joined = docs.join(hits, secrets.blob_of(docs["text"]) == F.col("_blob"), "left")
+    hits = stored(entries.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")))
+    # Documents without a secret stay where they are.
+    held, free = divided(docs, F.xxhash64(secrets.blob_of(docs["text"])), hits.select(F.xxhash64("_blob")))
+    joined = held.join(hits, secrets.blob_of(held["text"]) == F.col("_blob"), "left")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(secrets.redacted(F.col("text"), F.col("_spans")))
     masked = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return masked.select(*docs.columns)
+    return free.unionByName(masked.select(*docs.columns))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
