@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, secrets, topk, url_filter, warc
+from . import decontaminate, licenses, secrets, sharding, topk, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,9 +74,7 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sharding import shard
-
-    return shard(table(spark, sf_dir, "documents"), [1.0] * 16)
+    return sharding.shard(table(spark, sf_dir, "documents"), [1.0] * 16)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +104,7 @@ SQL: dict[str, str] = {
     "op2_licenses": licenses.SQL,
     "op4_warc": warc.SQL,
     "op6_topk": topk.SQL,
+    "op7_rendezvous": sharding.SQL,
     "op8_decontamination": decontaminate.SQL,
     "op9_secrets": secrets.SQL,
 }
