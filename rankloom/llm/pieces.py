@@ -18,9 +18,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import give_back
+
 SPACE = "▁"
-_CHUNK = 1 << 20  # characters of text in one output batch
-_KEPT = 1 << 24  # characters of words that a worker keeps
+_CHUNK = 1 << 18  # characters of text in one output batch
+_SLICE = 1000  # rows of a batch that are Python strings at a time
+_KEPT = 1 << 23  # characters of words that a worker keeps
 
 
 def _fields(blob: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -271,21 +274,23 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 def _encode_batches(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     own = codec(model.value)
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        begin = 0
-        while begin < len(texts):
-            end, many = begin, 0
-            while end < len(texts) and (end == begin or many + len(texts[end]) <= _CHUNK):
-                many += len(texts[end])
-                end += 1
-            ids, starts, ends, bounds = own.encode(texts[begin:end])
-            flat = ids.tolist()
-            cut = bounds.tolist()
-            decoded = own.library.decode([flat[a:b] for a, b in zip(cut, cut[1:])], num_threads=1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(begin, end - begin), _lists(ids, bounds), _lists(starts, bounds), _lists(ends, bounds), pa.array(decoded, pa.string())],
-                ["doc_id", "ids", "starts", "ends", "decoded"])
-            begin = end
+        for first in range(0, batch.num_rows, _SLICE):
+            texts = [t or "" for t in batch.column(1).slice(first, _SLICE).to_pylist()]
+            begin = 0
+            while begin < len(texts):
+                end, many = begin, 0
+                while end < len(texts) and (end == begin or many + len(texts[end]) <= _CHUNK):
+                    many += len(texts[end])
+                    end += 1
+                ids, starts, ends, bounds = own.encode(texts[begin:end])
+                flat = ids.tolist()
+                cut = bounds.tolist()
+                decoded = own.library.decode([flat[a:b] for a, b in zip(cut, cut[1:])], num_threads=1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first + begin, end - begin), _lists(ids, bounds), _lists(starts, bounds), _lists(ends, bounds), pa.array(decoded, pa.string())],
+                    ["doc_id", "ids", "starts", "ends", "decoded"])
+                begin = end
+    give_back()
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:

@@ -23,11 +23,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import broadcast_if_small, steady, stored
+from .shared import broadcast_if_small, give_back, steady, stored
 
 ORDER = 5
 SYMBOLS = 0x110001  # all code points, and 0 before a text
@@ -44,7 +45,8 @@ BROADCAST_IDS = 2_000_000  # labelled ids, 8 bytes each, that may be broadcast
 BUNDLE = 1 << 25  # characters of text in a bundle
 SHARD = 1 << 22  # characters of text for each shard
 SALTS = 8  # parts into which one symbol before the last is dealt
-_CHUNK = 1 << 19
+_CHUNK = 1 << 18  # characters whose n-grams a task holds at a time
+_SLICE = 1000  # rows of a batch that are Python strings at a time
 _MASK = (1 << BITS) - 1
 
 
@@ -96,7 +98,7 @@ class _Tally:
         own = self.parts.setdefault(lang, [])
         own.append((high, low, np.bincount(at, minlength=len(low))))
         self.loose[lang] = self.loose.get(lang, 0) + len(low)
-        if len(own) > 1 and self.loose[lang] > 2 * len(own[0][1]) + (1 << 20):
+        if len(own) > 1 and self.loose[lang] > len(own[0][1]) + (1 << 18):
             own[:] = [_added(own)]
             self.loose[lang] = 0
 
@@ -111,20 +113,21 @@ def _language(name: str | None) -> str:
 
 def _by_language(batch: pa.RecordBatch, lang: int, text: int) -> Iterator[tuple[str, list[int], list[str]]]:
     """Chunks of bounded size of one batch: the language, the rows and their texts."""
-    texts = batch.column(text).to_pylist()
-    groups: dict[str, list[int]] = {}
-    for i, name in enumerate(batch.column(lang).to_pylist()):
-        groups.setdefault(_language(name), []).append(i)
-    for name, rows in groups.items():
-        part, many = [], 0
-        for i in rows:
-            part.append(i)
-            many += len(texts[i] or "")
-            if many > _CHUNK:
-                yield name, part, [texts[k] or "" for k in part]
-                part, many = [], 0
-        if part:
-            yield name, part, [texts[k] or "" for k in part]
+    for start in range(0, batch.num_rows, _SLICE):
+        texts = batch.column(text).slice(start, _SLICE).to_pylist()
+        groups: dict[str, list[int]] = {}
+        for i, name in enumerate(batch.column(lang).slice(start, _SLICE).to_pylist()):
+            groups.setdefault(_language(name), []).append(i)
+        for name, rows in groups.items():
+            part, many = [], 0
+            for i in rows:
+                part.append(i)
+                many += len(texts[i] or "")
+                if many > _CHUNK:
+                    yield name, [start + k for k in part], [texts[k] or "" for k in part]
+                    part, many = [], 0
+            if part:
+                yield name, [start + k for k in part], [texts[k] or "" for k in part]
 
 
 # ---------------------------------------------------------------- counts
@@ -139,6 +142,7 @@ def _histograms(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.Re
                 kept.add(name, high, low)
     for name, (high, low, many) in kept.items():
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(low)), pa.array(high), pa.array(low), pa.array(many)], ["lang", "high", "gram", "n"])
+    give_back()
 
 
 def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -254,7 +258,7 @@ def _bundles(batches: Iterator[pa.RecordBatch], text: int, size: int) -> Iterato
     number, held = 0, 0
     base = TaskContext.get().partitionId() << 24
     for batch in batches:
-        sizes = np.array([len(t or "") for t in batch.column(text).to_pylist()], np.int64)
+        sizes = pc.utf8_length(batch.column(text)).fill_null(0).to_numpy().astype(np.int64)
         start = 0
         while start < batch.num_rows:
             room = np.cumsum(sizes[start:]) + held
@@ -294,14 +298,16 @@ def _need_batches(batches: Iterator[pa.RecordBatch], order: int, known: frozense
                 tally.add(name if name in known else POOLED, high, low)
     if now is not None:
         yield from rows(now, tally)
+    now = tally = None
+    give_back()
 
 
 def _row_batches(batches: Iterator[pa.RecordBatch], text: int, size: int) -> Iterator[pa.RecordBatch]:
     """The rows of every bundle in compressed parts."""
-    for bundle, batch in _bundles(batches, text, size):
+    for bundle, part in ((n, b.slice(start, _SLICE)) for n, b in _bundles(batches, text, size) for start in range(0, b.num_rows, _SLICE)):
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_batch(batch)
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(part)
         yield pa.RecordBatch.from_arrays([pa.array([bundle], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bundle", "rows"])
 
 
@@ -383,6 +389,8 @@ class Model:
                         starts = np.r_[0, ends[:-1]]
                         chars[at], nll[at] = ends - starts, total[ends] - total[starts]
                     done.append(emit(batch, chars, nll))
+            tables = ready = None
+            give_back()
             return pa.Table.from_batches(done)
 
         return parts.groupBy("bundle").cogroup(found.groupBy("bundle")).applyInArrow(summed, schema)

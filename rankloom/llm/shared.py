@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.places import shared_dir, shared_path, stored
 
-__all__ = ["broadcast_if_small", "cut", "divided", "shared_dir", "shared_path", "sized", "steady", "stored"]
+__all__ = ["broadcast_if_small", "cut", "divided", "give_back", "shared_dir", "shared_path", "sized", "steady", "stored"]
 
 KEYS = 2_000_000  # 64-bit keys that may be broadcast to divide a table
 _STEADY = ("Project", "Filter", "Relation")
@@ -48,3 +51,12 @@ def divided(df: DataFrame, key: Column, keys: DataFrame, rows: int = KEYS) -> tu
     hint = broadcast_if_small(stored(keys.toDF("_key").distinct()), rows)
     same = key == F.col("_key")
     return df.join(hint, same, "left_semi"), df.join(hint, same, "left_anti")
+
+
+def give_back() -> None:
+    """Hand freed memory back to the system at the end of a task: Python workers go on to later stages with what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import broadcast_if_small, cut, divided, stored
+from .shared import broadcast_if_small, cut, divided, give_back, stored
 
 SEED = 42
 _LEAF = 8
@@ -52,8 +52,9 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def _print_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
+        prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+    give_back()
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
