@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, secrets, sharding, topk, url_filter, warc
+from . import decontaminate, licenses, negatives, secrets, sharding, topk, url_filter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,31 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved(warc.read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix, words
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("size"))
+    return mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "copies")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align
+
+    done = align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
+    return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), F.col("embedding").alias("vector"))
+    return mine(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_licenses": op2_licenses,
@@ -97,6 +122,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
+    "op11_mixing": op11_mixing,
+    "op12_alignment": op12_alignment,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
@@ -107,4 +135,5 @@ SQL: dict[str, str] = {
     "op7_rendezvous": sharding.SQL,
     "op8_decontamination": decontaminate.SQL,
     "op9_secrets": secrets.SQL,
+    "op13_hard_negatives": negatives.SQL,
 }
