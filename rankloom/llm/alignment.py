@@ -1,15 +1,19 @@
 """Cross-tokenizer alignment with corpus-wide counts of linked ids.
 
-Documents are encoded by both tokenizers in bundles of bounded size, which are stored.  A bundle
-holds its distinct id pairs with their counts; those alone go to the stripes.  A stripe is a set of
-ids of the second tokenizer: all pairs with them are added up in one dense block, ids of the stripe
-by ids of the first tokenizer, whose row maxima are the best counts.  The pairs that a bundle asks
-for meet the block of their stripe again, and the answers go back to the bundle's links.
+Documents are encoded by both tokenizers in bundles of bounded size, which are stored.  Where both
+tokenizers begin a token at every lone space, a bundle holds its distinct words once, and documents
+are rows of word numbers.  A bundle's distinct id pairs with their counts alone go to the stripes.
+A stripe is a set of ids of the second tokenizer: all pairs with them are added up in one dense
+block, ids of the stripe by ids of the first tokenizer, whose row maxima are the best counts.  The
+pairs that a bundle asks for meet the block of their stripe again, and the answers go back to the
+bundle's links.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
@@ -19,15 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pieces import SPACE, codec
 from .shared import give_back, stored
 
-BUNDLE = 1 << 22  # bytes of text in a bundle, about; a longer text is a bundle of its own
+BUNDLE = 1 << 23  # characters of text in a bundle, about; a longer text is a bundle of its own
 STRIPE = 64  # ids of the second tokenizer in a block
-_PIECE = 1 << 18  # characters that a tokenizer is given at a time
-_SPACE = "▁"
+_AT_ONCE = 1 << 18  # characters that a tokenizer is given at a time
+_KEPT = 1 << 18  # words whose ids a task keeps from bundle to bundle
+_LONE = re.compile(r"(?<=\S) (?=\S)")  # a space between two characters that are none
 
-_BUNDLED = pa.schema([("bundle", pa.string()), ("doc_id", pa.list_(pa.int64())), ("n_a", pa.list_(pa.int32())), ("n_b", pa.list_(pa.int32())), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
-_BUNDLED_SQL = "bundle string, doc_id array<long>, n_a array<int>, n_b array<int>, a array<int>, b array<int>, keys array<long>, times array<long>"
+_LISTS = {"doc_id": "long", "many": "int", "words": "int", "n_a": "int", "n_b": "int", "a": "int", "b": "int", "keys": "long", "times": "long"}
+_KINDS = {"long": pa.int64(), "int": pa.int32()}
+_BUNDLED = "bundle string, " + ", ".join(f"{c} array<{k}>" for c, k in _LISTS.items())
 _ASKED = "stripe int, bundle string, cells array<int>, times array<long>"
 _COUNTED = "stripe int, cells array<int>, counts array<long>, best array<long>"
 _ANSWER = "bundle string, stripe int, counts array<long>, best array<boolean>"
@@ -46,100 +53,84 @@ class Pair:
 
     def __init__(self, first: bytes, second: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        import sentencepiece
         from tokenizers import Tokenizer
 
         self.first = Tokenizer.from_str(first.decode())
         self.first.encode_special_tokens = True
-        self.second = sentencepiece.SentencePieceProcessor(model_proto=second)
+        own = codec(second)
+        self.second = own.library
         level = _bytes_of_levels()
         names = {i: t for t, i in self.first.get_vocab(with_added_tokens=True).items()}
         self.n_a = max(names, default=-1) + 1
         self.bytes_a = [bytes(level[c] for c in names[i]) if i in names and all(c in level for c in names[i]) else b"" for i in range(self.n_a)]
         self.n_b = self.second.get_piece_size()
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in ((i, self.second.id_to_piece(i)) for i in range(self.n_b))]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in ((i, self.second.id_to_piece(i)) for i in range(self.n_b))]
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-
-    def _ids_a(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; long ones in pieces that are cut before a lone space, where a token begins whatever comes before."""
-        pieces, of = [], []
-        for i, text in enumerate(texts):
-            begin = 0
-            while len(text) - begin > _PIECE:
-                at = begin + _PIECE
-                while at < len(text) - 1 and not (text[at] == " " and not text[at - 1].isspace() and not text[at + 1].isspace()):
-                    at += 1
-                if at >= len(text) - 1:
-                    break
-                pieces.append(text[begin:at])
-                of.append(i)
-                begin = at
-            pieces.append(text[begin:])
-            of.append(i)
-        out: list[list[int]] = [[] for _ in texts]
-        begin = 0
-        while begin < len(pieces):
+        split = json.loads(first)
+        ahead = split.get("pre_tokenizer") or {}
+        # A space that stands alone begins a token on the first side by its pattern, on the second because no piece has one behind other characters.
+        self.by_word = own.by_word and not split.get("normalizer") and ahead.get("type") == "ByteLevel" and ahead.get("use_regex", True) and not ahead.get("add_prefix_space")
+        self.known: dict[str, tuple[list[int], list[int]]] = {}
+
+    def words(self, text: str | None) -> list[str]:
+        """Parts that are encoded apart, each behind a space; none for a text that has U+2581, which the second side spells as a space."""
+        if not text or SPACE in text:
+            return []
+        return _LONE.split(text) if self.by_word else [text]
+
+    def ids(self, words: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+        """Both sides' ids of each word behind a space, and whether both spell it byte for byte; else there are none."""
+        if len(self.known) > _KEPT:
+            self.known = {}
+        fresh, begin = [w for w in words if w not in self.known], 0
+        while begin < len(fresh):
             end, many = begin, 0
-            while end < len(pieces) and (end == begin or many + len(pieces[end]) <= _PIECE):
-                many += len(pieces[end])
+            while end < len(fresh) and (end == begin or many + len(fresh[end]) < _AT_ONCE):
+                many += len(fresh[end]) + 1
                 end += 1
-            for i, e in zip(of[begin:end], self.first.encode_batch(pieces[begin:end], add_special_tokens=False)):
-                out[i] += e.ids
+            part = fresh[begin:end]
+            for w, x, y in zip(part, self.first.encode_batch([f" {w}" for w in part], add_special_tokens=False), self.second.encode(part, num_threads=1)):
+                own, x = f" {w}".encode(), x.ids
+                good = b"".join(map(self.bytes_a.__getitem__, x)) == own and b"".join(map(self.bytes_b.__getitem__, y)) == own
+                self.known[w] = (x, y) if good else ([], [])
             begin = end
-        return out
-
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """Both sides' ids of each text; none where a side does not spell the text byte for byte."""
-        real = [t for t in texts if t]
-        a, b = iter(self._ids_a([f" {t}" for t in real])), iter(self.second.encode(real, num_threads=1))
-        out_a, out_b = [], []
-        for text in texts:
-            x, y = (next(a), next(b)) if text else ([], [])
-            if text:
-                own = f" {text}".encode("utf-8", "surrogatepass")
-                if b"".join(map(self.bytes_a.__getitem__, x)) != own or b"".join(map(self.bytes_b.__getitem__, y)) != own:
-                    x, y = [], []
-            out_a.append(x)
-            out_b.append(y)
-        return out_a, out_b
+        found = [self.known[w] for w in words]
+        return [x for x, _ in found], [y for _, y in found], np.array([bool(x) for x, _ in found], bool)
 
     def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each id ends, in bytes of all texts laid end to end."""
+        """Where each id ends, in bytes of all words laid end to end."""
         return np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
 
-    def keys(self, a: np.ndarray, b: np.ndarray, stripes: int) -> np.ndarray:
+    def keys(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """A number for each id pair that orders pairs by stripe; ids go to stripes in turn."""
+        stripes = -(-self.n_b // STRIPE)
         return ((b.astype(np.int64) % stripes) * STRIPE + b // stripes) * self.n_a + a
 
-    @cached_property
-    def written(self) -> list[str]:
-        """Every id with what may follow it in a group: a comma, and the bar or semicolon behind a side's last."""
-        return [f"{i}{end}" for end in (",", "|") for i in range(self.n_a)] + [f"{i}{end}" for end in (",", ";") for i in range(self.n_b)]
-
-    @property
-    def stripes(self) -> int:
-        return -(-self.n_b // STRIPE)
-
     def links(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The end byte of each link, and the places of its ids: where neither side has an end between, one id of each lies over the bytes."""
         ends_a, ends_b = self.ends(a, b)
         ends = np.union1d(ends_a, ends_b)
         return ends, np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
 
+    @cached_property
+    def written(self) -> list[str]:
+        """Every id with what may follow it in a group: a comma, and the bar or semicolon behind a side's last."""
+        return [f"{i}{end}" for end in (",", "|") for i in range(self.n_a)] + [f"{i}{end}" for end in (",", ";") for i in range(self.n_b)]
+
     def groups(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> tuple[np.ndarray, list[str]]:
-        """How many groups each text has, and all of them written: ids of both sides between the ends that they share."""
+        """How many groups each word has, and all of them written: ids of both sides between the ends that they share."""
         ends_a, ends_b = self.ends(a, b)
         shared = np.intersect1d(ends_a, ends_b)
         group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
         upto_a, upto_b = np.searchsorted(group_a, np.arange(len(shared)), "right"), np.searchsorted(group_b, np.arange(len(shared)), "right")
-        last_a, last_b = np.isin(np.arange(len(a)), upto_a - 1), np.isin(np.arange(len(b)), upto_b - 1)
+        shift_a, shift_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        shift_a[upto_a - 1], shift_b[upto_b - 1] = self.n_a, self.n_b
         row = np.empty(len(a) + len(b), np.int64)
-        row[np.arange(len(a)) + np.r_[0, upto_b][group_a]] = a + np.where(last_a, self.n_a, 0)
-        row[np.arange(len(b)) + upto_a[group_b]] = 2 * self.n_a + b + np.where(last_b, self.n_b, 0)
+        row[np.arange(len(a)) + np.r_[0, upto_b][group_a]] = a + shift_a
+        row[np.arange(len(b)) + upto_a[group_b]] = 2 * self.n_a + b + shift_b
         flat, at = row.tolist(), (cuts_a + cuts_b).tolist()
-        first = np.searchsorted(shared, np.r_[0, ends_a][cuts_a], "right")
         written = self.written.__getitem__
-        return np.diff(first), ["".join(map(written, flat[x:y]))[:-1] for x, y in zip(at, at[1:])]
+        return np.diff(np.searchsorted(shared, np.r_[0, ends_a][cuts_a], "right")), ["".join(map(written, flat[x:y]))[:-1] for x, y in zip(at, at[1:])]
 
 
 @lru_cache(maxsize=1)
@@ -147,31 +138,48 @@ def pair(first: bytes, second: bytes) -> Pair:
     return Pair(first, second)
 
 
+def _cuts(sizes: np.ndarray) -> np.ndarray:
+    return np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+
+
+def _summed(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums between cuts that lie end to end."""
+    return np.diff(np.r_[0, np.cumsum(values, dtype=np.int64)][cuts])
+
+
+def _bundle(own: Pair, ids: list[int | None], rows: list[list[int]], words: list[str]) -> pa.RecordBatch:
+    """One row: documents as rows of word numbers, the ids of the words, and the id pairs with their counts."""
+    a, b, good = own.ids(words)
+    flat = np.fromiter((w for row in rows for w in row), np.int32, sum(map(len, rows)))
+    many = np.array([len(row) for row in rows], np.int32)
+    bad = _summed(~good[flat], _cuts(many)) > 0  # a document with a word that is not spelt has no tokens
+    flat, many = flat[np.repeat(~bad, many)], np.where(bad, 0, many)
+    n_a, n_b = (np.array([len(x) for x in side], np.int32) for side in (a, b))
+    flat_a, flat_b = (np.fromiter((i for x in side for i in x), np.int32, int(n.sum())) for side, n in ((a, n_a), (b, n_b)))
+    ends, at_a, at_b = own.links(flat_a, flat_b)
+    links = np.diff(np.searchsorted(ends, np.r_[0, own.ends(flat_a, flat_b)[0]][_cuts(n_a)], "right"))
+    often = np.bincount(flat, minlength=len(words))
+    keys, which = np.unique(own.keys(flat_a[at_a], flat_b[at_b]), return_inverse=True)
+    times = np.bincount(which, np.repeat(often, links), len(keys)).astype(np.int64)
+    columns = {"doc_id": ids, "many": many, "words": flat, "n_a": n_a, "n_b": n_b, "a": flat_a, "b": flat_b, "keys": keys, "times": times}
+    return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(pa.array([columns[c]], pa.list_(_KINDS[k])) for c, k in _LISTS.items())], ["bundle", *_LISTS])
+
+
 def _bundles(batches: Iterator[pa.RecordBatch], models, size: int) -> Iterator[pa.RecordBatch]:
     """Documents of a task in bundles, numbered once: what is stored is never dealt anew."""
     own = pair(*models.value)
-    ids, texts, many = [], [], 0
-
-    def close() -> pa.RecordBatch:
-        a, b = own.encode(texts)
-        n_a, n_b = ([len(x) for x in side] for side in (a, b))
-        flat_a, flat_b = (np.fromiter((i for x in side for i in x), np.int32, sum(n)) for side, n in ((a, n_a), (b, n_b)))
-        _, at_a, at_b = own.links(flat_a, flat_b)
-        keys, times = np.unique(own.keys(flat_a[at_a], flat_b[at_b], own.stripes), return_counts=True)
-        row = {"bundle": uuid.uuid4().hex, "doc_id": ids, "n_a": n_a, "n_b": n_b, "a": flat_a, "b": flat_b, "keys": keys, "times": times.astype(np.int64)}
-        return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in _BUNDLED], schema=_BUNDLED)
-
+    ids, rows, number, many = [], [], {}, 0
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             text = text.as_py()
-            if texts and many + len(text or "") > size:
-                yield close()
-                ids, texts, many = [], [], 0
+            if rows and many + len(text or "") > size:
+                yield _bundle(own, ids, rows, list(number))
+                ids, rows, number, many = [], [], {}, 0
             ids.append(key)
-            texts.append(text)
+            rows.append([number.setdefault(w, len(number)) for w in own.words(text)])
             many += len(text or "") + 1
-    if texts:
-        yield close()
+    if rows:
+        yield _bundle(own, ids, rows, list(number))
     give_back()
 
 
@@ -232,24 +240,24 @@ def _answered(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 
 
 def _scored(bundle: pa.Table, answers: pa.Table, own: Pair) -> pa.Table:
-    """A bundle's documents from its ids and the answers of the stripes, which together are as its keys."""
-    row = {c: bundle.column(c)[0].values.to_numpy(zero_copy_only=False) for c in ("n_a", "n_b", "a", "b", "keys")}
+    """A bundle's documents from its words and the answers of the stripes, which together are as its keys."""
+    row = {c: bundle.column(c)[0].values.to_numpy(zero_copy_only=False) for c in ("many", "words", "n_a", "n_b", "a", "b", "keys")}
     order = np.argsort(answers.column("stripe").to_numpy())
     counts, best = ([answers.column(c)[int(i)].values.to_numpy(zero_copy_only=False) for i in order] for c in ("counts", "best"))
     counts, best = np.concatenate([np.zeros(0, np.int64), *counts]), np.concatenate([np.zeros(0, bool), *best])
     if len(counts) != len(row["keys"]):
         raise RuntimeError("stripes did not answer for every pair of a bundle")
-    a, b, cuts_a, cuts_b = row["a"], row["b"], np.r_[0, np.cumsum(row["n_a"])], np.r_[0, np.cumsum(row["n_b"])]
+    a, b, cuts_a, cuts_b = row["a"], row["b"], _cuts(row["n_a"]), _cuts(row["n_b"])
     ends, at_a, at_b = own.links(a, b)
-    which = np.searchsorted(row["keys"], own.keys(a[at_a], b[at_b], own.stripes))
-    bounds = np.searchsorted(ends, np.r_[0, own.ends(a, b)[0]][cuts_a], "right")
-
-    def summed(x: np.ndarray) -> np.ndarray:
-        return np.diff(np.r_[0, np.cumsum(x)][bounds])
-
-    many, written = own.groups(a, b, cuts_a, cuts_b)
-    columns = [bundle.column("doc_id")[0].values, row["n_a"].astype(np.int64), row["n_b"].astype(np.int64), many, np.diff(bounds), summed(best[which].astype(np.int64)), summed(counts[which]), written]
-    return pa.table([pa.array(c, pa.string() if i == 7 else pa.int64()) for i, c in enumerate(columns)], [c.split()[0] for c in _RESULT.split(", ")])
+    which = np.searchsorted(row["keys"], own.keys(a[at_a], b[at_b]))
+    cuts = np.searchsorted(ends, np.r_[0, own.ends(a, b)[0]][cuts_a], "right")
+    n_groups, written = own.groups(a, b, cuts_a, cuts_b)
+    words, of = row["words"], _cuts(row["many"])
+    each = [row["n_a"], row["n_b"], n_groups, np.diff(cuts), _summed(best[which], cuts), _summed(counts[which], cuts)]
+    columns = [bundle.column("doc_id")[0].values, *(pa.array(_summed(x[words], of)) for x in each)]
+    numbers, at = words.tolist(), of.tolist()
+    groups = pa.array([";".join(map(written.__getitem__, numbers[x:y])) for x, y in zip(at, at[1:])], pa.string())
+    return pa.table([*columns, groups], [c.split()[0] for c in _RESULT.split(", ")])
 
 
 def align(docs: DataFrame, first: str, second: str, bundle: int = BUNDLE) -> DataFrame:
@@ -271,7 +279,7 @@ def align(docs: DataFrame, first: str, second: str, bundle: int = BUNDLE) -> Dat
             contents.append(file.read())
     models = spark.sparkContext.broadcast(tuple(contents))
     width = pair(*contents).n_a
-    bundles = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _bundles(it, models, bundle), _BUNDLED_SQL))
+    bundles = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _bundles(it, models, bundle), _BUNDLED))
     asked = bundles.select("bundle", "keys", "times").mapInArrow(lambda it: _asked(it, width), _ASKED)
     counts = stored(asked.select("stripe", "cells", "times").repartition("stripe").sortWithinPartitions("stripe").mapInArrow(lambda it: _counted(it, width), _COUNTED))
     none = F.lit(None).cast("array<long>")

@@ -1,4 +1,5 @@
 import hashlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -57,7 +58,7 @@ def plain(texts, sides):
                 by = [defaultdict(list), defaultdict(list)]
                 for side in (0, 1):
                     for _, e, i in spans[side]:
-                        by[side][next(c for c in cuts if c >= e) if len(cuts) < 500 else cuts[np.searchsorted(cuts, e)]].append(str(i))
+                        by[side][cuts[bisect_left(cuts, e)]].append(str(i))
                 groups = [f"{','.join(by[0][c])}|{','.join(by[1][c])}" for c in cuts]
         total.update(links)
         every.append((len(ids[0]), len(ids[1]), len(groups), links, ";".join(groups)))
@@ -79,12 +80,14 @@ def test_cases_in_bundles(spark, sides):
     assert alignment.align(df.limit(0), FIRST, SECOND).collect() == []
 
 
-def test_long_texts_are_cut_where_tokens_begin(sides, monkeypatch):
-    monkeypatch.setattr(alignment, "_PIECE", 50)
+def test_words_are_encoded_as_their_texts_are(sides):
     own = alignment.Pair(open(FIRST, "rb").read(), open(SECOND, "rb").read())
+    assert own.by_word
     rng = np.random.default_rng(0)
-    texts = ["".join(rng.choice(list("ab1.,' \n\té漢s"), 2000)) for _ in range(40)] + ["y" * 500, "it's " * 100, "a  b   c " * 60]
-    assert own._ids_a(texts) == [e.ids for e in sides[0].encode_batch(texts, add_special_tokens=False)]
+    texts = ["".join(rng.choice(list("ab1.,'' \n\té漢s\x1c\u00a0\u3000"), 400)) for _ in range(60)] + ["y" * 500, "it's " * 100, "a  b   c " * 60, " x", "x "]
+    for text in texts:
+        a, b, good = own.ids(own.words(text))
+        assert sum(a, []) == sides[0].encode(" " + text, add_special_tokens=False).ids and sum(b, []) == sides[1].encode(text)
 
 
 def test_query(spark, sf_dir, sides):
