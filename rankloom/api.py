@@ -12,17 +12,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.special import log1p_ieee, log2_ratio
+from .functions.special import log2_ratio
 from .operators import normalize, ranks, shift, statistics
 from .plans import spec as plan
 from .plans.spec import ALL_OTHERS, COLUMNS, REMOVED, Spec, scale_factor, shift_names, tau_names
 from .sources.archive import open_archive, resolve
-from .sources.matrix import CellGroup, CountMatrix, from_dense, from_groups, noncount_signal, reject_missing
+from .sources.groups import from_groups
+from .sources.matrix import CellGroup, CountMatrix, from_dense, noncount_signal, reject_missing
 from .sources.places import stored
+from .sources.reference import POOL, Reference
 
 _NAN = float("nan")
-#: The label of an external pool's cells inside the pipeline; roles keep it apart from a target of that name.
-_POOL = "reference"
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,7 @@ class Study:
     genes: DataFrame  # gene_idx, feature
     rest: bool = False
     targets: Sequence[str] | None = None  # targets that are reported even without cells
+    reference: Reference | None = None  # instead of cells of side 1
 
 
 def _labelled(matrix: CountMatrix, column: str) -> DataFrame:
@@ -46,13 +47,17 @@ def _sided(matrix: CountMatrix, cells: DataFrame, side: int) -> tuple[DataFrame,
     return matrix.entries.select(own.alias("cell_id"), "gene_idx", "value"), cells.select(own.alias("cell_id"), "group", F.lit(side).alias("side"))
 
 
-def _with_pool(targets: CountMatrix, cells: DataFrame, pool: CountMatrix, names: Sequence[str] | None = None) -> Study:
+def _with_pool(targets: CountMatrix, cells: DataFrame, pool: CountMatrix | Reference, names: Sequence[str] | None = None) -> Study:
+    if isinstance(pool, Reference):
+        if not pool.fits(targets.genes):
+            raise ValueError("the reference pool's genes do not match the targets' genes, in number and order")
+        return Study(targets.entries, cells.withColumn("side", F.lit(0)), targets.genes, targets=names, reference=pool)
     if not pool.same_genes(targets):
         raise ValueError("the reference pool's genes do not match the targets' genes, in number and order")
     if pool.cells.isEmpty():
         raise ValueError("the reference pool has no cells")
     e0, c0 = _sided(targets, cells, 0)
-    e1, c1 = _sided(pool, pool.cells.select("cell_id", F.lit(_POOL).alias("group")), 1)
+    e1, c1 = _sided(pool, pool.cells.select("cell_id", F.lit(POOL).alias("group")), 1)
     return Study(e0.unionByName(e1), c0.unionByName(c1), targets.genes, targets=names)
 
 
@@ -62,7 +67,7 @@ def _within(matrix: CountMatrix, column: str, reference: str | list[str]) -> Stu
     if reference == ALL_OTHERS:
         return Study(matrix.entries, cells.withColumn("side", F.lit(0)), matrix.genes, rest=True)
     side = F.when(F.col("group").isin(labels), 1).otherwise(0)
-    sided = cells.withColumn("side", side).withColumn("group", F.when(F.col("side") == 1, F.lit(_POOL)).otherwise(F.col("group")))
+    sided = cells.withColumn("side", side).withColumn("group", F.when(F.col("side") == 1, F.lit(POOL)).otherwise(F.col("group")))
     if sided.where("side = 1").isEmpty():
         raise ValueError(f"reference {reference!r} is not a label of {column!r}")
     return Study(matrix.entries, sided, matrix.genes)
@@ -74,14 +79,16 @@ def test(study: Study, spec: Spec, keep_genes: Sequence[bool] | None = None, ord
     The source is read once: its entries go to the shared folder beside their cells' groups and
     totals, then the histogram of values, and all else reads that.
     """
-    many = study.genes.count()
+    many, reference = study.genes.count(), study.reference
+    if reference is not None and reference.total != spec.total:
+        raise ValueError(f"the reference was prepared for a target sum of {reference.total}, not {spec.total}")
     if keep_genes is not None:
         mask = np.asarray(keep_genes)
         if mask.dtype != np.bool_ or mask.shape != (many,):
             raise ValueError(f"keep_genes must be {many} booleans")
     spark = study.cells.sparkSession
     rows = stored(normalize.gathered(study.entries, study.cells))
-    if counts_expected and noncount_signal(rows.where("value is not null")):
+    if counts_expected and (noncount_signal(rows.where("value is not null")) or (reference is not None and not reference.manifest["counts"])):
         warnings.warn("values are negative or fractional: scaling by totals expects raw counts", UserWarning, stacklevel=3)
     total = normalize.resolve_total(spec.total, rows.where("first"))
     # A table with one row for each group; a row without cells for targets that have none.
@@ -91,25 +98,20 @@ def test(study: Study, spec: Spec, keep_genes: Sequence[bool] | None = None, ord
         named = spark.createDataFrame([(str(t),) for t in study.targets], "group string").withColumn("side", F.lit(0))
         absent = named.join(groups.where("side = 0").select("group"), "group", "left_anti").select("side", "group", F.lit(0).cast("long").alias("n_cells"), F.lit(0.0).alias("library"), F.lit(0.0).alias("library1"))
         groups = groups.unionByName(absent)
+    if reference is not None:
+        groups = groups.unionByName(reference.groups())
     groups = stored(groups)
     population, n_targets = groups.agg(F.coalesce(F.sum("n_cells"), F.lit(0)), F.count(F.when(F.col("side") == 0, 1))).first()
     wide = population > ranks.CUBE_LIMIT
 
-    raw = F.col("value").cast("float").cast("double")
-    sums = [F.count("*").alias("n"), F.sum(raw).alias("raw")]
-    if "cpm_cell" in spec.filters:
-        sums.append(F.sum(raw * normalize.row_scale(1e6).cast("double")).alias("cpm"))
-    seen = stored(rows.where("gene_idx is not null").groupBy("side", "group", "gene_idx", normalize.staged(F.col("value"), total).cast("double").alias("v")).agg(*sums))
-    v, n = F.col("v"), F.col("n")
-    moments = [F.sum(F.when(v != 0, n).otherwise(0)).alias("nnz"), F.sum(v * n).alias("sum_x"), F.sum("raw").alias("sum_raw")]
-    if spec.mean_calc == "geometric":
-        moments.append(F.sum(log1p_ieee(v) * n).alias("sum_log"))
-    if "cpm_cell" in spec.filters:
-        moments.append(F.sum("cpm").alias("sum_cpm"))
-    moments = seen.groupBy("side", "group", "gene_idx").agg(*moments)
+    keys, geometric, cpm = ["side", "group", "gene_idx"], spec.mean_calc == "geometric", "cpm_cell" in spec.filters
+    seen = stored(normalize.histogram(rows.where("gene_idx is not null"), keys, total, cpm))
+    moments = normalize.moments(seen, keys, geometric, cpm)
+    if reference is not None:
+        moments = moments.unionByName(reference.moments.select(F.lit(1).alias("side"), F.lit(POOL).alias("group"), *moments.columns[2:]))
     grid = groups.withColumn("gene_idx", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))) if many else groups.withColumn("gene_idx", F.lit(0)).limit(0)
-    skeleton = stored(grid.join(moments, ["side", "group", "gene_idx"], "left").fillna(0, [c for c in moments.columns if c not in ("side", "group", "gene_idx")]))
-    hist = ranks.with_zeros(seen, skeleton)
+    skeleton = stored(grid.join(moments, keys, "left").fillna(0, [c for c in moments.columns if c not in keys]))
+    hist = ranks.with_zeros(seen, skeleton if reference is None else skeleton.where("side = 0"))
 
     n = F.when(F.col("n_cells") > 0, F.col("n_cells"))
     mean = F.coalesce(F.col("sum_x") / n, F.lit(_NAN))
@@ -134,7 +136,7 @@ def test(study: Study, spec: Spec, keep_genes: Sequence[bool] | None = None, ord
         pool = of.where("side = 1").select("gene_idx", F.col("mean").alias("ref_mean"), F.col("n_cells").alias("ref_ncells"), *(F.col(k).alias(f"r_{k}") for k in asked))
         base = of.where("side = 0").select("group", "gene_idx", "n_cells", F.col("mean").alias("target_mean"), *(F.col(k).alias(f"t_{k}") for k in asked)).join(pool, "gene_idx")
         factors = [1.0, *(scale_factor(*t) for t in spec.taus)]
-        sums = ranks.against_reference(hist, factors, wide)
+        sums = ranks.against_reference(hist, factors, wide, reference)
         for k in range(len(factors)):
             sums = sums.withColumn(f"tie_{k}", F.col("ref_tie") + F.col(f"cross_{k}"))
     keep = [statistics.passes(F.col(f"t_{k}"), F.col(f"r_{k}"), t) for k, t in spec.filters.items()]
@@ -157,13 +159,15 @@ def test(study: Study, spec: Spec, keep_genes: Sequence[bool] | None = None, ord
         rows = statistics.with_p(rows.withColumn("_u", F.coalesce(F.col(f"u2_{k}").cast("double") / 2, F.lit(0.0))), p, F.col("_u"), F.coalesce(f"tie_{k}", zero), m, r, way, both)
         rows = rows.withColumn(e, statistics.effect(F.col("_u"), m, r))
     if spec.levels:
+        if reference is not None:
+            hist = hist.unionByName(reference.values.select(F.lit(1).alias("side"), F.lit(POOL).alias("group"), "gene_idx", "v", F.col("rc").alias("n")))
         found = shift.shifts(hist, spec.levels, spec.se, n_targets).withColumnsRenamed({"group": "_g", "gene_idx": "_j"})
         rows = rows.join(found, (F.col("group") == F.col("_g")) & (F.col("gene_idx") == F.col("_j")), "left")
         for i, name in enumerate(shift_names(spec.levels, spec.se)):
             rows = rows.withColumn(name, F.coalesce(F.col("shift")[i], F.lit(_NAN)))
     rows = rows.join(study.genes.select("gene_idx", "feature"), "gene_idx").withColumnRenamed("group", "target")
     rows = stored(rows.select("gene_idx", *(F.col(f"`{c}`") for c in (*COLUMNS, *spec.extra) if c != "p_adj" and not c.endswith("_padj"))))
-    rows = statistics.adjusted(rows, {"p_value": "p_adj", **{p: q for p, _, q in (tau_names(*t) for t in spec.taus)}})
+    rows = statistics.adjusted(rows, {"p_value": "p_adj", **{p: q for p, _, q in (tau_names(*t) for t in spec.taus)}}, key=["target", "gene_idx"])
     if ordered:  # targets as they were named, else by label; genes as they are numbered
         if study.targets is not None:
             places = spark.createDataFrame([(str(t), i) for i, t in enumerate(study.targets)], "target string, place int")
@@ -187,11 +191,11 @@ def de(
     *,
     archive: str | None = None,
     shard_archive: str | None = None,
-    cell_source: Callable[[], Iterable[CellGroup]] | None = None,
+    cell_source: Callable[..., Iterable[CellGroup]] | None = None,
     targets: Sequence[str] | None = None,
     var_names: Sequence[str] | None = None,
     groupby: str | None = None,
-    reference: str | CountMatrix | Any | None = None,
+    reference: str | CountMatrix | Reference | Any | None = None,
     mean_calc: plan.MeanCalc = "arithmetic",
     epsilon: float = 1e-9,
     min_feature_filter: Any = REMOVED,
@@ -220,8 +224,9 @@ def de(
     """Rank tests of every target group against a reference, as a DataFrame.
 
     One source of three: ``adata`` (a CountMatrix, with ``groupby`` and a reference label,
-    ``ALL_OTHERS`` or a pool matrix), ``archive`` (a path), or ``cell_source`` (with ``targets``,
-    ``var_names`` and a pool).  Of an archive only ``targets`` are read, if named.  ``gpu_gene_chunk_size``, ``oom_recovery``, ``densify_input``,
+    ``ALL_OTHERS``, a pool matrix or a pool prepared by ``rankloom.sources.reference``), ``archive`` (a path), or ``cell_source`` (with ``targets``,
+    ``var_names`` and a pool; of arrays it is read in the executors, in slices if it takes a list
+    of labels).  Of an archive only ``targets`` are read, if named.  ``gpu_gene_chunk_size``, ``oom_recovery``, ``densify_input``,
     ``stream_n_workers``, ``stream_prefetch`` and ``release_gpu_memory`` are checked and have no
     effect: Spark sizes, spills and retries; nor has ``tau_star_iters``, as shifts are exact.
     Values must not be NaN.  Rows come in no order unless ``ordered``: then by target (as
@@ -255,7 +260,7 @@ def _from_source(spark, cell_source, targets, var_names, groupby, reference, spe
         raise ValueError("targets repeats a label")
     if groupby is not None:
         raise ValueError("groupby= does not go with cell_source=: the source decides the grouping")
-    pool = reference if isinstance(reference, CountMatrix) else None
+    pool = reference if isinstance(reference, (CountMatrix, Reference)) else None
     if pool is None:
         shape = np.shape(reference)
         if len(shape) != 2 or shape[0] == 0:
@@ -283,15 +288,15 @@ def _from_archive(spark, archive, groupby, reference, targets, workers, prefetch
     column, pool = resolve(matrix, manifest, groupby, reference)
     asked = None if targets is None else [str(t) for t in plan.items(targets)]
     if asked is not None:
-        matrix, _ = open_archive(spark, archive, [*asked, *([] if isinstance(pool, CountMatrix) else pool)])
-    study = _with_pool(matrix, _labelled(matrix, column), pool) if isinstance(pool, CountMatrix) else _within(matrix, column, pool)
+        matrix, _ = open_archive(spark, archive, [*asked, *([] if isinstance(pool, (CountMatrix, Reference)) else pool)])
+    study = _with_pool(matrix, _labelled(matrix, column), pool) if isinstance(pool, (CountMatrix, Reference)) else _within(matrix, column, pool)
     return study if asked is None else replace(study, targets=asked)
 
 
 def _from_matrix(adata, groupby, reference, spec, densify) -> Study:
     if groupby is None or reference is None:
         raise ValueError("a matrix needs groupby= and reference=")
-    if isinstance(reference, CountMatrix):
+    if isinstance(reference, (CountMatrix, Reference)):
         if densify:
             raise ValueError("densify_input does not go with a pool as reference=")
     elif not isinstance(reference, str):
@@ -301,4 +306,4 @@ def _from_matrix(adata, groupby, reference, spec, densify) -> Study:
     if groupby not in adata.cells.columns:
         raise ValueError(f"cells have no column {groupby!r}")
     reject_missing(adata.cells, groupby)
-    return _with_pool(adata, _labelled(adata, groupby), reference) if isinstance(reference, CountMatrix) else _within(adata, groupby, reference)
+    return _with_pool(adata, _labelled(adata, groupby), reference) if isinstance(reference, (CountMatrix, Reference)) else _within(adata, groupby, reference)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.special import log1p_ieee
 from . import ranks
 
 
@@ -64,6 +65,26 @@ def staged(value: Column, total: float | None) -> Column:
     return value.cast("float") if total is None else value.cast("float") * row_scale(total)
 
 
+def histogram(rows: DataFrame, keys: list[str], total: float | None, cpm: bool) -> DataFrame:
+    """``(keys..., v, n, raw[, cpm])``: how often each staged value stands, and the sums of what it was made from."""
+    raw = F.col("value").cast("float").cast("double")
+    sums = [F.count("*").alias("n"), F.sum(raw).alias("raw")]
+    if cpm:
+        sums.append(F.sum(raw * row_scale(1e6).cast("double")).alias("cpm"))
+    return rows.groupBy(*keys, staged(F.col("value"), total).cast("double").alias("v")).agg(*sums)
+
+
+def moments(seen: DataFrame, keys: list[str], geometric: bool, cpm: bool) -> DataFrame:
+    """A histogram's sums for each of ``keys``: values that are not zero, their sum, that of the raw ones, of logarithms and of millionths."""
+    v, n = F.col("v"), F.col("n")
+    sums = [F.sum(F.when(v != 0, n).otherwise(0)).alias("nnz"), F.sum(v * n).alias("sum_x"), F.sum("raw").alias("sum_raw")]
+    if geometric:
+        sums.append(F.sum(log1p_ieee(v) * n).alias("sum_log"))
+    if cpm:
+        sums.append(F.sum("cpm").alias("sum_cpm"))
+    return seen.groupBy(*keys).agg(*sums)
+
+
 def log1p_normalized(entries: DataFrame, cells: DataFrame, total: float) -> DataFrame:
     """Entries scaled to the total and passed through log1p."""
     sized = library_sizes(entries, cells.select("cell_id"))

@@ -39,10 +39,15 @@ def with_zeros(seen: DataFrame, skeleton: DataFrame) -> DataFrame:
     return seen.where("v <> 0").select("side", "group", "gene_idx", "v", "n").unionByName(zeros)
 
 
-def placed(rows: DataFrame, keys: list[str], keep_bucket: bool = False) -> DataFrame:
-    """``rows(keys..., v, rc)`` with ``less`` and ``eq``: the sums of ``rc`` below and at ``v``."""
-    rows = rows.withColumn("bucket", bucket(F.col("v")))
-    coarse = rows.groupBy(*keys, "bucket").agg(F.sum("rc").alias("own"))
+def placed(rows: DataFrame, keys: list[str], keep_bucket: bool = False, coarse: DataFrame | None = None) -> DataFrame:
+    """``rows(keys..., v, rc)`` with ``less`` and ``eq``: the sums of ``rc`` below and at ``v``.
+
+    With ``coarse(keys..., bucket, own)``, the sums by bucket, ``rows`` have their bucket already
+    and are not read for them.
+    """
+    if coarse is None:
+        rows = rows.withColumn("bucket", bucket(F.col("v")))
+        coarse = rows.groupBy(*keys, "bucket").agg(F.sum("rc").alias("own"))
     before = coarse.select(*keys, "bucket", (F.sum("own").over(Window.partitionBy(*keys).orderBy("bucket")) - F.col("own")).alias("before"))
     inside = Window.partitionBy(*keys, "bucket")
     upto = F.sum("rc").over(inside.orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -51,22 +56,30 @@ def placed(rows: DataFrame, keys: list[str], keep_bucket: bool = False) -> DataF
     return fine.join(before, [*keys, "bucket"]).withColumn("less", F.col("before") + F.col("upto") - F.col("eq")).drop("before", "upto", *([] if keep_bucket else ["bucket"]))
 
 
-def against_reference(hist: DataFrame, factors: list[float], wide: bool) -> DataFrame:
+def against_reference(hist: DataFrame, factors: list[float], wide: bool, reference=None) -> DataFrame:
     """``(group, gene_idx, u2_k..., cross_k..., ref_tie)`` for each factor k on the target values.
 
-    ``u2`` is twice U, a whole number; the pooled tie term is ``ref_tie + cross_k``.
+    ``u2`` is twice U, a whole number; the pooled tie term is ``ref_tie + cross_k``.  The pool is
+    side 1 of ``hist``, or a prepared reference, whose histogram stays in the parts it lies in.
     """
-    ref = hist.where("side = 1").groupBy("gene_idx", "v").agg(F.sum("n").alias("rc"))
     k = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.lit(s).alias("s")) for i, s in enumerate(factors)))).alias("k")
     target = hist.where("side = 0").select("gene_idx", "group", "v", "n", k).select("gene_idx", F.col("k.k").alias("k"), (F.col("v") * F.col("k.s")).alias("v"), "group", "n", F.lit(0).cast("long").alias("rc"))
     # The pool stands in each gene's row of values once, and targets at all factors beside it: they count nothing themselves.
-    pool = ref.select("gene_idx", F.lit(None).cast("int").alias("k"), "v", F.lit(None).cast("string").alias("group"), F.lit(0).cast("long").alias("n"), "rc")
-    where = placed(target.unionByName(pool), ["gene_idx"]).where("n > 0")
+    none = [F.lit(None).cast("int").alias("k"), F.lit(None).cast("string").alias("group"), F.lit(0).cast("long").alias("n")]
+    if reference is None:
+        ref = hist.where("side = 1").groupBy("gene_idx", "v").agg(F.sum("n").alias("rc"))
+        where = placed(target.unionByName(ref.select("gene_idx", "v", "rc", *none)), ["gene_idx"])
+        ties = ref.groupBy("gene_idx").agg(F.sum(cubed(F.col("rc"), wide)).alias("ref_tie"))
+    else:
+        target = target.withColumn("bucket", bucket(F.col("v"))).repartition(reference.buckets, "gene_idx", "bucket")
+        coarse = reference.coarse.unionByName(target.select("gene_idx", "bucket").distinct().withColumn("own", F.lit(0).cast("long"))).groupBy("gene_idx", "bucket").agg(F.sum("own").alias("own"))
+        where = placed(target.unionByName(reference.values.select("gene_idx", "bucket", "v", "rc", *none)), ["gene_idx"], coarse=coarse)
+        ties = reference.moments.select("gene_idx", F.col("ref_tie").cast("decimal(38,0)" if wide else "long").alias("ref_tie"))
+    where = where.where("n > 0")
     number = "decimal(38,0)" if wide else "long"
     u2 = F.col("n").cast(number) * (2 * F.col("less").cast(number) + F.col("eq").cast(number))
     cross = cubed(F.col("eq") + F.col("n"), wide) - cubed(F.col("eq"), wide)
     sums = where.groupBy("group", "gene_idx").agg(*(F.sum(F.when(F.col("k") == i, u2)).alias(f"u2_{i}") for i in range(len(factors))), *(F.sum(F.when(F.col("k") == i, cross)).alias(f"cross_{i}") for i in range(len(factors))))
-    ties = ref.groupBy("gene_idx").agg(F.sum(cubed(F.col("rc"), wide)).alias("ref_tie"))
     return sums.join(ties, "gene_idx", "left")
 
 

@@ -13,6 +13,7 @@ from ..operators import compare, normalize, ranks, statistics
 from ..sources.archive import group_table, write_archive
 from ..sources.matrix import CellGroup, CountMatrix, collapse_reference, from_table, from_vectors, noncount_signal
 from ..sources.places import shared_path, stored
+from ..sources.reference import open_reference, prepare
 from .spec import ALL_OTHERS, COLUMNS, SE_LEVEL, Spec
 
 REFERENCE = "BUILDING"
@@ -99,6 +100,16 @@ def mwu_external_ref(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return _even(api.de(_part(m, F.col("c_mktsegment") != REFERENCE), groupby="c_mktsegment", reference=_part(m, F.col("c_mktsegment") == REFERENCE), **options))
 
 
+def mwu_prepared_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets in two runs against a pool that was read once, with a grid and shifts."""
+    m = purchases(spark, sf_dir)
+    path, label = shared_path(spark, "reference"), F.col("c_mktsegment")
+    pool = prepare(_part(m, label == REFERENCE), path)
+    halves = (_part(m, (label != REFERENCE) & (label < "F")), _part(m, (label != REFERENCE) & (label >= "F")))
+    first, second = (api.de(half, groupby="c_mktsegment", reference=open_reference(spark, pool.path), lfc_threshold=GRID) for half in halves)
+    return _even(first.unionByName(second))
+
+
 def _part(m: CountMatrix, condition) -> CountMatrix:
     cells = m.cells.where(condition)
     return CountMatrix(m.entries.join(cells.select("cell_id"), "cell_id", "left_semi"), cells, m.genes)
@@ -115,6 +126,27 @@ def byo_cell_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _even(api.de(cell_source=source, targets=targets, var_names=features, reference=_part(m, F.col("c_mktsegment") == REFERENCE), spark=spark))
 
 
+def byo_array_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups as dense arrays that executors read, a slice of the targets each, from files with an array for each cell."""
+    m = purchases(spark, sf_dir)
+    path, many = shared_path(spark, "arrays"), m.gene_count()
+    filled = m.entries.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("gene_idx", "value"))).alias("at"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda j: F.coalesce(F.col("at")[j], F.lit(0.0)))
+    m.cells.join(filled, "cell_id", "left").select("c_mktsegment", dense.alias("x")).write.partitionBy("c_mktsegment").parquet(path)
+    targets = [r[0] for r in m.cells.select("c_mktsegment").where(F.col("c_mktsegment") != REFERENCE).distinct().orderBy("c_mktsegment").collect()]
+    features = [r[0] for r in m.genes.orderBy("gene_idx").select("feature").collect()]
+
+    def source(labels):
+        import numpy as np
+        import pyarrow.dataset
+
+        for label in labels:
+            rows = pyarrow.dataset.dataset(f"{path}/c_mktsegment={label}", format="parquet").to_table(columns=["x"]).column("x").combine_chunks()
+            yield CellGroup(label, np.asarray(rows.flatten()).reshape(len(rows), many))
+
+    return _even(api.de(cell_source=source, targets=targets, var_names=features, reference=_part(m, F.col("c_mktsegment") == REFERENCE), spark=spark))
+
+
 def _archived(layout: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = shared_path(spark, f"archive-{layout}")
@@ -179,7 +211,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mwu_ref": _de,
     "mwu_all_others": lambda s, d: _de(s, d, reference=ALL_OTHERS),
     "mwu_external_ref": mwu_external_ref,
+    "mwu_prepared_ref": mwu_prepared_ref,
     "byo_cell_source": byo_cell_source,
+    "byo_array_groups": byo_array_groups,
     "archive_shard": _archived("shard"),
     "archive_cell": _archived("cell"),
     "stream_arrivals": stream_arrivals,
@@ -348,6 +382,7 @@ SQL: dict[str, str] = {
     "mwu_ref": _BOTH,
     "mwu_external_ref": _BOTH,
     "byo_cell_source": _BOTH,
+    "byo_array_groups": _BOTH,
     "archive_shard": _BOTH,
     "archive_cell": _BOTH,
     "stream_arrivals": _BOTH,
@@ -383,6 +418,7 @@ SQL: dict[str, str] = {
     "tau_star_se": _shifted((0.5,), True),
     "empty_schema": _empty(("tau=+0.5_p", "tau=+0.5_Ueffect", "tau=+0.5_padj")),
     "mwu_sparse": _run(base=_M3),
+    "mwu_prepared_ref": _run(taus=[(t, d) for t in GRID for d in ("up", "down")]),
     "lfc_up_down_grid": _run(taus=[(t, d) for t in GRID for d in ("up", "down")]),
     "output_columns": _run(columns=["feature AS gene", "target AS feature", "round(p_adj, 9) + 0e0 AS q"]),
     "topk_hits": f"SELECT * FROM ({_run(columns=['target', 'feature', 'p_adj'])}) ORDER BY p_adj, target, feature LIMIT 5",

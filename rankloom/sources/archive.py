@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .matrix import CountMatrix, reject_missing
+from .reference import Reference
 
 LAYOUTS = ("shard", "cell")
 
@@ -85,7 +86,7 @@ def group_table(matrix: CountMatrix, column: str) -> DataFrame:
     return matrix.cells.groupBy(F.col(column).cast("string").alias("group")).agg(F.count("*").alias("n_cells"))
 
 
-def resolve(matrix: CountMatrix, manifest: dict, groupby: str | None, reference: Any) -> tuple[str, list[str] | CountMatrix]:
+def resolve(matrix: CountMatrix, manifest: dict, groupby: str | None, reference: Any) -> tuple[str, list[str] | CountMatrix | Reference]:
     """The grouping column, and the archive's own reference labels or the external pool."""
     column = manifest["group_by"]
     if column is None:
@@ -94,7 +95,7 @@ def resolve(matrix: CountMatrix, manifest: dict, groupby: str | None, reference:
         raise ValueError(f"groupby={groupby!r} contradicts the archive's group_by={column!r}")
     reject_missing(matrix.cells, column, spelled=True)
     labels = manifest["reference"]
-    if isinstance(reference, CountMatrix):
+    if isinstance(reference, (CountMatrix, Reference)):
         if labels:
             warnings.warn("the archive's own reference pool is passed over for the external one", UserWarning, stacklevel=3)
         return column, reference

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -84,14 +83,15 @@ def from_dense(spark: SparkSession, values: Any, labels: dict[str, Sequence] | N
 
 
 class CellGroup(NamedTuple):
-    """One target's cells: a matrix (CountMatrix, array or sparse) and, at will, the rows of it that count."""
+    """One target's cells: a matrix (CountMatrix, array or sparse) and, at will, the rows of it that count; ``groups`` reads them."""
 
     label: str
     X: Any
     rows: Any = None
 
 
-def _rows(rows: Any, height: int, label: str) -> np.ndarray:
+def checked_rows(rows: Any, height: int, label: str) -> np.ndarray:
+    """A group's row selector: unique whole numbers within its height."""
     found = np.asarray(rows)
     if found.size == 0 and found.ndim == 1:
         return found.astype(np.int64)
@@ -104,52 +104,6 @@ def _rows(rows: Any, height: int, label: str) -> np.ndarray:
     return found
 
 
-def from_groups(spark: SparkSession, source: Callable[[], Iterable[CellGroup]], targets: Sequence[str], features: Sequence[str]) -> CountMatrix:
-    """A matrix with label column ``group`` from a source that yields every target exactly once, in any order."""
-    parts, cells, seen, first, arrays = [], [], set(), 0, []
-    for item in source():
-        label, matrix, rows = CellGroup(*item) if isinstance(item, tuple) else (None, None, None)
-        if label is None:
-            raise TypeError(f"cell_source yields CellGroup, got {type(item).__name__}")
-        label = str(label)
-        if label not in set(targets):
-            raise ValueError(f"cell_source yielded {label!r}, which is not among the targets")
-        if label in seen:
-            raise ValueError(f"cell_source yielded {label!r} twice")
-        seen.add(label)
-        if isinstance(matrix, CountMatrix):
-            if rows is not None:
-                raise ValueError("rows= goes with arrays; filter a CountMatrix instead")
-            width = matrix.gene_count()
-            parts.append(matrix.entries.select(F.concat(F.lit(f"{label}/"), F.col("cell_id").cast("string")).alias("cell_id"), "gene_idx", "value"))
-            cells.append(matrix.cells.select(F.concat(F.lit(f"{label}/"), F.col("cell_id").cast("string")).alias("cell_id"), F.lit(label).alias("group")))
-        else:
-            array = np.asarray(matrix.toarray() if hasattr(matrix, "toarray") else matrix)
-            if array.ndim != 2:
-                raise ValueError(f"group {label!r} must have two dimensions")
-            width = array.shape[1]
-            if rows is not None:
-                array = array[_rows(rows, array.shape[0], label)]
-            if width == len(features):
-                at, gene = np.nonzero(array)
-                arrays.append((label, len(array), at + first, gene, array[at, gene]))
-                first += len(array)
-        if width != len(features):
-            raise ValueError(f"group {label!r} has {width} genes, var_names {len(features)}")
-    missing = [t for t in targets if t not in seen]
-    if missing:
-        raise ValueError(f"cell_source did not yield {missing[:5]}")
-    genes = spark.createDataFrame([(j, str(f)) for j, f in enumerate(features)], "gene_idx int, feature string")
-    if arrays:  # all arrays together, however many groups they are
-        entries = pd.DataFrame({"cell_id": np.concatenate([a[2] for a in arrays]).astype(np.int64), "gene_idx": np.concatenate([a[3] for a in arrays]).astype(np.int32), "value": np.concatenate([a[4] for a in arrays]).astype(np.float64)})
-        labels = pd.DataFrame({"cell_id": np.arange(first), "group": np.repeat(np.array([a[0] for a in arrays], object), [a[1] for a in arrays])})
-        own = spark.createDataFrame(entries, "cell_id long, gene_idx int, value double"), spark.createDataFrame(labels, "cell_id long, group string")
-        parts.append(own[0].withColumn("cell_id", F.col("cell_id").cast("string")))
-        cells.append(own[1].withColumn("cell_id", F.col("cell_id").cast("string")))
-
-    return CountMatrix(reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, cells), genes)
-
-
 def collapse_reference(label: Column, prefix: str, reference: str) -> Column:
     """Labels that begin with ``prefix`` become the reference label."""
     return F.when(label.startswith(prefix), F.lit(reference)).otherwise(label)

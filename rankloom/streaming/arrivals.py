@@ -1,11 +1,14 @@
 """Target groups that arrive as files, tested against a static reference pool.
 
 Targets are independent given the reference and adjusted p-values stay within a target, so each
-micro-batch is a run of its own.  A group must arrive whole: one that comes again is an error.
+micro-batch is a run of its own.  The pool is prepared once, before the first batch; no batch
+reads it again.  A group must arrive whole: one that comes again is an error.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..api import Study, test
 from ..plans.spec import Spec
 from ..sources.matrix import CountMatrix
+from ..sources.reference import Reference, prepare
 
 #: A row for each entry; a cell without entries has one row with a null gene.
 ARRIVAL = "cell_id long, group string, gene_idx int, value double"
@@ -24,25 +28,25 @@ def arrivals(matrix: CountMatrix, column: str) -> DataFrame:
     return cells.join(matrix.entries, "cell_id", "left").select("cell_id", "group", F.col("gene_idx").cast("int"), F.col("value").cast("double"))
 
 
-def watch(spark: SparkSession, source: str, pool: CountMatrix, out: str, checkpoint: str, spec: Spec | None = None, files_per_batch: int = 8) -> StreamingQuery:
+def watch(spark: SparkSession, source: str, pool: CountMatrix | Reference, out: str, checkpoint: str, spec: Spec | None = None, files_per_batch: int = 8) -> StreamingQuery:
     """Test the groups in each new Parquet file below ``source``; results are appended to ``out``, once for each batch.
 
-    Batches that are replayed after a failure overwrite their own folder.
+    Batches that are replayed after a failure overwrite their own folder.  A pool that is not
+    prepared yet is prepared below ``out``, for the target sum of ``spec``.
     """
     spec = spec or Spec()
+    reference = pool if isinstance(pool, Reference) else prepare(pool, f"{out}/reference-{uuid.uuid4().hex}", spec.total)
 
     def each(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        own = F.struct(F.lit(0).alias("of"), F.col("cell_id").cast("string").alias("id")).alias("cell_id")
-        other = F.struct(F.lit(1).alias("of"), F.col("cell_id").cast("string").alias("id")).alias("cell_id")
         groups = batch.select("group").distinct()
         before = spark.read.parquet(f"{out}/groups") if number and _exists(spark, f"{out}/groups") else None
         if before is not None and not groups.join(before.where(F.col("batch") != number), "group", "left_semi").isEmpty():
             raise ValueError("a group arrived in parts: every file must hold whole groups")
-        entries = batch.where("gene_idx is not null").select(own, "gene_idx", "value").unionByName(pool.entries.select(other, "gene_idx", "value"))
-        cells = batch.select(own, "group").distinct().withColumn("side", F.lit(0)).unionByName(pool.cells.select(other, F.lit("reference").alias("group"), F.lit(1).alias("side")))
-        test(Study(entries, cells, pool.genes), spec).write.mode("overwrite").parquet(f"{out}/results/batch={number}")
+        cells = batch.select("cell_id", "group").distinct().withColumn("side", F.lit(0))
+        entries = batch.where("gene_idx is not null").select("cell_id", "gene_idx", "value")
+        test(Study(entries, cells, reference.genes, reference=reference), spec).write.mode("overwrite").parquet(f"{out}/results/batch={number}")
         groups.write.mode("overwrite").parquet(f"{out}/groups/batch={number}")
 
     stream = spark.readStream.schema(ARRIVAL).option("maxFilesPerTrigger", files_per_batch).parquet(source)
