@@ -284,11 +284,10 @@ def _from_archive(spark, archive, groupby, reference, targets, workers, prefetch
         raise ValueError("densify_input does not go with archive=")
     if isinstance(reference, str) and reference == ALL_OTHERS:
         raise NotImplementedError("ALL_OTHERS does not go with archive=")
-    matrix, manifest = open_archive(spark, archive)
-    column, pool = resolve(matrix, manifest, groupby, reference)
+    opened = open_archive(spark, archive)
+    column, pool = resolve(opened, groupby, reference)
     asked = None if targets is None else [str(t) for t in plan.items(targets)]
-    if asked is not None:
-        matrix, _ = open_archive(spark, archive, [*asked, *([] if isinstance(pool, (CountMatrix, Reference)) else pool)])
+    matrix = opened.matrix(None if asked is None else list(dict.fromkeys([*asked, *(pool if isinstance(pool, list) else ())])))
     study = _with_pool(matrix, _labelled(matrix, column), pool) if isinstance(pool, (CountMatrix, Reference)) else _within(matrix, column, pool)
     return study if asked is None else replace(study, targets=asked)
 

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from .. import api
 from ..functions.special import erfc_sql, upper_quantile, with_erfc
 from ..operators import compare, normalize, ranks, statistics
-from ..sources.archive import group_table, write_archive
+from ..sources.archive import group_table, open_archive, write_archive
 from ..sources.matrix import CellGroup, CountMatrix, collapse_reference, from_table, from_vectors, noncount_signal
 from ..sources.places import shared_path, stored
 from ..sources.reference import open_reference, prepare
-from .spec import ALL_OTHERS, COLUMNS, SE_LEVEL, Spec
+from .spec import ALL_OTHERS, COLUMNS, SE_LEVEL
 
 REFERENCE = "BUILDING"
 GRID = (0.0, 0.25)
@@ -156,6 +156,20 @@ def _archived(layout: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def archive_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two groups of an archive in their asked order, from their own and the reference's files alone."""
+    path = shared_path(spark, "archive-targets")
+    write_archive(purchases(spark, sf_dir), path, "c_mktsegment", REFERENCE, "cell")
+    return _even(api.de(archive=path, targets=["MACHINERY", "FURNITURE"], ordered=True, spark=spark))
+
+
+def archive_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an archive's index knows of its groups, over customers by part."""
+    path = shared_path(spark, "archive-groups")
+    write_archive(purchases(spark, sf_dir, "l_partkey"), path, "c_mktsegment", REFERENCE)
+    return open_archive(spark, path).groups.select("group", "n_cells", "n_entries", "is_reference")
+
+
 def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.arrivals import arrivals, watch
 
@@ -216,6 +230,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "byo_array_groups": byo_array_groups,
     "archive_shard": _archived("shard"),
     "archive_cell": _archived("cell"),
+    "archive_targets": archive_targets,
+    "archive_groups": archive_groups,
     "stream_arrivals": stream_arrivals,
     "library_size": lambda s, d: (lambda m: normalize.library_sizes(m.entries, m.cells).select("cell_id", F.col("library").alias("library_size")))(purchases(s, d)),
     "target_sum_median": lambda s, d: (lambda m: s.range(1).select(F.lit(normalize.exact_median(normalize.library_sizes(m.entries, m.cells).where("library > 0"), "library")).alias("target_sum")))(purchases(s, d)),
@@ -246,7 +262,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tau_star": lambda s, d: _pick(_de(s, d, tau_star=(0.05, 0.5)), "target", "feature", "tau*_p0.05", "tau*_p0.5"),
     "tau_star_se": lambda s, d: _pick(_de(s, d, tau_star=0.5, tau_star_se=True), "target", "feature", "tau*_p0.5", "tau*_lo_p0.025", "tau*_hi_p0.025", "tau*_se"),
     "output_columns": lambda s, d: _de(s, d, output_columns={"feature": "gene", "target": "feature", "p_adj": "q"}),
-    "empty_schema": lambda s, d: api.empty_result(s, Spec(taus=((0.5, "up"),))),
+    "empty_schema": lambda s, d: _de(s, d, lfc_threshold=0.5, lfc_threshold_alt="up", filter_gene_min_mean_value=1e12),
     "topk_hits": lambda s, d: _pick(_de(s, d).orderBy("p_adj", "target", "feature").limit(5), "target", "feature", "p_adj"),
     "rank_of_gene": lambda s, d: (lambda r: _pick(r.withColumn("place", F.row_number().over(Window.partitionBy("target").orderBy("p_value", "feature"))).where(F.col("feature") == "Brand#11"), "target", "feature", "place", "p_value"))(_de(s, d)),
     "collapse_reference": collapse_reference_query,
@@ -385,6 +401,8 @@ SQL: dict[str, str] = {
     "byo_array_groups": _BOTH,
     "archive_shard": _BOTH,
     "archive_cell": _BOTH,
+    "archive_targets": f"SELECT * FROM ({_BOTH}) WHERE target IN ('MACHINERY', 'FURNITURE')",
+    "archive_groups": f"WITH {_M3.strip().rstrip(',')} SELECT grp AS \"group\", count(DISTINCT c.cell) AS n_cells, count(v) AS n_entries, grp = '{REFERENCE}' AS is_reference FROM c LEFT JOIN e ON e.cell = c.cell GROUP BY 1",
     "stream_arrivals": _BOTH,
     "mwu_all_others": _run(rest=True),
     "library_size": _simple("SELECT cell AS cell_id, l AS library_size FROM lib"),

@@ -1,5 +1,6 @@
 """Sources beyond a matrix in memory: prepared references, callables, archives, arrivals."""
 
+import os
 import re
 import shutil
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rankloom import CellGroup, de
 from rankloom.plans.spec import Spec
+from rankloom.sources.archive import open_archive, write_archive
 from rankloom.sources.groups import from_groups
 from rankloom.sources.matrix import CountMatrix, from_dense
 from rankloom.sources.reference import open_reference, prepare
@@ -106,6 +108,56 @@ def test_batches_share_one_reading_of_the_pool(spark, tmp_path, targets):
     same(rows(spark.read.parquet(f"file://{tmp_path}/out/results").drop("batch")), rows(de(targets, groupby="guide", reference=base)))
 
 
+# ---------------------------------------------------------------- archives
+
+
+@pytest.mark.parametrize("layout", ["shard", "cell"])
+def test_archive_index(spark, tmp_path, layout):
+    names = ["", "1", "a b", "x/y=+%", "é"]
+    labels = [names[i % 5] for i in range(30)]
+    path = f"file://{tmp_path}/archive"
+    write_archive(from_dense(spark, TARGETS, {"guide": labels}), path, "guide", ["1", "é"], layout, cells_per_file=4)
+    archive = open_archive(spark, path)
+    assert {tuple(r) for r in archive.groups.collect()} == {(n, 6, int(sum((TARGETS[i] != 0).sum() for i in range(30) if labels[i] == n)), n in ("1", "é")) for n in names}
+    assert archive.largest() == 6
+    for name in names:
+        part = archive.matrix([name])
+        assert {r[0] for r in part.cells.select("guide").distinct().collect()} == {name}
+        assert part.entries.agg(F.sum("value")).first()[0] == sum(TARGETS[i].sum() for i in range(30) if labels[i] == name)
+        own = {r.file: r.bytes for r in archive.index.where(F.col("group") == name).collect()}
+        assert {os.path.basename(f) for f in part.entries.inputFiles()} == {os.path.basename(f) for f in own}
+        assert sum(own.values()) <= sum(r[0] for r in archive.index.select("bytes", "file").distinct().collect()) / (2 if layout == "shard" else 1)
+
+
+def test_damaged_archives(spark, tmp_path):
+    path = f"file://{tmp_path}/archive"
+    matrix = from_dense(spark, TARGETS, {"guide": LABELS})
+    write_archive(matrix, path, "guide", "b", "shard")
+    archive = open_archive(spark, path)
+    files = {r.group: r.file for r in archive.index.collect()}
+    os.remove(f"{tmp_path}/archive/entries/{files['a']}")
+    assert archive.matrix(["b"]).entries.count() == (TARGETS[:14] != 0).sum()  # the file of another group
+    for groups in (None, ["a"]):
+        with pytest.raises(ValueError, match="missing|not as it was"):
+            archive.matrix(groups)
+    shutil.copy(f"{tmp_path}/archive/entries/{files['b']}", f"{tmp_path}/archive/entries/{files['a']}")
+    with pytest.raises(ValueError, match="not as it was"):
+        archive.matrix()
+    with pytest.raises(ValueError, match="not an archive"):
+        open_archive(spark, f"file://{tmp_path}/nothing")
+
+
+def test_archives_are_checked_when_written(spark, tmp_path):
+    matrix = from_dense(spark, TARGETS, {"guide": LABELS})
+    for n, (bad, reference) in enumerate(((CountMatrix(matrix.entries, matrix.cells.unionByName(matrix.cells.limit(1)), matrix.genes), "b"), (CountMatrix(matrix.entries, matrix.cells.where("cell_id > 5"), matrix.genes), "b"), (matrix, "absent"), (from_dense(spark, TARGETS, {"guide": ["nan", *LABELS[1:]]}), "b"))):
+        with pytest.raises(ValueError, match="repeat|do not exist|no cells|missing labels"):
+            write_archive(bad, f"file://{tmp_path}/{n}", "guide", reference)
+    write_archive(matrix, f"file://{tmp_path}/plain", None)
+    assert open_archive(spark, f"file://{tmp_path}/plain").matrix().entries.count() == (TARGETS != 0).sum()
+    with pytest.raises(ValueError, match="group_by"):
+        de(archive=f"file://{tmp_path}/plain", spark=spark)
+
+
 # ---------------------------------------------------------------- callables
 
 
