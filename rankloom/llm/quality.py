@@ -254,21 +254,18 @@ def _unpacked(data: bytes, many: int, arrays: int = 2) -> list[np.ndarray]:
 
 
 def _bundles(batches: Iterator[pa.RecordBatch], text: int, size: int) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Rows in the order they come, with the number of their bundle."""
-    number, held = 0, 0
-    base = TaskContext.get().partitionId() << 24
+    """Rows in the order they come, with the number of their bundle.
+
+    A row's bundle follows from the characters of all rows before it in the task, so it is the same
+    however the rows are cut into batches.
+    """
+    held, base = 0, TaskContext.get().partitionId() << 24
     for batch in batches:
-        sizes = pc.utf8_length(batch.column(text)).fill_null(0).to_numpy().astype(np.int64)
-        start = 0
-        while start < batch.num_rows:
-            room = np.cumsum(sizes[start:]) + held
-            fits = max(1, int(np.searchsorted(room, size, "right")))
-            stop = min(batch.num_rows, start + fits)
-            yield base + number, batch.slice(start, stop - start)
-            held = int(room[stop - start - 1])
-            if held >= size or stop < batch.num_rows:
-                number, held = number + 1, 0
-            start = stop
+        before = held + np.r_[0, np.cumsum(pc.utf8_length(batch.column(text)).fill_null(0).to_numpy().astype(np.int64))]
+        held, number = int(before[-1]), before[:-1] // size
+        cuts = np.flatnonzero(np.r_[True, np.diff(number) != 0]) if batch.num_rows else np.zeros(0, np.int64)
+        for start, stop in zip(cuts, np.r_[cuts[1:], batch.num_rows]):
+            yield base + int(number[start]), batch.slice(start, stop - start)
 
 
 _NEED = "shard long, bundle long, by string, many long, grams binary"

@@ -41,7 +41,8 @@ RULES = (
     Rule("hex", r"[0-9a-f]{24,}", base=True),
     # With its body to the line that ends it; where that is missing, to the end of the base64 that follows.
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\x20\t\r\n]*-----END [A-Z ]*PRIVATE KEY-----|[\x20\t\r\n]*[A-Za-z0-9+/=]{40,})?"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    # A run without the parts that must follow is taken whole and dropped: nothing inside it can match, and it is read once.
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+(\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)?", 1),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
@@ -81,7 +82,7 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
         return bind(F.split(text, rule.pattern, -1), by_ends)
 
     found = bind(F.regexp_extract_all(text, pattern, F.lit(0)), laid)
-    if rule.least > 1:
+    if rule.group or rule.least > 1:
         kept = F.regexp_extract_all(text, pattern, F.lit(rule.group))
         found = bind(kept, lambda part: F.filter(found, lambda _, i: F.char_length(part[i]) >= rule.least))
     return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(SPAN)).cast(SPAN)

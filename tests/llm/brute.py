@@ -42,7 +42,7 @@ def spans(text):
     """(start, rank, stop, kind) of all rules, matched first and dropped after."""
     out = []
     for rank, rule in enumerate(secrets.RULES):
-        pattern = {"access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}.get(rule.kind, rule.pattern)
+        pattern = {"access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+", "jwt": r"(eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+)"}.get(rule.kind, rule.pattern)
         least = {"access": 20, "hex": 24}.get(rule.kind, rule.least)
         for m in re.finditer(pattern, text or ""):
             if len(m[rule.group]) >= least:
@@ -70,21 +70,30 @@ def fingerprint(text):
 
 
 def first_of_groups(rows):
-    """Of (doc_id, text) rows those whose id is the smallest of their component."""
-    prints = [(d, fingerprint(t)) for d, t in rows]
-    parent = {d: d for d, _ in prints}
+    """Places of the (doc_id, text) rows that stay: those whose id is the smallest of what their row is linked to, once for each id and fingerprint."""
+    prints = [fingerprint(t) for _, t in rows]
+    parent = list(range(len(rows)))
 
-    def root(d):
-        while parent[d] != d:
-            d = parent[d]
-        return d
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
 
-    for i, (a, x) in enumerate(prints):
-        for b, y in prints[:i]:
+    for i, x in enumerate(prints):
+        for j, y in enumerate(prints[:i]):
             if (x ^ y).bit_count() <= 3:
-                a1, b1 = root(a), root(b)
-                parent[max(a1, b1)] = min(a1, b1)
-    return {d for d, _ in prints if root(d) == d}
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    best = {}
+    for i, (d, t) in enumerate(rows):
+        if d is not None and d == least[root(i)]:
+            key = d, prints[i]
+            if key not in best or (t or "", i) < (rows[best[key]][1] or "", best[key]):
+                best[key] = i
+    return {*best.values(), *(i for i, (d, _) in enumerate(rows) if d is None)}
 
 
 # ---------------------------------------------------------------- the language model

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import brute
 import public_tokenizers
@@ -15,7 +16,7 @@ def by_hand(spark, docs, sf_dir):
     rows = [(r.doc_id, r.lang, r.text) for r in docs.collect()]
     rows = [r for r, keep in zip(rows, brute.kept(rows, labels)) if keep]
     first = brute.first_of_groups([(d, t) for d, _, t in rows])
-    rows = list({(d, t): None for d, _, t in rows if d in first})
+    rows = [(d, t) for i, (d, _, t) in enumerate(rows) if i in first]
     rows = [(d, t) for d, t in rows if not brute.contamination(t, items)[4]]
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(corpus_pipeline.MODEL))
     out = []
@@ -34,6 +35,16 @@ def test_run_equals_the_plain_version(spark, sf_dir):
     assert 0 < len(got) < docs.count()
 
 
+def test_duplicates_go_row_by_row(spark, sf_dir):
+    rng = random.Random(0)
+    a, b, c = (" ".join(rng.choice("one two three four five six seven eight nine ten".split()) + str(rng.randint(0, 99)) for _ in range(60)) for _ in range(3))
+    rows = [(3, b), (5, a), (5, b), (5, a), (None, b), (7, a), (8, c), (8, c), (9, c), (4, None), (6, ""), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "web", len(t or "")) for d, t in rows], spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+    stay = brute.first_of_groups(rows)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.STAGES[1][1](spark, docs, sf_dir).collect()), key=str)
+    assert got == sorted((rows[i] for i in stay), key=str) == sorted([(3, b), (5, a), (8, c), (None, b), (4, None), (None, None)], key=str)
+
+
 def test_stages_take_nulls_repeats_and_no_rows(spark, sf_dir):
     base = spark.read.parquet(f"{sf_dir}/documents.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (900001, None, "en", "web", 0), (900001, None, "en", "web", 0), (900002, "", None, None, None), (None, "token=abcdef123", "en", None, 15)], base.schema)

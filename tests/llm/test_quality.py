@@ -4,6 +4,8 @@ import brute
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from rankloom.llm import quality
 
 ROWS = [(1, "en", "the cat sat on the mat"), (2, "en", "the dog sat on the log, twice"), (3, "es", "el gato duerme"), (4, None, "no language at all"), (5, "en", ""), (6, "en", None), (None, "en", "the unknown"), (7, "xx", "the cat"), (8, "en", "ZZQ %%% 0x1f 😀 zzqq"), (8, "en", "ZZQ %%% 0x1f 😀 zzqq"), (9, "en", "the cat sat " * 2000)]
@@ -124,3 +126,21 @@ def test_numbers_survive_packing():
     places = quality._Pairs(a, b)
     assert places.find(a, b).tolist() == [0, 1, 2] and places.find(b, a).tolist() == [-1] * 3
     assert pa.array(quality._distinct(a, b)[2]).to_pylist() == [0, 1, 2]
+
+
+def test_batch_limits_change_nothing(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3, "doc_id").withColumn("wide", F.repeat("text", 3))
+    docs.write.parquet(f"file://{tmp_path}/docs")
+    docs = spark.read.parquet(f"file://{tmp_path}/docs")
+    made = quality.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), bundle=20_000)
+    got = []
+    for size, many in ((1 << 26, 10_000), (50_000, 10_000), (1 << 26, 3)):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", many)
+        try:
+            got.append(sorted((r.doc_id, r.keep, round(r.perplexity, 9)) for r in made.judge(docs).collect()))
+            assert made.kept(docs).count() == sum(keep for _, keep, _ in got[-1])
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got[0] == got[1] == got[2]

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import time
 
 import brute
@@ -64,3 +65,21 @@ def test_redaction(spark):
     df = spark.createDataFrame([(t or "",) for t in TEXTS], "text string")
     for r in df.select("text", secrets.redacted(F.col("text"), secrets.spans_of(F.col("text"))).alias("out")).collect():
         assert r.out == brute.redacted(r.text)
+
+
+def test_hostile_runs_are_read_once(spark):
+    texts = ["eyJ" * 700_000, "eyJa." * 200_000, "token" * 400_000, "-----BEGIN " * 100_000, "-----BEGIN PRIVATE KEY-----" * 40_000, "AKIA" * 500_000, "token=" * 300_000, "ghp_" * 300_000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8, "text")
+    begin = time.time()
+    found = {r.text[:12]: [tuple(s) for s in r.spans] for r in df.select("text", secrets.spans_of(F.col("text")).alias("spans")).collect()}
+    assert time.time() - begin < 60
+    assert found["eyJeyJeyJeyJ"] == [] and found["eyJa.eyJa.ey"] == [(i * 15, 4, i * 15 + 14, "jwt") for i in range(66_666)]
+    assert [s[3] for s in found["AKIAAKIAAKIA"]] == ["access"]
+
+
+def test_jwt_spans_are_those_of_the_plain_rule(spark):
+    rng = random.Random(0)
+    texts = ["".join(rng.choice(["eyJ", "eyJa", "a", ".", ".", "-", " ", "eyJx.eyJy.z"]) for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", secrets.spans_of(F.col("text")).alias("spans")).collect()
+    for r in got:
+        assert [tuple(s) for s in r.spans] == brute.spans(r.text)
