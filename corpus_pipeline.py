@@ -6,7 +6,7 @@ Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that its predec
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm import decontaminate, pieces, quality, secrets, simhash
@@ -21,14 +21,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component, once; documents without an id stay."""
+    """Of each near-duplicate component the rows with its smallest id, one for each fingerprint; rows without an id stay.
+
+    Rows are judged by id and fingerprint, so that an id on two texts cannot save a copy.  Of rows
+    equal in both, the one with the least text stays.
+    """
     found = simhash.near_duplicates(docs)
     id_ = F.col("doc_id").cast("long")
-    leaving = found.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where("not stays").select("doc_id")
-    _, first = divided(docs, id_, leaving)
-    # Only rows whose id repeats can be the same document twice.
-    several, once = divided(first, id_, docs.where("doc_id is not null").groupBy(id_.alias("d")).agg(F.count("*").alias("n")).where("n > 1").select("d"))
-    return once.unionByName(several.dropDuplicates(["doc_id", "text"]))
+    named = docs.where("doc_id is not null")
+    # An id that stands once says which row is meant; only where one repeats, fingerprints are made again to tell its rows apart.
+    several, once = divided(docs, id_, named.groupBy(id_.alias("d")).agg(F.count("*").alias("n")).where("n > 1").select("d"))
+    _, first = divided(once, id_, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
+    several = stored(several.withColumn("_row", F.monotonically_increasing_id()))
+    prints = simhash.fingerprints(several.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_of"), F.col("fp").alias("_fp"))
+    firsts = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_own")).distinct()
+    apart = several.join(prints, F.col("_row") == F.col("_of")).join(firsts, (id_ == F.col("_id")) & (F.col("_fp") == F.col("_own")))
+    order = Window.partitionBy("_id", "_own").orderBy(F.coalesce("text", F.lit("")), "_row")
+    kept = apart.withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    return first.unionByName(kept.select(*docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
