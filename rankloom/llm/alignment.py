@@ -15,26 +15,28 @@ import json
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import SPACE, codec
 from .shared import give_back, stored
 
-BUNDLE = 1 << 23  # characters of text in a bundle, about; a longer text is a bundle of its own
+BUNDLE = 1 << 22  # characters of text in a bundle, about; a longer text is a bundle of its own
 STRIPE = 64  # ids of the second tokenizer in a block
 _AT_ONCE = 1 << 18  # characters that a tokenizer is given at a time
 _KEPT = 1 << 18  # words whose ids a task keeps from bundle to bundle
 _LONE = re.compile(r"(?<=\S) (?=\S)")  # a space between two characters that are none
 
-_LISTS = {"doc_id": "long", "many": "int", "words": "int", "n_a": "int", "n_b": "int", "a": "int", "b": "int", "keys": "long", "times": "long"}
-_KINDS = {"long": pa.int64(), "int": pa.int32()}
-_BUNDLED = "bundle string, " + ", ".join(f"{c} array<{k}>" for c, k in _LISTS.items())
+_PACKED = ("many", "words", "n_a", "n_b", "a", "b")  # whole numbers of 32 bits, packed
+_LONGS = ("doc_id", "keys", "times")
+_BUNDLED = "bundle string, " + ", ".join([*(f"{c} binary" for c in _PACKED), *(f"{c} array<long>" for c in _LONGS)])
 _ASKED = "stripe int, bundle string, cells array<int>, times array<long>"
 _COUNTED = "stripe int, cells array<int>, counts array<long>, best array<long>"
 _ANSWER = "bundle string, stripe int, counts array<long>, best array<boolean>"
@@ -78,7 +80,7 @@ class Pair:
             return []
         return _LONE.split(text) if self.by_word else [text]
 
-    def ids(self, words: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+    def ids(self, words: list[str]) -> tuple[Sequence[list[int]], Sequence[list[int]], np.ndarray]:
         """Both sides' ids of each word behind a space, and whether both spell it byte for byte; else there are none."""
         if len(self.known) > _KEPT:
             self.known = {}
@@ -89,13 +91,22 @@ class Pair:
                 many += len(fresh[end]) + 1
                 end += 1
             part = fresh[begin:end]
-            for w, x, y in zip(part, self.first.encode_batch([f" {w}" for w in part], add_special_tokens=False), self.second.encode(part, num_threads=1)):
-                own, x = f" {w}".encode(), x.ids
-                good = b"".join(map(self.bytes_a.__getitem__, x)) == own and b"".join(map(self.bytes_b.__getitem__, y)) == own
-                self.known[w] = (x, y) if good else ([], [])
+            a = [e.ids for e in self.first.encode_batch([f" {w}" for w in part], add_special_tokens=False)]
+            b = self.second.encode(part, num_threads=1)
+            own, lengths = f" {' '.join(part)}".encode(), pc.binary_length(pa.array(part, pa.string())).to_numpy() + 1
+            if not (self._spells(a, own, lengths, self.bytes_a, self.sizes_a) and self._spells(b, own, lengths, self.bytes_b, self.sizes_b)):  # which ones, word by word
+                good = [b"".join(map(self.bytes_a.__getitem__, x)) == f" {w}".encode() == b"".join(map(self.bytes_b.__getitem__, y)) for x, y, w in zip(a, b, part)]
+                a, b = ([x if g else [] for x, g in zip(side, good)] for side in (a, b))
+            self.known.update(zip(part, zip(a, b)))
             begin = end
-        found = [self.known[w] for w in words]
-        return [x for x, _ in found], [y for _, y in found], np.array([bool(x) for x, _ in found], bool)
+        a, b = zip(*map(self.known.__getitem__, words)) if words else ((), ())
+        return a, b, np.fromiter(map(len, a), np.int64, len(a)) > 0
+
+    @staticmethod
+    def _spells(ids: list[list[int]], own: bytes, lengths: np.ndarray, spelt: list[bytes], sizes: np.ndarray) -> bool:
+        """Whether the ids of all words spell them: all bytes in turn, and as many for each word."""
+        flat, many = _flat(ids)
+        return bool((_summed(sizes[flat], _cuts(many)) == lengths).all()) and b"".join(map(spelt.__getitem__, flat.tolist())) == own
 
     def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each id ends, in bytes of all words laid end to end."""
@@ -147,39 +158,60 @@ def _summed(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.diff(np.r_[0, np.cumsum(values, dtype=np.int64)][cuts])
 
 
-def _bundle(own: Pair, ids: list[int | None], rows: list[list[int]], words: list[str]) -> pa.RecordBatch:
+def _flat(lists: Sequence[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers laid end to end, and how many each list has."""
+    many = np.fromiter(map(len, lists), np.int32, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(many.sum())), many
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """How many whole numbers, and they byte by place, compressed: high bytes are mostly zero."""
+    planes = np.ascontiguousarray(numbers.astype(np.uint32)).view(np.uint8).reshape(-1, 4).T
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    many = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=4 * many, codec="zstd"), np.uint8).reshape(4, many)
+    return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
+
+
+def _bundle(own: Pair, ids: list[int | None], many: list[int], parts: list[str]) -> pa.RecordBatch:
     """One row: documents as rows of word numbers, the ids of the words, and the id pairs with their counts."""
+    coded = pa.array(parts, pa.string()).dictionary_encode()
+    words, flat, many = coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.array(many, np.int64)
     a, b, good = own.ids(words)
-    flat = np.fromiter((w for row in rows for w in row), np.int32, sum(map(len, rows)))
-    many = np.array([len(row) for row in rows], np.int32)
     bad = _summed(~good[flat], _cuts(many)) > 0  # a document with a word that is not spelt has no tokens
     flat, many = flat[np.repeat(~bad, many)], np.where(bad, 0, many)
-    n_a, n_b = (np.array([len(x) for x in side], np.int32) for side in (a, b))
-    flat_a, flat_b = (np.fromiter((i for x in side for i in x), np.int32, int(n.sum())) for side, n in ((a, n_a), (b, n_b)))
+    (flat_a, n_a), (flat_b, n_b) = _flat(a), _flat(b)
     ends, at_a, at_b = own.links(flat_a, flat_b)
     links = np.diff(np.searchsorted(ends, np.r_[0, own.ends(flat_a, flat_b)[0]][_cuts(n_a)], "right"))
     often = np.bincount(flat, minlength=len(words))
     keys, which = np.unique(own.keys(flat_a[at_a], flat_b[at_b]), return_inverse=True)
     times = np.bincount(which, np.repeat(often, links), len(keys)).astype(np.int64)
-    columns = {"doc_id": ids, "many": many, "words": flat, "n_a": n_a, "n_b": n_b, "a": flat_a, "b": flat_b, "keys": keys, "times": times}
-    return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(pa.array([columns[c]], pa.list_(_KINDS[k])) for c, k in _LISTS.items())], ["bundle", *_LISTS])
+    packed = {"many": many, "words": flat, "n_a": n_a, "n_b": n_b, "a": flat_a, "b": flat_b}
+    longs = {"doc_id": ids, "keys": keys, "times": times}
+    return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(pa.array([_packed(packed[c])], pa.binary()) for c in _PACKED), *(pa.array([longs[c]], pa.list_(pa.int64())) for c in _LONGS)], ["bundle", *_PACKED, *_LONGS])
 
 
 def _bundles(batches: Iterator[pa.RecordBatch], models, size: int) -> Iterator[pa.RecordBatch]:
     """Documents of a task in bundles, numbered once: what is stored is never dealt anew."""
     own = pair(*models.value)
-    ids, rows, number, many = [], [], {}, 0
+    ids, many, parts, held = [], [], [], 0
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             text = text.as_py()
-            if rows and many + len(text or "") > size:
-                yield _bundle(own, ids, rows, list(number))
-                ids, rows, number, many = [], [], {}, 0
+            if ids and held + len(text or "") > size:
+                yield _bundle(own, ids, many, parts)
+                ids, many, parts, held = [], [], [], 0
+            words = own.words(text)
             ids.append(key)
-            rows.append([number.setdefault(w, len(number)) for w in own.words(text)])
-            many += len(text or "") + 1
-    if rows:
-        yield _bundle(own, ids, rows, list(number))
+            many.append(len(words))
+            parts += words
+            held += len(text or "") + 1
+    if ids:
+        yield _bundle(own, ids, many, parts)
+    own.known = {}
     give_back()
 
 
@@ -241,7 +273,7 @@ def _answered(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 
 def _scored(bundle: pa.Table, answers: pa.Table, own: Pair) -> pa.Table:
     """A bundle's documents from its words and the answers of the stripes, which together are as its keys."""
-    row = {c: bundle.column(c)[0].values.to_numpy(zero_copy_only=False) for c in ("many", "words", "n_a", "n_b", "a", "b", "keys")}
+    row = {"keys": bundle.column("keys")[0].values.to_numpy(), **{c: _unpacked(bundle.column(c)[0].as_py()) for c in _PACKED}}
     order = np.argsort(answers.column("stripe").to_numpy())
     counts, best = ([answers.column(c)[int(i)].values.to_numpy(zero_copy_only=False) for i in order] for c in ("counts", "best"))
     counts, best = np.concatenate([np.zeros(0, np.int64), *counts]), np.concatenate([np.zeros(0, bool), *best])
