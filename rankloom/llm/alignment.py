@@ -91,7 +91,7 @@ class Pair:
                 many += len(fresh[end]) + 1
                 end += 1
             part = fresh[begin:end]
-            a = [e.ids for e in self.first.encode_batch([f" {w}" for w in part], add_special_tokens=False)]
+            a = [e.ids for e in self.first.encode_batch_fast([f" {w}" for w in part], add_special_tokens=False)]
             b = self.second.encode(part, num_threads=1)
             own, lengths = f" {' '.join(part)}".encode(), pc.binary_length(pa.array(part, pa.string())).to_numpy() + 1
             if not (self._spells(a, own, lengths, self.bytes_a, self.sizes_a) and self._spells(b, own, lengths, self.bytes_b, self.sizes_b)):  # which ones, word by word
