@@ -108,20 +108,25 @@ class Pair:
         flat, many = _flat(ids)
         return bool((_summed(sizes[flat], _cuts(many)) == lengths).all()) and b"".join(map(spelt.__getitem__, flat.tolist())) == own
 
-    def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each id ends, in bytes of all words laid end to end."""
-        return np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+    def ends(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where each id ends, in bytes of all words laid end to end; and for each byte, whether an id of either side ends behind it."""
+        ends = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
+        marks = [np.zeros(int(ends[0][-1]) + 1 if len(a) else 1, bool) for _ in ends]
+        for mark, own in zip(marks, ends):
+            mark[own] = True
+        return *ends, *marks
 
     def keys(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """A number for each id pair that orders pairs by stripe; ids go to stripes in turn."""
         stripes = -(-self.n_b // STRIPE)
         return ((b.astype(np.int64) % stripes) * STRIPE + b // stripes) * self.n_a + a
 
-    def links(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The end byte of each link, and the places of its ids: where neither side has an end between, one id of each lies over the bytes."""
-        ends_a, ends_b = self.ends(a, b)
-        ends = np.union1d(ends_a, ends_b)
-        return ends, np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+    def links(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the ids of each link, and where each word's links end: where neither side has an end between, one id of each lies over the bytes."""
+        ends_a, _, mark_a, mark_b = self.ends(a, b)
+        either = mark_a | mark_b
+        ends = np.flatnonzero(either)
+        return np.cumsum(mark_a)[ends - 1], np.cumsum(mark_b)[ends - 1], np.cumsum(either)[np.r_[0, ends_a][cuts_a]]
 
     @cached_property
     def written(self) -> list[str]:
@@ -130,18 +135,17 @@ class Pair:
 
     def groups(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> tuple[np.ndarray, list[str]]:
         """How many groups each word has, and all of them written: ids of both sides between the ends that they share."""
-        ends_a, ends_b = self.ends(a, b)
-        shared = np.intersect1d(ends_a, ends_b)
-        group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
-        upto_a, upto_b = np.searchsorted(group_a, np.arange(len(shared)), "right"), np.searchsorted(group_b, np.arange(len(shared)), "right")
+        ends_a, ends_b, mark_a, mark_b = self.ends(a, b)
+        upto = np.cumsum(mark_a & mark_b)
+        group_a, group_b = upto[ends_a - 1], upto[ends_b - 1]
+        upto_a, upto_b = np.cumsum(np.bincount(group_a)), np.cumsum(np.bincount(group_b))
         shift_a, shift_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         shift_a[upto_a - 1], shift_b[upto_b - 1] = self.n_a, self.n_b
         row = np.empty(len(a) + len(b), np.int64)
         row[np.arange(len(a)) + np.r_[0, upto_b][group_a]] = a + shift_a
         row[np.arange(len(b)) + upto_a[group_b]] = 2 * self.n_a + b + shift_b
-        flat, at = row.tolist(), (cuts_a + cuts_b).tolist()
-        written = self.written.__getitem__
-        return np.diff(np.searchsorted(shared, np.r_[0, ends_a][cuts_a], "right")), ["".join(map(written, flat[x:y]))[:-1] for x, y in zip(at, at[1:])]
+        flat, at = list(map(self.written.__getitem__, row.tolist())), (cuts_a + cuts_b).tolist()
+        return np.diff(upto[np.r_[0, ends_a][cuts_a]]), ["".join(flat[x:y])[:-1] for x, y in zip(at, at[1:])]
 
 
 @lru_cache(maxsize=1)
@@ -184,11 +188,10 @@ def _bundle(own: Pair, ids: list[int | None], many: list[int], parts: list[str])
     bad = _summed(~good[flat], _cuts(many)) > 0  # a document with a word that is not spelt has no tokens
     flat, many = flat[np.repeat(~bad, many)], np.where(bad, 0, many)
     (flat_a, n_a), (flat_b, n_b) = _flat(a), _flat(b)
-    ends, at_a, at_b = own.links(flat_a, flat_b)
-    links = np.diff(np.searchsorted(ends, np.r_[0, own.ends(flat_a, flat_b)[0]][_cuts(n_a)], "right"))
+    at_a, at_b, upto = own.links(flat_a, flat_b, _cuts(n_a))
     often = np.bincount(flat, minlength=len(words))
     keys, which = np.unique(own.keys(flat_a[at_a], flat_b[at_b]), return_inverse=True)
-    times = np.bincount(which, np.repeat(often, links), len(keys)).astype(np.int64)
+    times = np.bincount(which, np.repeat(often, np.diff(upto)), len(keys)).astype(np.int64)
     packed = {"many": many, "words": flat, "n_a": n_a, "n_b": n_b, "a": flat_a, "b": flat_b}
     longs = {"doc_id": ids, "keys": keys, "times": times}
     return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *(pa.array([_packed(packed[c])], pa.binary()) for c in _PACKED), *(pa.array([longs[c]], pa.list_(pa.int64())) for c in _LONGS)], ["bundle", *_PACKED, *_LONGS])
@@ -280,9 +283,8 @@ def _scored(bundle: pa.Table, answers: pa.Table, own: Pair) -> pa.Table:
     if len(counts) != len(row["keys"]):
         raise RuntimeError("stripes did not answer for every pair of a bundle")
     a, b, cuts_a, cuts_b = row["a"], row["b"], _cuts(row["n_a"]), _cuts(row["n_b"])
-    ends, at_a, at_b = own.links(a, b)
+    at_a, at_b, cuts = own.links(a, b, cuts_a)
     which = np.searchsorted(row["keys"], own.keys(a[at_a], b[at_b]))
-    cuts = np.searchsorted(ends, np.r_[0, own.ends(a, b)[0]][cuts_a], "right")
     n_groups, written = own.groups(a, b, cuts_a, cuts_b)
     words, of = row["words"], _cuts(row["many"])
     each = [row["n_a"], row["n_b"], n_groups, np.diff(cuts), _summed(best[which], cuts), _summed(counts[which], cuts)]
