@@ -14,6 +14,7 @@ from ..sources.archive import group_table, open_archive, write_archive
 from ..sources.matrix import CellGroup, CountMatrix, collapse_reference, from_table, from_vectors, noncount_signal
 from ..sources.places import shared_path, stored
 from ..sources.reference import open_reference, prepare
+from ..sources.sparse import from_csr, read_csr, to_csr, unpacked
 from .spec import ALL_OTHERS, COLUMNS, SE_LEVEL
 
 REFERENCE = "BUILDING"
@@ -170,6 +171,25 @@ def archive_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return open_archive(spark, path).groups.select("group", "n_cells", "n_entries", "is_reference")
 
 
+def csr_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole test over a matrix that was written as compressed rows and decoded from them."""
+    path = shared_path(spark, "csr")
+    to_csr(purchases(spark, sf_dir), path)
+    return _de(spark, sf_dir, matrix=read_csr(spark, path))
+
+
+def csr_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compressed rows of customers by part, their arrays in runs of 1,000 positions, decoded to entries again."""
+    path = shared_path(spark, "csr")
+    to_csr(purchases(spark, sf_dir, "l_partkey"), path)
+    starts, nonzeros, cells, genes = (spark.read.parquet(f"{path}/{name}") for name in ("starts", "nonzeros", "cells", "genes"))
+    item = F.array_sort(F.collect_list(F.struct("position", "gene_idx", "value")))
+    runs = nonzeros.groupBy(F.expr("position div 1000 * 1000").alias("first")).agg(item.alias("items")).select("first", F.col("items.gene_idx").alias("indices"), F.col("items.value").alias("data"))
+    m = from_csr(starts, unpacked(runs), genes)
+    named = m.entries.join(cells.select(F.col("row").alias("cell_id"), F.col("cell_id").alias("customer")), "cell_id")
+    return named.join(m.genes, "gene_idx").select("customer", "feature", "value")
+
+
 def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.arrivals import arrivals, watch
 
@@ -232,6 +252,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "archive_cell": _archived("cell"),
     "archive_targets": archive_targets,
     "archive_groups": archive_groups,
+    "csr_arrays": csr_arrays,
+    "csr_chunks": csr_chunks,
     "stream_arrivals": stream_arrivals,
     "library_size": lambda s, d: (lambda m: normalize.library_sizes(m.entries, m.cells).select("cell_id", F.col("library").alias("library_size")))(purchases(s, d)),
     "target_sum_median": lambda s, d: (lambda m: s.range(1).select(F.lit(normalize.exact_median(normalize.library_sizes(m.entries, m.cells).where("library > 0"), "library")).alias("target_sum")))(purchases(s, d)),
@@ -403,6 +425,8 @@ SQL: dict[str, str] = {
     "archive_cell": _BOTH,
     "archive_targets": f"SELECT * FROM ({_BOTH}) WHERE target IN ('MACHINERY', 'FURNITURE')",
     "archive_groups": f"WITH {_M3.strip().rstrip(',')} SELECT grp AS \"group\", count(DISTINCT c.cell) AS n_cells, count(v) AS n_entries, grp = '{REFERENCE}' AS is_reference FROM c LEFT JOIN e ON e.cell = c.cell GROUP BY 1",
+    "csr_arrays": _BOTH,
+    "csr_chunks": f"WITH {_M3.strip().rstrip(',')} SELECT cell AS customer, gene AS feature, v AS value FROM e WHERE v <> 0",
     "stream_arrivals": _BOTH,
     "mwu_all_others": _run(rest=True),
     "library_size": _simple("SELECT cell AS cell_id, l AS library_size FROM lib"),

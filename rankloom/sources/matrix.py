@@ -49,7 +49,7 @@ def from_table(table: DataFrame, cell: str, gene: str, value: str | Column, cell
     return CountMatrix(entries, cells if cells is not None else own.select("cell_id").distinct(), genes.select("gene_idx", F.col("_g").cast("string").alias("feature")))
 
 
-def numbered(df: DataFrame, by: str, name: str, parts: int = 64) -> DataFrame:
+def numbered(df: DataFrame, by: str, name: str, parts: int = 64, kind: str = "int") -> DataFrame:
     """Rows numbered from 0 in the order of ``by``, without a single task that sees them all."""
     from pyspark.sql import Window
 
@@ -57,7 +57,7 @@ def numbered(df: DataFrame, by: str, name: str, parts: int = 64) -> DataFrame:
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = sizes.withColumn("_start", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_n")).select("_part", "_start")  # a row for each part
     own = F.row_number().over(Window.partitionBy("_part").orderBy(by))
-    return ranged.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_own") - 1).cast("int")).drop("_part", "_own", "_start")
+    return ranged.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_own") - 1).cast(kind)).drop("_part", "_own", "_start")
 
 
 def from_vectors(table: DataFrame, cell: str, vector: str, width: int, labels: Sequence[str] = ()) -> CountMatrix:
