@@ -73,27 +73,79 @@ def _within(matrix: CountMatrix, column: str, reference: str | list[str]) -> Stu
     return Study(matrix.entries, sided, matrix.genes)
 
 
-def test(study: Study, spec: Spec, keep_genes: Sequence[bool] | None = None, ordered: bool = False, counts_expected: bool = False) -> DataFrame:
-    """The whole computation over a study; one row for each target and gene that the filters keep.
+@dataclass(frozen=True)
+class Sums:
+    """What a run needs of its cells.  The sums of cells that are apart add up to those of all of them (``added``)."""
+
+    groups: DataFrame  # side, group, n_cells, library, library1: a row for each group
+    seen: DataFrame  # side, group, gene_idx, v, n, raw[, cpm]: how often each value stands
+
+
+_KEYS = ["side", "group", "gene_idx"]
+#: Genes whose numbers are sent to all tasks; more of them are joined.
+BROADCAST_GENES = 1_000_000
+
+
+def _small(genes: DataFrame, many: int) -> DataFrame:
+    return F.broadcast(genes) if many <= BROADCAST_GENES else genes
+
+
+def _masked(spark: SparkSession, keep_genes: Sequence[bool] | None, many: int) -> DataFrame | None:
+    """The numbers of the genes that a mask keeps."""
+    if keep_genes is None:
+        return None
+    mask = np.asarray(keep_genes)
+    if mask.dtype != np.bool_ or mask.shape != (many,):
+        raise ValueError(f"keep_genes must be {many} booleans")
+    return spark.createDataFrame(pd.DataFrame({"gene_idx": np.flatnonzero(mask).astype(np.int32)}), "gene_idx int")
+
+
+def summed(study: Study, spec: Spec, keep_genes: Sequence[bool] | None = None, counts_expected: bool = False) -> tuple[Sums, float | None]:
+    """A study's sums, and the target sum as a number.
 
     The source is read once: its entries go to the shared folder beside their cells' groups and
-    totals, then the histogram of values, and all else reads that.
+    totals, then the histogram of values, of the genes that the mask keeps.
     """
-    many, reference = study.genes.count(), study.reference
+    reference, many = study.reference, study.genes.count()
+    mask = _masked(study.cells.sparkSession, keep_genes, many)
     if reference is not None and reference.total != spec.total:
         raise ValueError(f"the reference was prepared for a target sum of {reference.total}, not {spec.total}")
-    if keep_genes is not None:
-        mask = np.asarray(keep_genes)
-        if mask.dtype != np.bool_ or mask.shape != (many,):
-            raise ValueError(f"keep_genes must be {many} booleans")
-    spark = study.cells.sparkSession
     rows = stored(normalize.gathered(study.entries, study.cells))
     if counts_expected and (noncount_signal(rows.where("value is not null")) or (reference is not None and not reference.manifest["counts"])):
-        warnings.warn("values are negative or fractional: scaling by totals expects raw counts", UserWarning, stacklevel=3)
+        warnings.warn("values are negative or fractional: scaling by totals expects raw counts", UserWarning, stacklevel=4)
     total = normalize.resolve_total(spec.total, rows.where("first"))
-    # A table with one row for each group; a row without cells for targets that have none.
     own = F.col("first")
     groups = rows.groupBy("side", "group").agg(F.count(F.when(own, 1)).alias("n_cells"), F.sum(F.when(own, F.col("library"))).alias("library"), F.sum(F.when(own, F.when(F.col("library") == 0, 1.0).otherwise(F.col("library")))).alias("library1"))
+    entries = rows.where("gene_idx is not null")
+    if mask is not None:
+        entries = entries.join(_small(mask, many), "gene_idx", "left_semi")
+    return Sums(groups, stored(normalize.histogram(entries, _KEYS, total, "cpm_cell" in spec.filters))), total
+
+
+def added(parts: Sums) -> Sums:
+    """Sums of several sets of cells in one."""
+    groups = parts.groups.groupBy("side", "group").agg(*(F.sum(c).alias(c) for c in ("n_cells", "library", "library1")))
+    return Sums(groups, parts.seen.groupBy(*_KEYS, "v").agg(*(F.sum(c).alias(c) for c in parts.seen.columns if c not in (*_KEYS, "v", "batch"))))
+
+
+def test(study: Study, spec: Spec, keep_genes: Sequence[bool] | None = None, ordered: bool = False, counts_expected: bool = False) -> DataFrame:
+    """The whole computation over a study; one row for each target and gene that the filters keep."""
+    sums, total = summed(study, spec, keep_genes, counts_expected)
+    return ranked(study, sums, spec, total, keep_genes, ordered)
+
+
+def ranked(study: Study, found: Sums, spec: Spec, total: float | None, keep_genes: Sequence[bool] | None = None, ordered: bool = False) -> DataFrame:
+    """The computation from a study's sums; its entries and cells are not read.
+
+    Masks act before anything is made for a gene.  Filters act before ranks are taken: where they
+    leave less than half of all pairs of group and gene, only these pairs' values are ranked, and
+    only their genes' values of the reference.
+    """
+    many, reference = study.genes.count(), study.reference
+    spark = study.genes.sparkSession
+    mask = _masked(spark, keep_genes, many)
+    # A table with one row for each group; a row without cells for targets that have none.
+    groups, seen = found.groups, found.seen
     if study.targets is not None:
         named = spark.createDataFrame([(str(t),) for t in study.targets], "group string").withColumn("side", F.lit(0))
         absent = named.join(groups.where("side = 0").select("group"), "group", "left_anti").select("side", "group", F.lit(0).cast("long").alias("n_cells"), F.lit(0.0).alias("library"), F.lit(0.0).alias("library1"))
@@ -104,12 +156,13 @@ def test(study: Study, spec: Spec, keep_genes: Sequence[bool] | None = None, ord
     population, n_targets = groups.agg(F.coalesce(F.sum("n_cells"), F.lit(0)), F.count(F.when(F.col("side") == 0, 1))).first()
     wide = population > ranks.CUBE_LIMIT
 
-    keys, geometric, cpm = ["side", "group", "gene_idx"], spec.mean_calc == "geometric", "cpm_cell" in spec.filters
-    seen = stored(normalize.histogram(rows.where("gene_idx is not null"), keys, total, cpm))
+    keys, geometric, cpm = _KEYS, spec.mean_calc == "geometric", "cpm_cell" in spec.filters
     moments = normalize.moments(seen, keys, geometric, cpm)
     if reference is not None:
         moments = moments.unionByName(reference.moments.select(F.lit(1).alias("side"), F.lit(POOL).alias("group"), *moments.columns[2:]))
     grid = groups.withColumn("gene_idx", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))) if many else groups.withColumn("gene_idx", F.lit(0)).limit(0)
+    if mask is not None:
+        grid = grid.join(_small(mask, many), "gene_idx", "left_semi")
     skeleton = stored(grid.join(moments, keys, "left").fillna(0, [c for c in moments.columns if c not in keys]))
     hist = ranks.with_zeros(seen, skeleton if reference is None else skeleton.where("side = 0"))
 
@@ -130,20 +183,29 @@ def test(study: Study, spec: Spec, keep_genes: Sequence[bool] | None = None, ord
         if "cpm_cell" in asked:
             rest["cpm_cell"] = F.col("o_sum_cpm") / least if total is None else F.col("o_sum_x") / least * (1e6 / total)
         base = others.select("group", "gene_idx", "n_cells", shown.alias("target_mean"), (F.col("o_sum_x") / least).alias("ref_mean"), F.col("o_n_cells").alias("ref_ncells"), *(quantities[k].alias(f"t_{k}") for k in asked), *(rest[k].alias(f"r_{k}") for k in asked))
-        sums = ranks.against_rest(hist, wide).withColumn("tie_0", F.col("tie"))
     else:
         of = skeleton.select("side", "group", "gene_idx", "n_cells", shown.alias("mean"), *(quantities[k].alias(k) for k in asked))
         pool = of.where("side = 1").select("gene_idx", F.col("mean").alias("ref_mean"), F.col("n_cells").alias("ref_ncells"), *(F.col(k).alias(f"r_{k}") for k in asked))
         base = of.where("side = 0").select("group", "gene_idx", "n_cells", F.col("mean").alias("target_mean"), *(F.col(k).alias(f"t_{k}") for k in asked)).join(pool, "gene_idx")
+    genes, kept = mask, base
+    keep = [statistics.passes(F.col(f"t_{k}"), F.col(f"r_{k}"), t) for k, t in spec.filters.items()]
+    if keep:
+        kept = stored(base.where(statistics.all_of(keep)))
+        if kept.count() * 2 < skeleton.where("side = 0").count():
+            genes = stored(kept.select("gene_idx").distinct())
+            near = hist.join(_small(genes, many), "gene_idx", "left_semi")
+            if not study.rest:  # all groups of a gene are each other's reference
+                near = near.where("side = 0").join(kept.select("group", "gene_idx"), ["group", "gene_idx"], "left_semi").select(*hist.columns).unionByName(near.where("side = 1").select(*hist.columns))
+            hist = near
+    genes = None if genes is None else _small(genes, many)
+    if study.rest:
+        sums = ranks.against_rest(hist, wide).withColumn("tie_0", F.col("tie"))
+    else:
         factors = [1.0, *(scale_factor(*t) for t in spec.taus)]
-        sums = ranks.against_reference(hist, factors, wide, reference)
+        sums = ranks.against_reference(hist, factors, wide, reference, genes)
         for k in range(len(factors)):
             sums = sums.withColumn(f"tie_{k}", F.col("ref_tie") + F.col(f"cross_{k}"))
-    keep = [statistics.passes(F.col(f"t_{k}"), F.col(f"r_{k}"), t) for k, t in spec.filters.items()]
-    if keep_genes is not None:
-        named = spark.createDataFrame(pd.DataFrame({"gene_idx": np.flatnonzero(mask).astype(np.int32)}), "gene_idx int")
-        base = base.join(F.broadcast(named), "gene_idx", "left_semi")  # as large as the mask that the caller gave
-    rows = base.where(statistics.all_of(keep)).join(sums, ["group", "gene_idx"], "left").withColumnRenamed("n_cells", "target_ncells")
+    rows = kept.join(sums, ["group", "gene_idx"], "left").withColumnRenamed("n_cells", "target_ncells")
 
     m, r = F.col("target_ncells"), F.col("ref_ncells")
     u = F.coalesce(F.col("u2_0").cast("double") / 2, F.lit(0.0))
@@ -160,7 +222,8 @@ def test(study: Study, spec: Spec, keep_genes: Sequence[bool] | None = None, ord
         rows = rows.withColumn(e, statistics.effect(F.col("_u"), m, r))
     if spec.levels:
         if reference is not None:
-            hist = hist.unionByName(reference.values.select(F.lit(1).alias("side"), F.lit(POOL).alias("group"), "gene_idx", "v", F.col("rc").alias("n")))
+            pool = reference.values if genes is None else reference.values.join(genes, "gene_idx", "left_semi")
+            hist = hist.unionByName(pool.select(F.lit(1).alias("side"), F.lit(POOL).alias("group"), "gene_idx", "v", F.col("rc").alias("n")))
         found = shift.shifts(hist, spec.levels, spec.se, n_targets).withColumnsRenamed({"group": "_g", "gene_idx": "_j"})
         rows = rows.join(found, (F.col("group") == F.col("_g")) & (F.col("gene_idx") == F.col("_j")), "left")
         for i, name in enumerate(shift_names(spec.levels, spec.se)):

@@ -56,11 +56,12 @@ def placed(rows: DataFrame, keys: list[str], keep_bucket: bool = False, coarse:
     return fine.join(before, [*keys, "bucket"]).withColumn("less", F.col("before") + F.col("upto") - F.col("eq")).drop("before", "upto", *([] if keep_bucket else ["bucket"]))
 
 
-def against_reference(hist: DataFrame, factors: list[float], wide: bool, reference=None) -> DataFrame:
+def against_reference(hist: DataFrame, factors: list[float], wide: bool, reference=None, genes: DataFrame | None = None) -> DataFrame:
     """``(group, gene_idx, u2_k..., cross_k..., ref_tie)`` for each factor k on the target values.
 
     ``u2`` is twice U, a whole number; the pooled tie term is ``ref_tie + cross_k``.  The pool is
-    side 1 of ``hist``, or a prepared reference, whose histogram stays in the parts it lies in.
+    side 1 of ``hist``, or a prepared reference, whose histogram stays in the parts it lies in; of
+    that only ``genes(gene_idx)`` are read, if given.
     """
     k = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.lit(s).alias("s")) for i, s in enumerate(factors)))).alias("k")
     target = hist.where("side = 0").select("gene_idx", "group", "v", "n", k).select("gene_idx", F.col("k.k").alias("k"), (F.col("v") * F.col("k.s")).alias("v"), "group", "n", F.lit(0).cast("long").alias("rc"))
@@ -71,9 +72,10 @@ def against_reference(hist: DataFrame, factors: list[float], wide: bool, referen
         where = placed(target.unionByName(ref.select("gene_idx", "v", "rc", *none)), ["gene_idx"])
         ties = ref.groupBy("gene_idx").agg(F.sum(cubed(F.col("rc"), wide)).alias("ref_tie"))
     else:
+        values, own = ((df if genes is None else df.join(genes, "gene_idx", "left_semi")) for df in (reference.values, reference.coarse))
         target = target.withColumn("bucket", bucket(F.col("v"))).repartition(reference.buckets, "gene_idx", "bucket")
-        coarse = reference.coarse.unionByName(target.select("gene_idx", "bucket").distinct().withColumn("own", F.lit(0).cast("long"))).groupBy("gene_idx", "bucket").agg(F.sum("own").alias("own"))
-        where = placed(target.unionByName(reference.values.select("gene_idx", "bucket", "v", "rc", *none)), ["gene_idx"], coarse=coarse)
+        coarse = own.unionByName(target.select("gene_idx", "bucket").distinct().withColumn("own", F.lit(0).cast("long"))).groupBy("gene_idx", "bucket").agg(F.sum("own").alias("own"))
+        where = placed(target.unionByName(values.select("gene_idx", "bucket", "v", "rc", *none)), ["gene_idx"], coarse=coarse)
         ties = reference.moments.select("gene_idx", F.col("ref_tie").cast("decimal(38,0)" if wide else "long").alias("ref_tie"))
     where = where.where("n > 0")
     number = "decimal(38,0)" if wide else "long"
