@@ -202,6 +202,17 @@ def stream_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _even(spark.read.parquet(f"{out}/results").drop("batch"))
 
 
+def stream_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that arrive in parts: every file has cells of many groups, and each batch a third of the files."""
+    from ..streaming.arrivals import arrivals, results, watch
+
+    m = purchases(spark, sf_dir)
+    source, out, place = (shared_path(spark, f"parts-{x}") for x in ("in", "out", "checkpoint"))
+    arrivals(_part(m, F.col("c_mktsegment") != REFERENCE), "c_mktsegment").repartition(6, "cell_id").write.parquet(source)
+    watch(spark, source, _part(m, F.col("c_mktsegment") == REFERENCE), out, place, files_per_batch=2).awaitTermination()
+    return _even(results(spark, out))
+
+
 def collapse_reference_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = purchases(spark, sf_dir)
     label = collapse_reference(F.col("c_mktsegment"), "MA", REFERENCE)
@@ -255,6 +266,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csr_arrays": csr_arrays,
     "csr_chunks": csr_chunks,
     "stream_arrivals": stream_arrivals,
+    "stream_parts": stream_parts,
     "library_size": lambda s, d: (lambda m: normalize.library_sizes(m.entries, m.cells).select("cell_id", F.col("library").alias("library_size")))(purchases(s, d)),
     "target_sum_median": lambda s, d: (lambda m: s.range(1).select(F.lit(normalize.exact_median(normalize.library_sizes(m.entries, m.cells).where("library > 0"), "library")).alias("target_sum")))(purchases(s, d)),
     "group_counts": lambda s, d: group_table(purchases(s, d), "c_mktsegment").orderBy(F.desc("n_cells"), "group"),
@@ -428,6 +440,7 @@ SQL: dict[str, str] = {
     "csr_arrays": _BOTH,
     "csr_chunks": f"WITH {_M3.strip().rstrip(',')} SELECT cell AS customer, gene AS feature, v AS value FROM e WHERE v <> 0",
     "stream_arrivals": _BOTH,
+    "stream_parts": _BOTH,
     "mwu_all_others": _run(rest=True),
     "library_size": _simple("SELECT cell AS cell_id, l AS library_size FROM lib"),
     "target_sum_median": _simple("SELECT median(l) AS target_sum FROM lib WHERE l > 0"),

@@ -8,13 +8,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom import CellGroup, de
+from rankloom import ALL_OTHERS, CellGroup, de
 from rankloom.plans.spec import Spec
 from rankloom.sources.archive import open_archive, write_archive
 from rankloom.sources.groups import from_groups
 from rankloom.sources.matrix import CountMatrix, from_dense
 from rankloom.sources.reference import open_reference, prepare
-from rankloom.streaming.arrivals import arrivals, watch
+from rankloom.streaming.arrivals import arrivals, results, watch
 
 RNG = np.random.default_rng(3)
 POOL = RNG.negative_binomial(2, 0.3, (40, 5)).astype(float)
@@ -108,6 +108,76 @@ def test_batches_share_one_reading_of_the_pool(spark, tmp_path, targets):
     same(rows(spark.read.parquet(f"file://{tmp_path}/out/results").drop("batch")), rows(de(targets, groupby="guide", reference=base)))
 
 
+def test_groups_in_parts(spark, tmp_path, targets, pool):
+    options, spec = {"normalize_target_sum": 50.0, "filter_gene_min_cpm_cell": 150_000}, Spec(total=50.0, filters={"cpm_cell": 150_000.0})
+    rows_of = arrivals(targets, "guide")
+    made = prepare(pool, f"file://{tmp_path}/pool", spec.total)
+    place = {x: f"file://{tmp_path}/{x}" for x in ("in", "out", "checkpoint")}
+    ends = [0, 4, 17, 30]  # the fourth cell has no entries
+    for n in range(3):
+        rows_of.where(F.col("cell_id").between(ends[n], ends[n + 1] - 1)).coalesce(1).write.mode("append").parquet(place["in"])
+        watch(spark, place["in"], made, place["out"], place["checkpoint"], spec).awaitTermination()
+        assert spark.read.parquet(place["out"] + "/groups").count() == (1, 3, 5)[n]  # groups that a batch touched
+    want = rows(results(spark, place["out"]))
+    same(want, rows(de(targets, groupby="guide", reference=pool, **options)))
+    for left in (f"{tmp_path}/checkpoint/commits/2", f"{tmp_path}/checkpoint/commits/.2.crc"):
+        if os.path.exists(left):
+            os.remove(left)  # the last batch is done again, as after a crash
+    watch(spark, place["in"], made, place["out"], place["checkpoint"], spec).awaitTermination()
+    same(rows(results(spark, place["out"])), want)
+    rows_of.where("cell_id = 5").coalesce(1).write.mode("append").parquet(place["in"])
+    with pytest.raises(Exception, match="arrived again"):
+        watch(spark, place["in"], made, place["out"], place["checkpoint"], spec).awaitTermination()
+    same(rows(results(spark, place["out"])), want)
+
+
+def test_arrivals_without_entries_and_without_target(spark, tmp_path, targets, pool):
+    alone = CountMatrix(targets.entries.where("cell_id = 3"), targets.cells.where("cell_id = 3"), targets.genes)
+    arrivals(alone, "guide").write.parquet(f"file://{tmp_path}/in")
+    watch(spark, f"file://{tmp_path}/in", pool, f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint").awaitTermination()
+    same(rows(results(spark, f"file://{tmp_path}/out")), rows(de(alone, groupby="guide", reference=pool)))
+    with pytest.raises(ValueError, match="keep the target"):
+        watch(spark, f"file://{tmp_path}/in", pool, f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint", Spec(output_columns={"p_value": "p"}))
+
+
+# ---------------------------------------------------------------- filters
+
+
+def test_filters_act_before_ranks(spark, tmp_path, monkeypatch):
+    """One gene of a hundred passes: about as few values are ranked, on both sides and of a prepared pool."""
+    from rankloom.operators import ranks
+
+    rng, ranked = np.random.default_rng(8), []
+    values = rng.negative_binomial(3, 0.2, (60, 100)).astype(float)
+    values[:, 42] += 500
+    labels = ["t0"] * 20 + ["t1"] * 20 + ["ref"] * 20
+    matrix = from_dense(spark, values, {"guide": labels})
+    placed = ranks.placed
+
+    def counted(rows, keys, *args, **more):
+        if keys == ["gene_idx"]:
+            ranked.append(rows.count())
+        return placed(rows, keys, *args, **more)
+
+    monkeypatch.setattr(ranks, "placed", counted)
+    targets, pool = (CountMatrix(matrix.entries.join(c, "cell_id", "left_semi"), c, matrix.genes) for c in (matrix.cells.where("guide <> 'ref'"), matrix.cells.where("guide = 'ref'")))
+    made = prepare(pool, f"file://{tmp_path}/pool")
+    few, mask = {"filter_gene_min_mean_value": 300}, {"keep_genes": [j == 42 for j in range(100)]}
+    for source, reference, asked in ((matrix, "ref", (few, mask)), (matrix, ALL_OTHERS, (few,)), (targets, made, (few,))):
+        shifts = {"tau_star": 0.4} if reference is made else {}
+        counts = []
+        for options in ({}, *asked):
+            ranked.clear()
+            found = rows(de(source, groupby="guide", reference=reference, **shifts, **options).drop("p_adj"))
+            counts.append(sum(ranked))
+            if options:
+                assert {g for _, g in found} == {"g42"}
+                same(found, {k: whole[k] for k in found})
+            else:
+                whole = found
+        assert all(0 < c < counts[0] / 30 for c in counts[1:]), counts
+
+
 # ---------------------------------------------------------------- archives
 
 
