@@ -4,14 +4,16 @@ Every code point is a symbol of its own; an n-gram is two numbers of 21 bits a s
 (all but the last three) and ``gram`` (the last three).  Counts of the trusted text of every
 language are gathered over the whole corpus, order by order, and grow with it.
 
-Scoring is a join of the documents' n-grams with the count tables, both dealt to shards by the
-two symbols before the last one: what an order of three and more needs to know of an n-gram lies
-in one shard.  Documents are taken in bundles of bounded size.  A bundle sends each of its
-distinct n-grams once to the shards and gets back minus the logarithm of its probability; then
-the bundle's documents are summed.  No task holds more of the model than its shard or what its
-bundle needs, and there is no other way of scoring for smaller models.  A document is rejected
-when its perplexity lies above a quantile of its language, taken over trusted documents that the
-model was not trained on.
+Scoring is a join of the documents' n-grams with the count tables, both dealt to shards by size
+and all symbols before the last one, so no key has more rows than a language has code points.
+Documents are taken in bundles of bounded size.  An n-gram's probability is ``a + b * p``, with
+``p`` that of the n-gram without its first symbol, and ``a`` and ``b`` follow from counts that lie
+in one shard.  A bundle sends each of its distinct n-grams of every size once to the shards, gets
+back ``a`` and ``b``, goes up through the sizes and sums its documents.  Short n-grams, which every
+bundle asks for, lie in several shards, the more the larger the input.  No task holds more of the
+model than its shard or what its bundle needs, and there is no other way of scoring for smaller
+models.  A document is rejected when its perplexity lies above a quantile of its language, taken
+over trusted documents that the model was not trained on.
 """
 
 from __future__ import annotations
@@ -44,8 +46,12 @@ LANGUAGES = 10_000  # with trusted text; one row for each comes to the driver
 BROADCAST_IDS = 2_000_000  # labelled ids, 8 bytes each, that may be broadcast
 BUNDLE = 1 << 25  # characters of text in a bundle
 SHARD = 1 << 22  # characters of text for each shard
-SALTS = 8  # parts into which one symbol before the last is dealt
+SHORT = 3  # n-grams of up to so many symbols are held by several shards
+COPIES = 64  # shards, at most, that hold one short n-gram
+SHARDS_PER_COPY = 32
 _CHUNK = 1 << 18  # characters whose n-grams a task holds at a time
+_ASKED = 1 << 20  # n-grams that a shard looks up at a time
+_PRIME, _FACTORS = (1 << 31) - 1, (1_640_531_527, 1_405_695_061)  # of the hash that deals n-grams
 _SLICE = 1000  # rows of a batch that are Python strings at a time
 _MASK = (1 << BITS) - 1
 
@@ -216,41 +222,53 @@ def _before(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return high >> BITS, low >> BITS | (high & _MASK) << 2 * BITS
 
 
-def probabilities(high: np.ndarray, low: np.ndarray, p: np.ndarray, tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], of: dict[int, tuple[float, float, float]]) -> np.ndarray:
-    """Interpolated probabilities of n-grams, from that of their last symbol up through all sizes in ``tables``."""
-    for n in sorted(tables):
-        own_high, own_low, many = tables[n]
-        if not len(many):
-            continue
-        took = _shares(many, of[n])
-        context = _distinct(*_before(own_high, own_low))
-        whole, taken = (np.bincount(context[2], w, len(context[0])) for w in (many, took))
-        now = _cut_to(high, low, n)
-        seen, known = _Pairs(own_high, own_low).find(*now), _Pairs(*context[:2]).find(*_before(*now))
-        top = np.where(seen >= 0, (many - took)[seen], 0.0)
-        p = np.where(known >= 0, (top + taken[known] * p) / whole[known], p)
-    return p
+def coefficients(high: np.ndarray, low: np.ndarray, many: np.ndarray, d: tuple[float, float, float]) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """From the counts of one size: ``a`` and ``b`` of n-grams, whose probability is ``a + b * p``.
 
+    ``p`` is that of the n-gram without its first symbol.
+    """
+    if not len(many):
+        return lambda high, low: (np.zeros(len(low), np.float32), np.ones(len(low), np.float32))
+    took = _shares(many, d)
+    first, last, at = _distinct(*_before(high, low))
+    whole, taken = (np.bincount(at, w, len(first)) for w in (many, took))
+    grams, contexts, left = _Pairs(high, low), _Pairs(first, last), many - took
+
+    def of(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        seen, known = grams.find(high, low), contexts.find(*_before(high, low))
+        total = np.where(known >= 0, whole[known], 1.0)
+        return (np.where(seen >= 0, left[seen], 0.0) / total).astype(np.float32), (np.where(known >= 0, taken[known], 1.0) / total).astype(np.float32)
+
+    return of
 
-def _slot(lang: str, low: np.ndarray, shards: int) -> np.ndarray:
-    key = (low >> BITS & _MASK) * SALTS + (low >> 2 * BITS & _MASK) % SALTS
-    return (((key * 0x9E3779B1) ^ (zlib.crc32(lang.encode()) << 13)) >> 16) % shards
 
+def _slot(lang: str, size: int, high: np.ndarray, low: np.ndarray, copy: int, shards: int) -> np.ndarray:
+    """The shard of n-grams: by language, size and all symbols before the last."""
+    high, low = _before(high, low)
+    mixed = (high % _PRIME * _FACTORS[0] + zlib.crc32(lang.encode()) + size) % _PRIME
+    mixed = (mixed + low % _PRIME) * _FACTORS[1] % _PRIME
+    return (mixed + copy * _FACTORS[0]) % _PRIME % shards
 
-def _slot_of(before: Column, salt: Column, shards: int) -> Column:
-    """``_slot`` as a column: of the symbol before the last and the salt of the one before that."""
-    mixed = ((before * SALTS + salt) * F.lit(0x9E3779B1)).bitwiseXOR(F.shiftleft(F.crc32(F.col("lang").cast("binary")), 13))
-    return F.pmod(F.shiftright(mixed, 16), F.lit(shards))
+
+def _slots_of(copies: int, shards: int) -> Column:
+    """``_slot`` as a column, for all copies."""
+    prime = F.lit(_PRIME)
+    high, low = F.shiftright("high", BITS), F.shiftright("gram", BITS).bitwiseOR(F.shiftleft(F.col("high").bitwiseAND(F.lit(_MASK)), 2 * BITS))
+    mixed = F.pmod(F.pmod(high, prime) * F.lit(_FACTORS[0]) + F.crc32(F.col("lang").cast("binary")) + F.col("size"), prime)
+    mixed = F.pmod((mixed + F.pmod(low, prime)) * F.lit(_FACTORS[1]), prime)
+    each = F.sequence(F.lit(0).cast("long"), F.when(F.col("size") <= SHORT, copies - 1).otherwise(0).cast("long"))
+    return F.array_distinct(F.transform(each, lambda copy: F.pmod(F.pmod(mixed + copy * F.lit(_FACTORS[0]), prime), F.lit(shards).cast("long"))))
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
     """Sorted numbers, byte by place: most of them repeat."""
-    return pa.compress(b"".join(a.view(np.uint8).reshape(-1, 8).T.tobytes() for a in arrays), codec="zstd", asbytes=True)
+    return pa.compress(b"".join(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays), codec="zstd", asbytes=True)
 
 
-def _unpacked(data: bytes, many: int, arrays: int = 2) -> list[np.ndarray]:
-    flat = np.frombuffer(pa.decompress(data, decompressed_size=8 * many * arrays, codec="zstd"), np.uint8)
-    return [np.ascontiguousarray(flat[i * 8 * many:(i + 1) * 8 * many].reshape(8, many).T).view(np.int64).ravel() for i in range(arrays)]
+def _unpacked(data: bytes, many: int, arrays: int = 2, kind: type = np.int64) -> list[np.ndarray]:
+    wide = np.dtype(kind).itemsize
+    flat = np.frombuffer(pa.decompress(data, decompressed_size=wide * many * arrays, codec="zstd"), np.uint8)
+    return [np.ascontiguousarray(flat[i * wide * many:(i + 1) * wide * many].reshape(wide, many).T).view(kind).ravel() for i in range(arrays)]
 
 
 def _bundles(batches: Iterator[pa.RecordBatch], text: int, size: int) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -268,20 +286,36 @@ def _bundles(batches: Iterator[pa.RecordBatch], text: int, size: int) -> Iterato
             yield base + int(number[start]), batch.slice(start, stop - start)
 
 
-_NEED = "shard long, bundle long, by string, many long, grams binary"
+def _slices(rows: list[int], many: list[int], most: int = _ASKED) -> Iterator[list[int]]:
+    """``rows`` in runs of at most ``most`` n-grams, or of one row."""
+    part, held = [], 0
+    for i in rows:
+        if part and held + many[i] > most:
+            yield part
+            part, held = [], 0
+        part.append(i)
+        held += many[i]
+    if part:
+        yield part
+
+
+_NEED = "shard long, bundle long, by string, size int, many long, grams binary"
 
 
-def _need_batches(batches: Iterator[pa.RecordBatch], order: int, known: frozenset[str], shards: int, size: int) -> Iterator[pa.RecordBatch]:
-    """The distinct n-grams of every bundle, a row for each shard and language."""
+def _need_batches(batches: Iterator[pa.RecordBatch], order: int, known: frozenset[str], shards: int, copies: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The distinct n-grams of every bundle and size, a row for each shard and language."""
     def rows(bundle: int, tally: _Tally) -> Iterator[pa.RecordBatch]:
         for by, (high, low, _) in tally.items():
-            slot = _slot(by, low, shards)
-            at = np.lexsort((low, high, slot))
-            high, low, slot = high[at], low[at], slot[at]
-            cuts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1], True])
-            packs = [_packed(high[a:b], low[a:b]) for a, b in zip(cuts, cuts[1:])]
-            many = len(packs)
-            yield pa.RecordBatch.from_arrays([pa.array(slot[cuts[:-1]]), pa.array([bundle] * many, pa.int64()), pa.array([by] * many), pa.array(np.diff(cuts)), pa.array(packs, pa.binary())], [x.split()[0] for x in _NEED.split(", ")])
+            for n in range(order, 1, -1):
+                if n < order:
+                    high, low, _ = _distinct(*_cut_to(high, low, n))
+                slot = _slot(by, n, high, low, bundle % copies if n <= SHORT else 0, shards)
+                at = np.lexsort((low, high, slot))
+                high, low, slot = high[at], low[at], slot[at]
+                cuts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1], True])
+                packs = [_packed(high[a:b], low[a:b]) for a, b in zip(cuts, cuts[1:])]
+                many = len(packs)
+                yield pa.RecordBatch.from_arrays([pa.array(slot[cuts[:-1]]), pa.array([bundle] * many, pa.int64()), pa.array([by] * many), pa.array([n] * many, pa.int32()), pa.array(np.diff(cuts)), pa.array(packs, pa.binary())], [x.split()[0] for x in _NEED.split(", ")])
 
     now, tally = None, _Tally()
     for bundle, batch in _bundles(batches, 1, size):
@@ -332,43 +366,48 @@ class Model:
         lang, text = docs.columns.index("lang"), docs.columns.index("text")
         whole = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
         shards = max(1, -(-whole // per_shard))
+        copies = max(1, min(COPIES, shards // SHARDS_PER_COPY))
         order, of, known = self.order, self.of, self.languages
         model = docs.sparkSession.sparkContext.broadcast(Model(None, of, self.first, order))  # no more than code points and languages
-        needs = docs.select("lang", "text").mapInArrow(lambda it: _need_batches(it, order, known, shards, size), _NEED)
-        w3, w4 = F.shiftright("gram", 2 * BITS), F.shiftright("gram", BITS).bitwiseAND(F.lit(_MASK))
-        salts = F.when(F.col("size") > 2, F.array(F.pmod(w3, F.lit(SALTS)))).otherwise(F.expr(f"sequence(0L, {SALTS - 1}L)"))  # pairs go to all parts of their first symbol
-        slots = F.array_distinct(F.transform(salts, lambda salt: _slot_of(w4, salt, shards)))
-        sharded = self.counts.select(F.explode(slots).alias("slot"), "lang", "size", "high", "gram", "n")
+        needs = docs.select("lang", "text").mapInArrow(lambda it: _need_batches(it, order, known, shards, copies, size), _NEED)
+        sharded = self.counts.select(F.explode(_slots_of(copies, shards)).alias("slot"), "lang", "size", "high", "gram", "n")
 
         def lookup(asked: pa.Table, held: pa.Table) -> pa.Table:
-            out = []
-            if asked.num_rows:
+            many, out = asked.column("many").to_pylist(), [b""] * asked.num_rows
+            if out:
                 names = held.column("lang").combine_chunks().dictionary_encode()
                 number = {x: i for i, x in enumerate(names.dictionary.to_pylist())}
                 at, sizes, high, low, n = names.indices.to_numpy(), *(held.column(c).to_numpy() for c in ("size", "high", "gram", "n"))
-                by_lang: dict[str, list[int]] = {}
-                for i, by in enumerate(asked.column("by").to_pylist()):
-                    by_lang.setdefault(by, []).append(i)
-                many, packs = asked.column("many").to_pylist(), asked.column("grams").to_pylist()
-                out = [b""] * len(many)
-                for by, rows in by_lang.items():
-                    mine = np.flatnonzero(at == number.get(by, -1))
-                    tables = {k: tuple(x[mine[sizes[mine] == k]] for x in (high, low, n)) for k in range(2, order + 1)}
-                    parts = [_unpacked(packs[i], many[i]) for i in rows]
-                    h, g = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
-                    nll = -np.log(probabilities(h, g, model.value.unigrams(by, g & _MASK), tables, {k: of.get((by, k), (0.5, 1.0, 1.5)) for k in tables})).astype(np.float32)
-                    for i, a in zip(rows, np.split(nll, np.cumsum([many[i] for i in rows])[:-1])):
-                        out[i] = a.tobytes()
-            return asked.drop_columns(["shard"]).append_column("nll", pa.array(out, pa.binary()))
-
-        found = needs.groupBy("shard").cogroup(sharded.groupBy("slot")).applyInArrow(lookup, "bundle long, by string, many long, grams binary, nll binary")
+                groups: dict[tuple[str, int], list[int]] = {}
+                for i, key in enumerate(zip(asked.column("by").to_pylist(), asked.column("size").to_pylist())):
+                    groups.setdefault(key, []).append(i)
+                for (by, wide), rows in groups.items():
+                    mine = np.flatnonzero((at == number.get(by, -1)) & (sizes == wide))
+                    found = coefficients(high[mine], low[mine], n[mine], of.get((by, wide), (0.5, 1.0, 1.5)))
+                    for some in _slices(rows, many):
+                        parts = [_unpacked(asked.column("grams")[i].as_py(), many[i]) for i in some]
+                        a, b = found(*(np.concatenate([p[k] for p in parts]) for k in (0, 1)))
+                        ends = np.cumsum([many[i] for i in some])[:-1]
+                        for i, x, y in zip(some, np.split(a, ends), np.split(b, ends)):
+                            out[i] = _packed(x, y)
+            return asked.drop_columns(["shard"]).append_column("parts", pa.array(out, pa.binary()))
+
+        found = needs.groupBy("shard").cogroup(sharded.groupBy("slot")).applyInArrow(lookup, "bundle long, by string, size int, many long, grams binary, parts binary")
         parts = docs.mapInArrow(lambda it: _row_batches(it, text, size), "bundle long, rows binary")
 
         def summed(rows: pa.Table, scores: pa.Table) -> pa.Table:
-            tables: dict[str, list] = {}
-            for r in scores.to_pylist():
-                tables.setdefault(r["by"], []).append((*_unpacked(r["grams"], r["many"]), np.frombuffer(r["nll"], np.float32)))
-            ready = {by: (_Pairs(*(np.concatenate([p[i] for p in own]) for i in (0, 1))), np.concatenate([p[2] for p in own])) for by, own in tables.items()}
+            many, groups = scores.column("many").to_pylist(), {}
+            for i, (by, wide) in enumerate(zip(scores.column("by").to_pylist(), scores.column("size").to_pylist())):
+                groups.setdefault(by, {}).setdefault(wide, []).append(i)
+            ready = {}
+            for by, own in groups.items():
+                for wide in range(2, order + 1):
+                    high, low = (np.concatenate(x) for x in zip(*(_unpacked(scores.column("grams")[i].as_py(), many[i]) for i in own[wide])))
+                    a, b = (np.concatenate(x) for x in zip(*(_unpacked(scores.column("parts")[i].as_py(), many[i], kind=np.float32) for i in own[wide])))
+                    p = a + b * (model.value.unigrams(by, low & _MASK) if wide == 2 else p[places.find(*_cut_to(high, low, wide - 1))])
+                    places = _Pairs(high, low)
+                ready[by] = places, -np.log(p).astype(np.float32)
+            high = low = a = b = p = places = None
             done = []
             for part in rows.column("rows"):
                 for batch in pa.ipc.open_stream(part.as_buffer()):
@@ -377,16 +416,20 @@ class Model:
                         high, low, ends = _coded(texts, order)
                         if not len(low):
                             continue
-                        places, values = ready[name if name in known else POOLED]
+                        by = name if name in known else POOLED
                         high, low, each = _distinct(high, low)
-                        place = places.find(high, low)
-                        if (place < 0).any():
-                            raise RuntimeError("the documents' rows were dealt differently in the second reading")
-                        total = np.r_[0.0, np.cumsum(values[place].astype(np.float64)[each])]
+                        if order == 1:
+                            own = -np.log(model.value.unigrams(by, low))
+                        else:
+                            place = ready[by][0].find(high, low)
+                            if (place < 0).any():
+                                raise RuntimeError("the documents' rows were dealt differently in the second reading")
+                            own = ready[by][1][place].astype(np.float64)
+                        total = np.r_[0.0, np.cumsum(own[each])]
                         starts = np.r_[0, ends[:-1]]
                         chars[at], nll[at] = ends - starts, total[ends] - total[starts]
                     done.append(emit(batch, chars, nll))
-            tables = ready = None
+            ready = None
             give_back()
             return pa.Table.from_batches(done)
 

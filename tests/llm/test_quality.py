@@ -128,6 +128,30 @@ def test_numbers_survive_packing():
     assert pa.array(quality._distinct(a, b)[2]).to_pylist() == [0, 1, 2]
 
 
+def test_shards_are_even(spark):
+    """Over 1,024 shards none holds twice the median, and every n-gram is where it is looked for."""
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("lang", "text")
+    model = quality.kneser_ney(docs)
+    counts = model.counts.withColumn("slots", quality._slots_of(1, 1024))
+    held = np.array([r["count"] for r in counts.select(F.explode("slots").alias("slot")).groupBy("slot").count().collect()])
+    assert len(held) == 1024 and held.max() < 2 * np.median(held)
+    some = model.counts.where("lang = 'de'").withColumn("slots", quality._slots_of(4, 1024)).sample(0.01, 1).collect()
+    assert {r["size"] for r in some} == {2, 3, 4, 5}
+    for r in some:
+        want = {int(quality._slot("de", r["size"], np.array([r.high]), np.array([r.gram]), copy, 1024)[0]) for copy in range(4 if r["size"] <= quality.SHORT else 1)}
+        assert set(r.slots) == want and len(r.slots) == len(want)
+
+
+def test_short_grams_lie_in_several_shards(spark, monkeypatch):
+    docs = frame(spark, ROWS)
+    model = quality.kneser_ney(docs)
+    want = scores(spark, model, ROWS)
+    monkeypatch.setattr(quality, "SHARDS_PER_COPY", 2)
+    assert scores(spark, model, ROWS, bundle=30, per_shard=500) == {k: pytest.approx(v, rel=1e-6) for k, v in want.items()}
+
+
 def test_batch_limits_change_nothing(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3, "doc_id").withColumn("wide", F.repeat("text", 3))
     docs.write.parquet(f"file://{tmp_path}/docs")
