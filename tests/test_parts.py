@@ -11,6 +11,7 @@ from rankloom.functions.special import log1p_ieee, log2_ratio, upper_quantile, w
 from rankloom.operators import normalize, ranks, statistics
 from rankloom.operators.shift import answers
 from rankloom.plans import spec
+from rankloom.sources import places
 from rankloom.sources.matrix import collapse_reference, from_table, noncount_signal, numbered
 
 INF, NAN = float("inf"), float("nan")
@@ -139,3 +140,29 @@ def test_matrix_adapters(spark):
     assert sorted(r.k for r in numbered(spark.range(1000), "id", "k").where("k = id").collect()) == list(range(1000))
     names = values(column(spark, ["ntc_1", "a_ntc"], "string").withColumn("l", collapse_reference(F.col("x"), "ntc", "ntc")), "l")
     assert names == ["ntc", "a_ntc"]
+
+
+def test_tables_are_stored_in_small_parts(spark):
+    """However large the session lets parts be: 30 MB or so are put together by a shuffle, then read from files."""
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    alone = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.files.minPartitionNum": "1"}  # what else keeps parts small here
+    spark.conf.set(sizes[0], "128MB")
+    for name, value in alone.items():
+        spark.conf.set(name, value)
+    try:
+        table = spark.range(2_000_000).withColumn("x", F.rand(1))
+        dealt = places.stored(table.repartition("id"))
+        again = places.stored(dealt.withColumn("y", F.col("x") * 2))
+        for df in (dealt, again):
+            largest = df.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+            assert largest < 1_000_000
+        assert (again.count(), again.agg(F.sum("id")).first()[0]) == (2_000_000, 1_999_999_000_000)
+        assert (spark.conf.get(sizes[0]), spark.conf.get(sizes[1], None)) == ("128MB", None)
+        spark.conf.set(sizes[1], "16k")
+        with pytest.raises(ZeroDivisionError), places.small_parts(spark):
+            assert [places._bytes(spark.conf.get(s)) for s in sizes] == [places.PART_BYTES, 16 << 10]
+            1 / 0
+        assert [spark.conf.get(s) for s in sizes] == ["128MB", "16k"]
+    finally:
+        for name in (*sizes, *alone):
+            spark.conf.unset(name)
