@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import normalize, ranks
 from .matrix import CountMatrix, noncount_signal
+from .places import small_parts
 
 #: The label of the pool's cells inside a run; sides keep it apart from a target of that name.
 POOL = "reference"
@@ -90,7 +91,8 @@ def prepare(pool: CountMatrix, path: str, total: float | None = None) -> Referen
     if isinstance(total, str):
         raise NotImplementedError("a prepared reference needs its target sum as a number: the median is taken over targets too")
     rows = normalize.gathered(pool.entries, pool.cells.select("cell_id"))
-    rows.write.option("compression", "zstd").parquet(f"{path}/cells")
+    with small_parts(spark):
+        rows.write.option("compression", "zstd").parquet(f"{path}/cells")
     rows = spark.read.schema(rows.schema).parquet(f"{path}/cells")
     first = F.col("first")
     n_cells, library, library1 = rows.agg(F.count(F.when(first, 1)), F.sum(F.when(first, F.col("library"))), F.sum(F.when(first, F.when(F.col("library") == 0, 1.0).otherwise(F.col("library"))))).first()
@@ -101,7 +103,8 @@ def prepare(pool: CountMatrix, path: str, total: float | None = None) -> Referen
     moments = pool.genes.select(F.col("gene_idx").cast("int").alias("gene_idx"), "feature").join(moments, "gene_idx", "left").fillna(0, [c for c in moments.columns if c != "gene_idx"])
     zeros = moments.where(F.col("nnz") < n_cells).select("gene_idx", F.lit(0.0).alias("v"), (F.lit(n_cells) - F.col("nnz")).alias("rc"))
     values = seen.where("v <> 0").groupBy(F.col("gene_idx").cast("int").alias("gene_idx"), "v").agg(F.sum("n").alias("rc")).unionByName(zeros).withColumn("bucket", ranks.bucket(F.col("v"))).select("gene_idx", "bucket", "v", "rc")
-    values.write.option("compression", "zstd").parquet(f"{path}/histogram")
+    with small_parts(spark):
+        values.write.option("compression", "zstd").parquet(f"{path}/histogram")
     values = spark.read.schema(_VALUES).parquet(f"{path}/histogram")
     buckets = max(spark.sparkContext.defaultParallelism, -(-values.count() // _ROWS))
     name = f"rankloom_values_{uuid.uuid4().hex}"

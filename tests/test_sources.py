@@ -9,7 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom import ALL_OTHERS, CellGroup, de
+from rankloom.api import _from_source
+from rankloom.operators import normalize
 from rankloom.plans.spec import Spec
+from rankloom.sources import places
 from rankloom.sources.archive import open_archive, write_archive
 from rankloom.sources.groups import from_groups
 from rankloom.sources.matrix import CountMatrix, from_dense
@@ -293,3 +296,21 @@ def test_kinds_of_items_agree(spark, targets, pool):
 def test_sources_that_break_the_rules(spark, bad, error):
     with pytest.raises(error):
         from_groups(spark, bad, ["a", "b"], list("vwxyz"))
+
+
+def test_cells_are_gathered_in_small_parts(spark, monkeypatch):
+    """A source that yields matrices of the cluster: no task gathers more than a share of the cells, however large the session lets parts be."""
+    monkeypatch.setattr(places, "PART_BYTES", 1 << 20, raising=False)
+    genes = spark.createDataFrame([(j, f"g{j}") for j in range(2)], "gene_idx int, feature string")
+    cells = spark.range(200_000).withColumnRenamed("id", "cell_id")
+    entries = cells.select("cell_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("gene_idx")).withColumn("value", 1 + F.rand(1))
+    whole = CountMatrix(entries, cells, genes)
+    study = _from_source(spark, lambda: (CellGroup(label, whole) for label in ("a", "b")), ["a", "b"], ["g0", "g1"], None, whole, Spec())
+    name = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    spark.conf.set(name, "false")
+    try:
+        rows = places.stored(normalize.gathered(study.entries, study.cells))
+    finally:
+        spark.conf.unset(name)
+    parts = [r["count"] for r in rows.groupBy(F.input_file_name()).count().collect()]
+    assert sum(parts) == 1_200_000 and max(parts) < 400_000
